@@ -39,8 +39,8 @@ ORACLE_SQL = {
         ), twice AS (
             SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS c FROM g) AS q WHERE c > 1
         ), covered AS (
-            SELECT doc_id, count(DISTINCT at) AS n_repeat
-            FROM (SELECT doc_id, i + unnest(range(0, 5)) AS at FROM twice) AS q GROUP BY doc_id
+            SELECT doc_id, count(DISTINCT pos) AS n_repeat
+            FROM (SELECT doc_id, i + unnest(range(0, 5)) AS pos FROM twice) AS q GROUP BY doc_id
         ), runs AS (
             SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM twice
         ), suspects AS (
