@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import exact_dedup, quality, simhash
+from inkwell.llm import exact_dedup, line_dedup, quality, simhash
 from inkwell.llm.common import table
 
 
@@ -20,10 +20,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -74,4 +79,36 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op8_line_dedup": r"""
+        WITH s AS (
+            SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
+        ), l AS (
+            SELECT doc_id, i AS pos, parts[i + 1] AS line FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS i FROM s) AS q
+        ), n AS (
+            SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth
+            FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        ), p AS (
+            SELECT doc_id, pos, nth, line, lead(line) OVER w AS line2, lead(pos) OVER w AS pos2 FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+        ), c AS (
+            SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy1,
+                row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, pos) AS copy2 FROM p
+        ), later AS (
+            SELECT doc_id, nth, pos FROM c WHERE copy1 > 1 AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5
+            UNION SELECT doc_id, nth, pos FROM c WHERE copy2 > 1 AND line2 IS NOT NULL
+            UNION SELECT doc_id, nth + 1, pos2 FROM c WHERE copy2 > 1 AND line2 IS NOT NULL
+        ), gap AS (
+            SELECT doc_id, pos, lag(pos) OVER w AS pos0, lag(nth) OVER w = nth - 1 AS next_to FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY nth)
+        ), gone AS (
+            SELECT doc_id, pos FROM later
+            UNION SELECT l.doc_id, l.pos FROM l JOIN gap ON l.doc_id = gap.doc_id AND gap.next_to AND l.pos > gap.pos0 AND l.pos < gap.pos
+        ), kept AS (
+            SELECT l.doc_id, l.pos, l.line FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos WHERE gone.pos IS NULL
+        ), texts AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n_kept FROM kept GROUP BY doc_id
+        )
+        SELECT s.doc_id, CASE WHEN parts IS NULL THEN NULL ELSE coalesce(texts.text, '') END AS text,
+            CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines,
+            CAST(coalesce(len(parts), 0) - coalesce(n_kept, 0) AS BIGINT) AS n_deleted
+        FROM s LEFT JOIN texts ON s.doc_id = texts.doc_id
+    """,
 }
