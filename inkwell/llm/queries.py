@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, exact_dedup, line_dedup, quality, simhash
+from inkwell.llm import bpe, exact_dedup, line_dedup, packing, quality, simhash
 from inkwell.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.read_text(spark, public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL = {
