@@ -135,6 +135,12 @@ def _measure(texts: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
+def _verdict(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts fail the base rule, and which pass all rules."""
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_COVERED_PERCENT * m["n_words"])
+    return failed, ~failed & (m["longest_repeat"] <= MAX_LONGEST)
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, longest_repeat.
@@ -153,9 +159,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             m = _measure(["" if t is None else t for t in x["text"]])
-            failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_COVERED_PERCENT * m["n_words"])
-            yield pd.DataFrame(
-                {"doc_id": x["doc_id"]} | m | {"base_failed": failed, "kept": ~failed & (m["longest_repeat"] <= MAX_LONGEST)}
-            )[[c.split()[0] for c in SCHEMA.split(", ")]]
+            failed, kept = _verdict(m)
+            yield pd.DataFrame({"doc_id": x["doc_id"]} | m | {"base_failed": failed, "kept": kept})[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(rows, SCHEMA)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns.
+
+    A verdict depends on the text alone, so a filter over the text column does; no row is moved.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(_verdict(_measure(["" if t is None else t for t in texts]))[1])
+
+    return docs.filter(good(F.col(text_col)))
