@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, exact_dedup, line_dedup, packing, pii, quality, simhash, toxicity
-from inkwell.llm.common import table
+from inkwell.llm import bpe, exact_dedup, licenses, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
+from inkwell.llm.common import materialize, scratch_root, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -42,18 +49,48 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.read_text(spark, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came in, those of bad quality went, and the rest moved to a new tokenizer version.
+
+    The last batch is delivered twice and counts once.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counts = docs.select("doc_id", "source", "lang", token_counts.word_count(F.col("text")).alias("words"), token_counts.piece_count(F.col("text")).alias("pieces"))
+    # The change feed carries counts, as that of a corpus store does; the texts are counted once.
+    counts = materialize(counts, "counts")
+    bad = labels.filter("quality = 0").select("doc_id").distinct()
+    arrived = token_counts.change("insert", counts, "words-1", "words")
+    left = token_counts.change("delete", counts.join(bad, "doc_id", "left_semi"), "words-1", "words")
+    revised = token_counts.change("revise", counts.join(bad, "doc_id", "left_anti"), "pieces-2", "pieces", "words-1", "words")
+    rollup = token_counts.Rollup(spark, f"{scratch_root(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.apply("arrived", arrived)
+    rollup.apply("left", left)
+    for _ in range(2):
+        rollup.apply("revised", revised)
+    return rollup.totals()
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op10_token_counts": r"""
+        WITH c AS (
+            SELECT source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\p{L}\p{N}\x20\x09-\x0D]+')) AS BIGINT) AS n
+            FROM documents AS d WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id AND l.quality = 0)
+        )
+        SELECT source, lang, 'pieces-2' AS tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY source, lang
+    """,
     "op5_quality": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text FROM documents
