@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import strip
+from inkwell.functions.text import bound, strip
 
 # Keywords that count for code and for papers, and the weights of each kind of query.
 CODE_KEYWORDS = (
@@ -50,24 +48,19 @@ def _kind(code: Column, paper: Column) -> Column:
 
 
 def query_kind(query: Column) -> Column:
-    return _with(F.struct(keyword_hits(query, CODE_KEYWORDS).alias("c"), keyword_hits(query, PAPER_KEYWORDS).alias("p")), lambda n: _kind(n["c"], n["p"]))
-
-
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return bound(F.struct(keyword_hits(query, CODE_KEYWORDS).alias("c"), keyword_hits(query, PAPER_KEYWORDS).alias("p")), lambda n: _kind(n["c"], n["p"]))
 
 
 def route(query: Column) -> Column:
     """struct<dense, sparse, bm25, doc_type_filter>: the weights of a query's kind, moved by length and language."""
-    return _with(F.struct(query_kind(query).alias("kind"), length_class(query).alias("size"), language(query).alias("lang")), _based)
+    return bound(F.struct(query_kind(query).alias("kind"), length_class(query).alias("size"), language(query).alias("lang")), _based)
 
 
 def _based(q: Column) -> Column:
     names = ("dense", "sparse", "bm25", "filter")
     preset = [F.struct(*[F.lit(v).cast("string" if n == "filter" else "double").alias(n) for n, v in zip(names, PRESETS[k], strict=True)]) for k in ("code", "paper", "general")]
     based = F.when(q["kind"] == "code", preset[0]).when(q["kind"] == "paper", preset[1]).otherwise(preset[2])
-    return _with(based, lambda p: _with(_moved(p, q["size"], q["lang"]), _shares))
+    return bound(based, lambda p: bound(_moved(p, q["size"], q["lang"]), _shares))
 
 
 def _moved(p: Column, size: Column, lang: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ INJECTION_PATTERNS = (
 MAX_QUERY_LENGTH = 2000
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often it is named, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, by Unicode's notion of it."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -86,8 +93,12 @@ def sanitized_query(c: Column, max_length: int = MAX_QUERY_LENGTH) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two token arrays as sets; two empty ones are equal."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+    def overlap(x: Column) -> Column:
+        union = F.size(F.array_union(x["a"], x["b"]))
+        return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x["a"], x["b"])) / union)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), overlap)
 
 
 def preview(c: Column, length: int = 300) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,16 +126,17 @@ class Bm25:
         self.n, self.average = total["n"], total["length"] or 1.0
         each = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         raw = F.log(F.lit(float(self.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        self.weights = each.select("term", raw.alias("idf"))
+        # A row for each word of the vocabulary, used for the mean and by every search.
+        self.weights = each.select("term", raw.alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)
         mean = self.weights.agg(F.avg("idf")).first()[0] or 0.0
         self.weights = self.weights.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
 
     def topk(self, queries: DataFrame, k: int, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
         """(query_id, id, score, rank) of the k best texts with a score above 0; repeated words of a query count again."""
         terms = queries.select(F.col(id_col).alias("query_id"), F.explode(word_tokens(F.col(text_col))).alias("term"))
+        wanted = small(terms.select("term").distinct())
         terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(self.weights, "term")
         terms = small(terms.select("query_id", F.col("term").alias("_t"), (F.col("qtf") * F.col("idf")).alias("w")))
-        wanted = small(terms.select(F.col("_t").alias("term")).distinct())
         each = self.tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
         # Words that no query has are dropped before anything is counted.
         tf = each.join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
