@@ -11,6 +11,7 @@ scores.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -74,7 +75,7 @@ def _beginnings(text: str) -> set[str]:
 
 
 def _sample(labelled: DataFrame) -> DataFrame:
-    """About FIT_ROWS rows of each label, chosen by a hash: the same at every size of cluster."""
+    """About FIT_ROWS labels of each kind, chosen by a hash: the same at every size of cluster."""
     total = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for label, n in total.items():
@@ -82,6 +83,22 @@ def _sample(labelled: DataFrame) -> DataFrame:
     return labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
 
+def _families(texts: pd.Series) -> pd.Series:
+    """Two hashes of each text, each the least over its five-word shingles: near copies mostly share one."""
+    out = []
+    for t in texts:
+        words = (t or "").encode("utf-8", "surrogatepass").split()
+        hashes = {zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
+        out.append({"one": min(hashes), "two": min(h * 0x9E3779B1 & 0xFFFFFFFF for h in hashes)})
+    return pd.DataFrame(out, columns=["one", "two"])
+
+
+def _one_of_copies(labelled: DataFrame) -> DataFrame:
+    """`labelled` without most near copies: else the words of one text that is copied often would seem telling."""
+    keyed = labelled.withColumn("family", F.pandas_udf(_families, "one long, two long")("text")).select("text", "toxic", "family.*")
+    return keyed.dropDuplicates(["toxic", "one"]).dropDuplicates(["toxic", "two"]).select("text", "toxic")
+
+
 def induce(labelled: DataFrame) -> list[tuple[str, int, int]]:
     """Telling word beginnings of `labelled` (doc_id, text, toxic): (feature, toxic rows, other rows).
 
@@ -204,8 +221,19 @@ def label_model(rows: DataFrame, voters: list[int], start: dict[int, float], pri
     fired = {r["v"]: r["n"] for r in each.groupBy("v").agg(F.sum("n").alias("n")).collect()}
     total = votes.agg(F.sum("n")).first()[0] or 0
     # Correlation of voters: their joint count against the product of their own, on rows with a vote.
-    pairs = votes.select(F.explode("votes").alias("v"), "votes", "n").select("v", F.explode("votes").alias("w"), "n").filter("v < w")
-    met = {(r["v"], r["w"]): r["n"] for r in pairs.groupBy("v", "w").agg(F.sum("n").alias("n")).collect()}
+    place = {v: i for i, v in enumerate(voters)}
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        joint = np.zeros((len(voters), len(voters)), np.int64)
+        for x in batches:
+            for own, n in zip(x["votes"], x["n"], strict=True):
+                at = [place[v] for v in own]
+                joint[np.ix_(at, at)] += n
+        i, j = np.nonzero(np.triu(joint, 1))  # a task hands on no more than the matrix
+        yield pd.DataFrame({"i": i, "j": j, "n": joint[i, j]})
+
+    pairs = votes.filter("size(votes) > 1").select("votes", "n").mapInPandas(meet, "i long, j long, n long")
+    met = {(voters[r["i"]], voters[r["j"]]): r["n"] for r in pairs.groupBy("i", "j").agg(F.sum("n").alias("n")).collect()}
     active = max(1, total - (votes.filter(F.size("votes") == 0).agg(F.sum("n")).first()[0] or 0))
     shared = dict.fromkeys(voters, 0.0)
     for (v, w), n in met.items():
@@ -280,8 +308,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = materialize(_sample(rows.join(known, "doc_id")), "labelled")
-    features = induce(sample.select("text", "toxic"))
+    # The labels are sampled before they meet the texts: about 2 * FIT_ROWS of them, a fixed size, go to all executors.
+    sample = materialize(_one_of_copies(rows.join(F.broadcast(_sample(known)), "doc_id")), "labelled")
+    features = induce(sample)
     induced = choose_voters(features)
     n = len(features)
     seeds = list(range(n, n + len(SEEDS) + len(PATTERNS)))
