@@ -138,15 +138,24 @@ def _precision(a: float, b: float) -> float:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def choose_voters(features: list[tuple[str, int, int]]) -> list[int]:
-    """Positions of the features that vote; of nested beginnings, only the first that is as precise."""
+def choose_voters(features: list[tuple[str, int, int]], skew: float) -> list[int]:
+    """Positions of the features that vote; of nested beginnings, only the first that is as precise.
+
+    skew: the odds of toxic rows in the sample against those in the corpus, which precisions are
+    brought back to.
+    """
     chosen: list[int] = []
-    for i, (f, a, b) in enumerate(features):
+
+    def precision(a: int, b: int) -> float:
         p = _precision(a, b)
+        return p / (p + (1 - p) * skew)
+
+    for i, (f, a, b) in enumerate(features):
+        p = precision(a, b)
         if p < MIN_PRECISION:
             continue
         nested = (j for j in chosen if f.startswith(features[j][0]) or features[j][0].startswith(f.rstrip()))
-        if any(p <= _precision(*features[j][1:]) + 0.02 for j in nested):
+        if any(p <= precision(*features[j][1:]) + 0.02 for j in nested):
             continue
         chosen.append(i)
         if len(chosen) == VOTERS:
@@ -311,7 +320,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # The labels are sampled before they meet the texts: about 2 * FIT_ROWS of them, a fixed size, go to all executors.
     sample = materialize(_one_of_copies(rows.join(F.broadcast(_sample(known)), "doc_id")), "labelled")
     features = induce(sample)
-    induced = choose_voters(features)
+    counts = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    rate = known.agg(F.avg("toxic")).first()[0]
+    prior = float(min(max(rate if rate is not None else 0.1, 0.01), 0.5))
+    odds = (counts[0] / (counts[1] - counts[0])) / (prior / (1 - prior)) if features else 1.0
+    induced = choose_voters(features, odds)
     n = len(features)
     seeds = list(range(n, n + len(SEEDS) + len(PATTERNS)))
     voters = [*induced, *seeds]
@@ -325,9 +338,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     # A row to a document, with a label where one may be used; the texts are not needed any more.
     found = materialize(found, "features")
     taught = found.join(known, "doc_id", "left")
-    counts = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    rate = known.agg(F.avg("toxic")).first()[0]
-    prior = float(min(max(rate if rate is not None else 0.1, 0.01), 0.5))
     start = {i: _posterior_rate(features[i], counts, prior) for i in induced}
     start |= {i: SEED_ACCURACY if i < n + len(SEEDS) else PATTERN_ACCURACY for i in seeds}
     weight, shift, base = label_model(taught, voters, start, prior)
