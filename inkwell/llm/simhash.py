@@ -31,7 +31,7 @@ SPLIT_BITS = 6
 #: Fingerprints of one task of the walk, about.
 TASK_SIZE = 200_000
 #: Node pairs that one step of the walk expands.
-FRONTIER = 400_000
+FRONTIER = 100_000
 #: A node pair of at most this many fingerprint pairs is compared outright.
 LEAF = 48
 
@@ -142,16 +142,17 @@ def _walk(sides: list[tuple[int, int, int, int, int, int]], values: np.ndarray,
 
         am, bm, same = cut(al, ah), cut(bl, bh), al == bl
         children = [
-            (al, am, bl, bm, 0, slice(None)),
-            (am, ah, bm, bh, 0, slice(None)),
-            (al, am, bm, bh, 1, slice(None)),
+            (al, am, bl, bm, 0, True),
+            (am, ah, bm, bh, 0, True),
+            (al, am, bm, bh, 1, True),
             (am, ah, bl, bm, 1, ~same),  # of a node with itself, one of the mixed pairs
         ]
-        for a, b, c, d, more, which in children:
-            x = np.stack([a, b, c, d, used + 1, differ + more], axis=1)[which]
-            x = x[(x[:, 0] < x[:, 1]) & (x[:, 2] < x[:, 3]) & (x[:, 5] <= BUDGET)]
-            if len(x):
-                stack.append(x)
+        below = []
+        for a, b, c, d, more, wanted in children:
+            keep = (a < b) & (c < d) & (differ + more <= BUDGET) & wanted
+            below.append(np.stack([a, b, c, d, used + 1, differ + more], axis=1)[keep])
+        # All pairs of a depth stay together: apart, they would soon be many arrays of few pairs.
+        stack.append(np.concatenate(below))
 
 
 def _rotated(fp: Column, block: Column) -> Column:
