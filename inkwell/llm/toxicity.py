@@ -53,7 +53,8 @@ SEEDS = {
 }
 #: Pattern voters: words in capitals in a row, runs of signs, and a seed word that speaks to someone.
 PATTERNS = ("shouting", "exclaiming", "accusing")
-_SHOUTING = re.compile(r"[A-Z]{4,}(?:[^A-Za-z]+[A-Z]{4,}){3,}")
+# Matches begin where a run of capitals does and never go back, so a long run takes linear time.
+_SHOUTING = re.compile(r"(?<![A-Z])[A-Z]{4,}+(?:[^A-Za-z]++[A-Z]{4,}+){3}")
 _ADDRESS = regex.compile(r"\b(?:you|you're|your|du|ihr|dein|tu|toi|vous|eres|usted)\P{L}+(?:\p{L}+\P{L}+)?$")
 
 

@@ -114,3 +114,10 @@ def test_toxicity_without_labels(spark, docs):
     found = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs([(1, "you are a moron and an idiot"), (2, "a pleasant day"), (3, None)]), none).collect()}
     assert found[1] > found[2] and found[2] == found[3]
     assert toxicity.toxicity_scores(docs([]), none).count() == 0
+
+
+def test_long_runs_of_capitals():
+    """Texts of one run of capitals take linear time."""
+    finder = toxicity._Finder([])
+    assert finder.find("A" * 1_000_000) == []
+    assert finder.find("x" + "LOUD, " * 4) == finder.find("LOUD WORDS 1 MORE !NOISE") == [finder.first_pattern]
