@@ -25,6 +25,8 @@ WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NONE = np.int64(1) << 40
 #: Cells of one merge matrix.
 CELLS = 1 << 21
+#: Bytes from which on a piece is merged by itself.
+LONG = 1 << 11
 #: Entries of a worker's cache of encoded chunks; it starts anew when it is full.
 CACHE = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -133,12 +135,45 @@ class Bpe:
             rank[each[has], at[has] - 1] = self._ranks(ids[each[has], at[has] - 1], best[has])
         return out
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """Encode one long piece; a round takes all pairs that rounds of `_merge` would take in a row.
+
+        These are the pairs of the minimum rank, of overlapping ones every second from the left, as
+        long as no pair that comes up on the way has that rank or a smaller one.  Else it is one pair.
+        """
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)].astype(np.int64)
+        rank = np.append(self._ranks(ids[:-1], ids[1:]), _NONE)
+        while (best := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == best)
+            if len(at) > 1:
+                opens = np.append(True, np.diff(at) > 1)
+                at = at[(at - at[opens][np.cumsum(opens) - 1]) % 2 == 0]
+                token = np.full(len(at), best)
+                follows = np.append(False, np.diff(at) == 2)
+                before = np.where(follows, best, ids[np.maximum(at - 1, 0)])
+                after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+                left = np.where(at > 0, self._ranks(before, token), _NONE)
+                if min(left.min(), self._ranks(token, after).min()) <= best:
+                    at = at[:1]
+            ids[at] = best
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, rank = ids[stays], rank[stays]
+            at = at - np.arange(len(at))
+            near = np.concatenate((at, at[at > 0] - 1))
+            rank[near] = self._ranks(ids[near], np.where(near + 1 < len(ids), ids[np.minimum(near + 1, len(ids) - 1)], -1))
+        return ids.astype("<u4").tobytes()
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian uint32, by matrices of pieces of like length."""
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
         out, at = [b""] * len(pieces), 0
         while at < len(order):
             low = len(pieces[order[at]])
+            if low > LONG:
+                out[order[at]] = self._merge_long(pieces[order[at]])
+                at += 1
+                continue
             end = at
             width = low
             while end < len(order) and (k := len(pieces[order[end]])) <= max(low + low // 4, 4) and (end - at + 1) * k <= max(CELLS, k):
@@ -173,13 +208,8 @@ class Bpe:
         for t in texts:
             parts = t.split(" ")
             if any(not p or p[0].isspace() for p in parts[1:]):
-                joined = parts[:1]
-                for p in parts[1:]:
-                    if not p or p[0].isspace():
-                        joined.append(f"{joined.pop()} {p}")
-                    else:
-                        joined.append(p)
-                parts = joined
+                starts = [0, *(i for i, p in enumerate(parts) if i and p and not p[0].isspace()), len(parts)]
+                parts = [" ".join(parts[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
             cut.append(parts)
         for into, prefix, each in ((self.firsts, "", ((x[0],) for x in cut)), (self.chunks, " ", (x[1:] for x in cut))):
             if len(into) > CACHE:
@@ -203,8 +233,8 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_co
     The ids are those of byte-level BPE without special tokens; decoded_sha256 is of the bytes that
     the ids decode to.  A null text counts as empty: 0 tokens and the digest of no bytes.  Rows are
     encoded by themselves, so repeated rows and identifiers change nothing; other columns are
-    ignored; an empty table gives an empty result.  A run of characters without a space is one
-    piece at most, and its merge takes as many rounds as it has merges.
+    ignored; an empty table gives an empty result.  A piece of over LONG bytes is
+    a matrix by itself, and its rounds merge more than one pair where that comes to the same.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Bpe(ranks, pattern))  # as large as the vocabulary

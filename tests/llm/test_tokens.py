@@ -30,6 +30,22 @@ def test_bpe(spark, docs):
     assert bpe.bpe_round_trip(docs([]), ranks, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("long", [0, 40, bpe.LONG])
+def test_long_pieces(monkeypatch, long):
+    """Pieces of any kind and length, by either way of merging, against the library."""
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "LONG", long)
+    rng = np.random.default_rng(3)
+    kinds = ["A", "ab", "ACGT", "the in er", "aaab", "=-", "äöü", "会議", " ", " \n", "aeioust", "abcdefghijklmnopqrstuvwxyz"]
+    texts = ["".join(rng.choice(list(k), n)) for k in kinds for n in (1, 2, 3, 50, 5_000)] + [" " * 50_000 + "x", "ing" * 3_000]
+    own = bpe.Bpe(ranks, P.PATTERN)
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
+        assert own.decode(ids) == t.encode()
+
+
 @pytest.fixture(scope="module")
 def word_bpe(spark):
     return packing.read_text(spark, P.path("word_bpe_49k.json"))
