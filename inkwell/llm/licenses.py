@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-Blocks of text that mention a grant are compressed alone and with each template
-as a zstandard raw dictionary.  The template that makes a block smallest
-against its size alone is the best guess; the words of block and template then
-have to agree, and the words that tell licenses apart have to agree exactly.
+Around each word that begins a grant, the text is compared with the templates
+that have that word: the words of window and template have to agree, and those
+that tell licenses apart have to agree exactly.  What agrees is compressed alone
+and with the template as a zstandard raw dictionary; of templates that overlap,
+the one that saves most bytes is the grant.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -49,28 +52,44 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Proprietary", "All rights reserved."),
 ]
-#: Words that begin a block: only text around one of them can be a grant.
+#: Words that begin a search: only text around one of them can be a grant.  A space stands for whatever is between words.
 CUES = ("licens", "permission", "redistribut", "free software", "public domain", "rights reserved", "source code form")
-#: Characters of a block before and after its cue.
-BEFORE, AFTER = 160, 320
-#: Templates, in order of the reduction, whose wording is compared.
-RANKED = 6
-#: Least reduction of the compressed size.
+#: Least reduction of the compressed size of what a template agrees with.
 MIN_REDUCTION = 0.2
-#: Least share of the template's words that the block must have in their order.
+#: Least share of the template's words that the text must have in their order.
 MIN_WORDING = 0.9
+#: One word in so many of the template's may come in between.
+EXTRA = 4
 
 #: Words that tell licenses apart: a difference in one of them refutes a template.
 _TELLING = frozenset(
     "apache mit gnu gpl lesser affero general bsd 2 3 2.0 2.1 3.0 4.0 1.0 2-clause 3-clause clause mozilla cc cc0 by by-sa by-nc by-nd sharealike noncommercial "
     "attribution attribution-sharealike attribution-noncommercial unencumbered not".split()
 )
-_CUE = re.compile("|".join(CUES))
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_CUE = re.compile("|".join(f"({c})" for c in CUES).replace(" ", r"[\W_]+"))
+#: A word may be broken after a hyphen, before the comment sign of the next line.
+_BROKEN = re.compile(r"-\r?\n[^\w\n]*")
+_WORD = re.compile(rf"[^\W_]+(?:(?:[.-]|{_BROKEN.pattern})[^\W_]+)*")
 
 
-def _words(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
+def _places(text: str) -> tuple[array, array]:
+    """Starts and ends of the words."""
+    starts, ends = array("q"), array("q")
+    for m in _WORD.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    return starts, ends
+
+
+def _word(text: str, start: int, end: int) -> str:
+    return _BROKEN.sub("-", text[start:end].lower())
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer would move the offsets
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
 
 
 class Scanner:
@@ -79,61 +98,61 @@ class Scanner:
     def __init__(self) -> None:
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.with_: list[zstandard.ZstdCompressor] = []
-        self.words = [[w for w, _, _ in _words(t)] for _, t in TEMPLATES]
-        for _, t in TEMPLATES:
-            d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.words: list[list[str]] = []
+        #: Templates and the places of a cue in them, by cue.
+        self.having: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, t) in enumerate(TEMPLATES):
+            low = t.lower()
+            d = zstandard.ZstdCompressionDict(low.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.with_.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.seen: dict[str, list[tuple[int, int, str, float]]] = {}
-
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Spans around cues, cut at the ends of lines; spans that overlap are one, up to a bound."""
-        low, out = text.lower(), []
-        if len(low) != len(text):  # a letter whose lower case is longer would move the offsets
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        for m in _CUE.finditer(low):
-            a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-            a = max(a, text.rfind("\n", a, m.start()) + 1)
-            if (end := text.find("\n", m.end(), b)) >= 0:
-                b = end
-            if out and a <= out[-1][1] and b - out[-1][0] <= BEFORE + AFTER + 64:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
-            else:
-                out.append((a, b))
-        return out
-
-    def identify(self, block: str) -> list[tuple[int, int, str, float]]:
-        """Grants in a block as (start, end, license, reduction): ranked by compression, confirmed by words."""
-        if block in self.seen:
-            return self.seen[block]
-        raw = block.lower().encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(raw))
-        cuts = sorted(((1 - len(c.compress(raw)) / size, -i) for i, c in enumerate(self.with_)), reverse=True)
-        words = _words(block)
-        found: list[tuple[int, int, str, float]] = []
-        for cut, i in cuts[:RANKED]:
-            if cut < MIN_REDUCTION:
-                break
-            span = _confirmed(self.words[-i], words)
-            if span and not any(a < span[1] and span[0] < b for a, b, _, _ in found):
-                found.append((*span, TEMPLATES[-i][0], cut))
-        found.sort()
-        if len(self.seen) > 50_000:
-            self.seen.clear()
-        self.seen[block] = found
-        return found
+            starts, ends = _places(low)
+            self.words.append([_word(low, a, b) for a, b in zip(starts, ends, strict=True)])
+            for m in _CUE.finditer(low):
+                self.having.setdefault(m.lastindex, []).append((i, bisect_right(starts, m.start()) - 1))
+        self.distinct = [frozenset(w) for w in self.words]
+        self.reach = max(len(w) + len(w) // EXTRA for w in self.words)
+
+    def grants(self, text: str, places: tuple[array, array], j: int, cue: int) -> Iterator[tuple[int, int, int, int, float]]:
+        """(bytes saved, -template, first word, end word, reduction) of the templates confirmed around a cue in word j."""
+        starts, ends = places
+        low, high = max(0, j - self.reach), min(len(starts), j + self.reach)
+        own = [_word(text, starts[x], ends[x]) for x in range(low, high)]
+        near = frozenset(own)
+        for i, k in self.having.get(cue, ()):
+            template = self.words[i]
+            lost = self.distinct[i] - near
+            if len(template) - len(lost) < MIN_WORDING * len(template) or not _TELLING.isdisjoint(lost):
+                continue  # it could not be confirmed
+            more = len(template) // EXTRA
+            a = max(low, j - k - more)
+            span = _confirmed(template, own[a - low : max(0, j - k + len(template) + more - low)])
+            if not span:
+                continue
+            first, last = a + span[0], a + span[1]
+            raw = " ".join(text[starts[first] : ends[last - 1]].lower().split()).encode("utf-8", "surrogatepass")
+            size = len(self.alone.compress(raw))
+            saved = size - len(self.with_[i].compress(raw))
+            if saved >= MIN_REDUCTION * size:
+                yield saved, -i, first, last, saved / size
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
+        """Grants in a text as (start, end, license, reduction)."""
+        cues = [(m.start(), m.lastindex) for m in _CUE.finditer(_lower(text))]
+        if not cues:
+            return []
+        places = starts, ends = _places(text)
+        found = {g for at, cue in cues for g in self.grants(text, places, bisect_right(starts, at) - 1, cue)}
+        taken = bytearray(len(starts))
         out: list[tuple[int, int, str, float]] = []
-        for a, b in self.blocks(text):
-            for x, y, name, cut in self.identify(text[a:b]):
-                if not any(s < a + y and a + x < e for s, e, _, _ in out):
-                    out.append((a + x, a + y, name, cut))
-        return out
+        for _, i, first, last, cut in sorted(found, key=lambda g: (-g[0], -g[1], g[2])):
+            if not any(taken[first:last]):
+                taken[first:last] = b"\1" * (last - first)
+                out.append((starts[first], ends[last - 1], TEMPLATES[-i][0], cut))
+        return sorted(out)
 
 
-def _confirmed(template: list[str], words: list[tuple[str, int, int]]) -> tuple[int, int] | None:
-    """Where the block has the template's words, or None if too many differ or one that tells licenses apart does."""
-    own = [w for w, _, _ in words]
+def _confirmed(template: list[str], own: list[str]) -> tuple[int, int] | None:
+    """Which of the words have the template's, or None if too many differ or one that tells licenses apart does."""
     same = [m for m in SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
     if not same or sum(m.size for m in same) < MIN_WORDING * len(template):
         return None
@@ -143,9 +162,9 @@ def _confirmed(template: list[str], words: list[tuple[str, int, int]]) -> tuple[
     first, last = same[0].b, same[-1].b + same[-1].size
     taken = {j for m in same for j in range(m.b, m.b + m.size)}
     extra = [own[j] for j in range(first, last) if j not in taken]
-    if any(w in _TELLING for w in extra) or len(extra) > len(template) // 4:
+    if any(w in _TELLING for w in extra) or len(extra) > len(template) // EXTRA:
         return None
-    return words[first][1], words[last - 1][2]
+    return first, last
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,12 +172,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     licenses: identifiers in alphabetical order, each once, joined with commas.  spans:
     license:start:end by start (code points, end exclusive).  best_reduction: largest share by which
-    a template shrinks a confirmed block, 0 without one, to six digits.
+    a template shrinks a confirmed grant, 0 without one, to six digits.
 
     A null or empty text grants nothing.  Rows are scanned by themselves, so repeated rows and
-    identifiers are kept; of templates that shrink a block equally the first in the list leads.
+    identifiers are kept; of templates that overlap, the one that saves most bytes leads, then the first
+    in the list.  A grant may stand within a line or run over several.
     Other columns are ignored.  An empty table gives an empty result.  Texts of any length are
-    scanned whole; only the text around a cue is compressed.
+    scanned whole; only what agrees with a template is compressed.
     """
     small_batches(docs.sparkSession)
 

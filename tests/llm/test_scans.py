@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 from inkwell.llm import licenses, pii, toxicity
@@ -79,6 +80,22 @@ def test_compression_ranks_the_right_template_first():
         assert name in {n for _, _, n, _ in scanner.scan(text)}
 
 
+PROSE = "The members met in the hall near the harbour, and after a long talk about boats, weather and the price of fish they agreed on a plan for the year. "
+
+
+def test_grants_within_prose_and_over_lines():
+    """Every template in the middle of a paragraph, and hard-wrapped with a comment sign, is found in its place."""
+    scanner = licenses.Scanner()
+    for name, grant in licenses.TEMPLATES:
+        text = PROSE + grant + " " + PROSE
+        assert [x[:3] for x in scanner.scan(text)] == [(len(PROSE), len(PROSE) + len(grant.rstrip(".")), name)], grant
+        for wrapped in (textwrap.fill(text, 40), textwrap.fill(grant, 18), textwrap.fill(text, 60, subsequent_indent=" # ")):
+            assert [n for _, _, n, _ in scanner.scan(wrapped)] == [name], wrapped
+    notice = "Copyright 2021 Harbour Society of Eastport and contributors. Licensed under the MIT License. All rights reserved."
+    assert [n for _, _, n, _ in scanner.scan(notice)] == ["MIT", "Proprietary"]
+    assert scanner.scan(PROSE + "The boat was licensed by the state, with permission of the owner. " + PROSE) == []
+
+
 def labelled(n=600):
     rng = random.Random(11)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(800)]
