@@ -22,7 +22,18 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import small_batches
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_CONDITIONS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution."
+)
+_BSD_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_BSD_ENDORSE = "to endorse or promote products derived from this software without specific prior written permission."
+_BSD_NAMES = f"Neither the name of the copyright holder nor the names of its contributors may be used {_BSD_ENDORSE}"
+
 #: Wordings of grants by SPDX identifier.  Fixed values: the notices that the licenses themselves ask for.
+#: The BSD licenses begin alike, so their conditions tell them apart; the beginning alone is LicenseRef-BSD.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
@@ -37,7 +48,12 @@ TEMPLATES: list[tuple[str, str]] = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("LicenseRef-BSD", _BSD),
+    ("BSD-2-Clause", f"{_BSD}: {_BSD_CONDITIONS}"),
+    ("BSD-3-Clause", f"{_BSD}: {_BSD_CONDITIONS} {_BSD_NAMES}"),
+    ("BSD-3-Clause", f"{_BSD}: {_BSD_CONDITIONS} The name of the author may not be used {_BSD_ENDORSE}"),
+    ("BSD-4-Clause", f"{_BSD}: {_BSD_CONDITIONS} {_BSD_ADVERTISING} {_BSD_NAMES}"),
+    ("BSD-4-Clause", f"{_BSD}: {_BSD_CONDITIONS} {_BSD_ADVERTISING} The name of the author may not be used {_BSD_ENDORSE}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -66,6 +82,8 @@ _TELLING = frozenset(
     "apache mit gnu gpl lesser affero general bsd 2 3 2.0 2.1 3.0 4.0 1.0 2-clause 3-clause clause mozilla cc cc0 by by-sa by-nc by-nd sharealike noncommercial "
     "attribution attribution-sharealike attribution-noncommercial unencumbered not".split()
 )
+#: Numbers of the conditions in a list, which tell nothing apart there.
+_NUMBERS = frozenset("1 2 3 4".split())
 _CUE = re.compile("|".join(f"({c})" for c in CUES).replace(" ", r"[\W_]+"))
 #: A word may be broken after a hyphen, before the comment sign of the next line.
 _BROKEN = re.compile(r"-\r?\n[^\w\n]*")
@@ -100,7 +118,7 @@ class Scanner:
         self.with_: list[zstandard.ZstdCompressor] = []
         self.words: list[list[str]] = []
         #: Templates and the places of a cue in them, by cue.
-        self.having: dict[int, list[tuple[int, int]]] = {}
+        self.having: dict[int, dict[int, list[int]]] = {}
         for i, (_, t) in enumerate(TEMPLATES):
             low = t.lower()
             d = zstandard.ZstdCompressionDict(low.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -108,27 +126,32 @@ class Scanner:
             starts, ends = _places(low)
             self.words.append([_word(low, a, b) for a, b in zip(starts, ends, strict=True)])
             for m in _CUE.finditer(low):
-                self.having.setdefault(m.lastindex, []).append((i, bisect_right(starts, m.start()) - 1))
+                self.having.setdefault(m.lastindex, {}).setdefault(i, []).append(bisect_right(starts, m.start()) - 1)
         self.distinct = [frozenset(w) for w in self.words]
         self.reach = max(len(w) + len(w) // EXTRA for w in self.words)
 
-    def grants(self, text: str, places: tuple[array, array], j: int, cue: int) -> Iterator[tuple[int, int, int, int, float]]:
-        """(bytes saved, -template, first word, end word, reduction) of the templates confirmed around a cue in word j."""
+    def grants(self, text: str, places: tuple[array, array], taken: bytearray, j: int, cue: int) -> Iterator[tuple[int, int, int, int, float]]:
+        """(bytes saved, -template, first word, end word, reduction) of the templates confirmed around a cue in word j, among words not taken."""
         starts, ends = places
         low, high = max(0, j - self.reach), min(len(starts), j + self.reach)
+        low = taken.rfind(1, low, j) + 1 or low
+        high = end if (end := taken.find(1, j, high)) >= 0 else high
         own = [_word(text, starts[x], ends[x]) for x in range(low, high)]
         near = frozenset(own)
-        for i, k in self.having.get(cue, ()):
+        for i, at in self.having.get(cue, {}).items():
             template = self.words[i]
             lost = self.distinct[i] - near
             if len(template) - len(lost) < MIN_WORDING * len(template) or not _TELLING.isdisjoint(lost):
                 continue  # it could not be confirmed
             more = len(template) // EXTRA
-            a = max(low, j - k - more)
-            span = _confirmed(template, own[a - low : max(0, j - k + len(template) + more - low)])
-            if not span:
+            spans = []
+            for k in at:
+                a = max(low, j - k - more)
+                if span := _confirmed(template, own[a - low : max(0, j - k + len(template) + more - low)]):
+                    spans.append((span[0], a + span[1], a + span[2]))
+            if not spans:
                 continue
-            first, last = a + span[0], a + span[1]
+            _, first, last = max(spans)
             raw = " ".join(text[starts[first] : ends[last - 1]].lower().split()).encode("utf-8", "surrogatepass")
             size = len(self.alone.compress(raw))
             saved = size - len(self.with_[i].compress(raw))
@@ -141,18 +164,21 @@ class Scanner:
         if not cues:
             return []
         places = starts, ends = _places(text)
-        found = {g for at, cue in cues for g in self.grants(text, places, bisect_right(starts, at) - 1, cue)}
+        left = [(bisect_right(starts, at) - 1, cue) for at, cue in cues]
         taken = bytearray(len(starts))
         out: list[tuple[int, int, str, float]] = []
-        for _, i, first, last, cut in sorted(found, key=lambda g: (-g[0], -g[1], g[2])):
-            if not any(taken[first:last]):
-                taken[first:last] = b"\1" * (last - first)
-                out.append((starts[first], ends[last - 1], TEMPLATES[-i][0], cut))
+        while found := {g for j, cue in left for g in self.grants(text, places, taken, j, cue)}:
+            for _, i, first, last, cut in sorted(found, key=lambda g: (-g[0], -g[1], g[2])):
+                if 1 not in taken[first:last]:
+                    taken[first:last] = b"\1" * (last - first)
+                    out.append((starts[first], ends[last - 1], TEMPLATES[-i][0], cut))
+            # What the grants leave over is searched again: words beside a grant may have hidden another.
+            left = [(j, cue) for j, cue in left if not taken[j] and 1 in taken[max(0, j - self.reach) : j + self.reach]]
         return sorted(out)
 
 
-def _confirmed(template: list[str], own: list[str]) -> tuple[int, int] | None:
-    """Which of the words have the template's, or None if too many differ or one that tells licenses apart does."""
+def _confirmed(template: list[str], own: list[str]) -> tuple[int, int, int] | None:
+    """How many of the template's words there are, from where to where, or None if too many differ or one that tells licenses apart does."""
     same = [m for m in SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
     if not same or sum(m.size for m in same) < MIN_WORDING * len(template):
         return None
@@ -162,9 +188,10 @@ def _confirmed(template: list[str], own: list[str]) -> tuple[int, int] | None:
     first, last = same[0].b, same[-1].b + same[-1].size
     taken = {j for m in same for j in range(m.b, m.b + m.size)}
     extra = [own[j] for j in range(first, last) if j not in taken]
-    if any(w in _TELLING for w in extra) or len(extra) > len(template) // EXTRA:
+    telling = _TELLING - _NUMBERS if "redistributions" in template else _TELLING
+    if any(w in telling for w in extra) or len(extra) > len(template) // EXTRA:
         return None
-    return first, last
+    return len(taken), first, last
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

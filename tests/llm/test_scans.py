@@ -96,6 +96,42 @@ def test_grants_within_prose_and_over_lines():
     assert scanner.scan(PROSE + "The boat was licensed by the state, with permission of the owner. " + PROSE) == []
 
 
+def test_every_grant_of_a_line():
+    """Several grants beside each other, lookalikes among them, and one that is repeated."""
+    scanner = licenses.Scanner()
+
+    def names(text):
+        return [n for _, _, n, _ in scanner.scan(text)]
+
+    assert names("All rights reserved. Licensed under the Apache License, Version 2.0.") == ["Proprietary", "Apache-2.0"]
+    assert names("Licensed under the MIT License. Licensed under CC BY 4.0. All rights reserved.") == ["MIT", "CC-BY-4.0", "Proprietary"]
+    assert names("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert names("Licensed under the MIT License. " * 5) == ["MIT"] * 5
+    grants = sorted(licenses.TEMPLATES * 2, key=lambda t: zlib.crc32(t[1].encode()))
+    assert names(" ".join(t for _, t in grants if t != licenses._BSD)) == [n for n, t in grants if t != licenses._BSD]
+
+
+def test_bsd_by_its_conditions():
+    two = f"""{licenses._BSD}:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    three = two + """
+3. Neither the name of Eastport Society nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+    advert = "\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by Eastport Society.\n"
+    end = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".'
+    for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (two + advert + three[len(two) :].replace("3.", "4."), "BSD-4-Clause"), (f"{licenses._BSD}: none.", "LicenseRef-BSD")):
+        assert [n for _, _, n, _ in licenses.Scanner().scan(PROSE + text + end)] == [name]
+
+
 def labelled(n=600):
     rng = random.Random(11)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(800)]
