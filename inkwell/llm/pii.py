@@ -36,6 +36,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What every entity and every candidate holds.
 _HINT = re.compile(r"[0-9@]")
 _TRIM = "\"'`,;:.!?()[]{}<>="
+#: Groups of an identifier that has spaces, and what may stand between two of them: a space or two, with a sign or some capitals.
+_GROUP = re.compile(r"[0-9][0-9()./-]*|[A-Za-z]{1,4}[0-9]{1,4}[A-Za-z]{0,2}|(?=[A-Z]*[0-9])[A-Z0-9]{2,6}")
+_SPACE = r"[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]{1,2}"
+_GAP = re.compile(rf"{_SPACE}(?:(?:[/–-]|[A-Z]{{2,4}}){_SPACE})?")
+#: Letters and digits of the longest identifier that has spaces (an IBAN).
+LONGEST = 34
 #: Characters on each side of a candidate that may hold its context.
 CONTEXT = 64
 
@@ -119,14 +125,29 @@ def _contexts(text: str, a: int, b: int) -> list[str]:
 
 
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[str]]]:
-    """(start, end, instance, kind or -1, patterns) of the seeds and of what else looks like an identifier."""
+    """(start, end, instance, kind or -1, patterns) of the seeds and of what else looks like an identifier.
+
+    Groups of digits beside each other in a line are one identifier, up to LONGEST letters and digits.
+    """
     out = [(a, b, text[a:b], k, _contexts(text, a, b)) for a, k, b in spans]
     starts = [a for a, _, _ in spans]
     latest, reach = [], 0
     for _, _, b in spans:
         reach = max(reach, b)
         latest.append(reach)
-    at = 0
+
+    def add(a: int, b: int) -> None:
+        opened = text.count("(", a, b) - text.count(")", a, b)
+        if opened < 0 and text[a - 1 : a] == "(":
+            a -= 1
+        elif opened > 0 and text[b : b + 1] == ")":
+            b += 1
+        token = text[a:b]
+        if b - a >= 5 and ("@" in token or sum(map(str.isdigit, token)) >= 2):
+            out.append((a, b, token, -1, _contexts(text, a, b)))
+
+    run: tuple[int, int] | None = None  # groups that may go on, where they end, and their letters and digits
+    ended = length = at = 0
     while hint := _HINT.search(text, at):
         begin, end = hint.start(), hint.end()
         while begin > at and not text[begin - 1].isspace():
@@ -135,17 +156,36 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         while end < size and not text[end].isspace():
             end += 1
         at = end
-        token = text[begin:end]
+        first, token = begin, text[begin:end]
         cut = max(token.rfind("="), token.rfind(":")) + 1  # what a key introduces
         if 0 < cut < len(token):
             begin, token = begin + cut, token[cut:]
         a, b = begin + len(token) - len(token.lstrip(_TRIM)), end - len(token) + len(token.rstrip(_TRIM))
-        if b - a < 5 or "@" not in token and sum(map(str.isdigit, token)) < 2:
+        if a >= b:
             continue
         i = bisect_right(starts, b - 1)
-        if i and latest[i - 1] > a:
-            continue  # it overlaps a seed
-        out.append((a, b, text[a:b], -1, _contexts(text, a, b)))
+        seed = i and latest[i - 1] > a
+        group = not seed and _GROUP.fullmatch(text, a, b)
+        own = sum(map(str.isalnum, text[a:b])) if group else 0
+        if run:
+            between = text[ended:first]
+            if group and first == begin and text[begin:a] in ("", "(") and length + own <= LONGEST and len(between) <= 9 and _GAP.fullmatch(between):
+                run, length = (run[0], b), length + own
+            else:
+                add(*run)
+                run = None
+        if not run:
+            if group:
+                run, length = (a, b), own
+            elif not seed:
+                add(a, b)
+        if run:
+            ended = end
+            if text[b:end] not in ("", ")"):  # a sign ends it
+                add(*run)
+                run = None
+    if run:
+        add(*run)
     return out
 
 

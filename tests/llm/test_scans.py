@@ -54,6 +54,37 @@ def test_patterns_find_unseen_formats(docs):
     assert texts[0] == "the member phone [PHONE] is listed" and len(texts) == len(rows)
 
 
+def test_patterns_find_identifiers_with_spaces(docs):
+    """Spaced and bracketed identifiers are found whole, each by the words around all of it."""
+    cards = [f"4{i:014}" for i in range(1000, 1040)]
+    cards = [next(c + d for d in "0123456789" if luhn(c + d)) for c in cards]
+    rows = [(i, f"the member phone +1 555 010 {1000 + i} is listed") for i in range(60)] + [(100 + i, f"paid from account {c} today") for i, c in enumerate(cards)]
+    phones = ("020 7946 0958", "07700 900123", "(743) 555-3824", "020 - 7946 - 0958", "(0)20 7946 0958")
+    accounts = ("DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606")
+    rows += [(200 + i, f"the member phone {x} is listed") for i, x in enumerate(phones)] + [(300 + i, f"paid from account {x} today") for i, x in enumerate(accounts)]
+    rows += [(401, "the member phone 07700 900123. 20 boats"), (402, "the member phone 07700 900123\n44 55 66"), (403, "use part 020 7946 0958 here")]
+    rows += [(404, "the member phone 07700 900123 " + "12345 67890 " * 50)]
+    found = {r["doc_id"]: r for r in pii.personal_data(docs(rows)).collect()}
+    for i, x in enumerate(phones):
+        assert found[200 + i]["spans"] == f"phone:17:{17 + len(x)}", x
+    for i, x in enumerate(accounts):
+        assert found[300 + i]["spans"] == f"card:18:{18 + len(x)}", x
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(docs(rows)).collect()}
+    assert texts[201] == texts[202] == "the member phone [PHONE] is listed"
+    assert [texts[d] for d in (401, 402, 403)] == ["the member phone [PHONE]. 20 boats", "the member phone [PHONE]\n44 55 66", "use part 020 7946 0958 here"]
+    assert "07700" not in texts[404] and "900123" not in texts[404]
+
+
+def test_candidates_are_whole():
+    def found(text):
+        return [x[2] for x in pii._candidates(text, pii.base_spans(text))]
+
+    assert found("phone=(743) 555-3824, (020 7946 0958) or a@b.c 07700 900123\n44556") == ["a@b.c", "(743) 555-3824", "020 7946 0958", "07700 900123", "44556"]
+    assert found("use 12345-67 and item 99 a1b2c3d4e5f6 10.0.0.1 77777") == ["10.0.0.1", "12345-67", "a1b2c3d4e5f6", "77777"]
+    text = "1 22 333 " * 2_000
+    assert "".join(found(text)).replace(" ", "") == text.replace(" ", "") and max(map(len, found(text))) < 2 * pii.LONGEST
+
+
 def test_redact_keeps_rows(docs):
     rows = [*EDGES, (8, "a@b.c"), (8, "a@b.c"), (8, "b@c.d and a@b.c"), (None, "1.2.3.4")]
     found = pii.redact(docs(rows))
