@@ -229,17 +229,27 @@ def llm_items(df: DataFrame, json_col: str = "text") -> DataFrame:
 
 
 def pdf_pages(df: DataFrame, content_col: str = "content") -> DataFrame:
-    """A row for each page with text of PDF files; needs the optional package pypdf on the workers."""
-    schema = "array<struct<page_number:int,total_pages:int,content:string>>"
+    """A row for each page with text of PDF files; a file that cannot be read is one row with an error.
+
+    Needs the optional package pypdf on the workers; without it every file is an error.
+    """
+    schema = "array<struct<doc_seq:int,page_number:int,total_pages:int,content:string,error:string>>"
 
     @F.pandas_udf(schema)
     def pages(files: pd.Series) -> pd.Series:
-        return pd.Series([list(_pages(f)) for f in files])
+        return pd.Series([_pages_or_error(f) for f in files])
 
     rest = [c for c in df.columns if c != content_col]
     return df.select(*rest, F.explode(pages(F.col(content_col))).alias("_p")).select(*rest, "_p.*")
 
 
+def _pages_or_error(content: bytes) -> list[dict]:
+    try:
+        return [{"doc_seq": p["page_number"] - 1, **p, "error": None} for p in _pages(content)]
+    except Exception as e:  # whatever pypdf meets in a broken file
+        return [{"doc_seq": 0, "page_number": None, "total_pages": None, "content": None, "error": f"pdf: {e}"}]
+
+
 def _pages(content: bytes) -> Iterator[dict]:
     from io import BytesIO
 

@@ -58,10 +58,17 @@ def index_chunks(store: PointStore, chunks: DataFrame, collection: str = "docume
 
 
 def index_folder(spark: SparkSession, store: PointStore, path: str, collection: str = "documents", strategies: Strategies | None = None) -> dict[str, int]:
-    """Scan a folder, parse, chunk and index its files; a content that occurs twice is read once."""
+    """Scan a folder, parse, chunk and index its files; a content that occurs twice is read once.
+
+    Files that cannot be read, or that no strategy reads, are the rows of `store.errors`.
+    """
     strategies = strategies or Strategies()
-    files = scan_files(spark, path, list(strategies.by_suffix))
-    return index_chunks(store, read_chunks(new_files(files, spark.createDataFrame([], "file_hash string")), strategies), collection)
+    known = list(strategies.by_suffix)
+    chunks = read_chunks(new_files(scan_files(spark, path, known), spark.createDataFrame([], "file_hash string")), strategies)
+    skipped = scan_files(spark, path).select("path", F.coalesce("error", F.when(~F.col("suffix").isin(*known), "no_strategy")).alias("error"))
+    failed = skipped.unionByName(chunks.select(F.col("source").alias("path"), "error")).filter("error is not null")
+    store.errors(collection).replace(failed)
+    return index_chunks(store, chunks, collection)
 
 
 def search_points(store: PointStore, queries: DataFrame, collection: str = "documents", top_k: int = 20, rerank_k: int = 5, conditions: dict[str, object] | None = None) -> DataFrame:

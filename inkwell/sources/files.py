@@ -70,7 +70,10 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "paper": parsing.parse_latex,
     "code": parsing.parse_code,
     "llm": parsing.llm_items,
+    "pdf": parsing.pdf_pages,
 }
+#: Parsers of bytes; the others take text.
+BINARY = ("pdf",)
 CHUNKERS: dict[str, Chunker] = {
     "structure": _of_content(chunking.chunk_structure),
     "recursive": _of_content(chunking.chunk_recursive),
@@ -94,6 +97,7 @@ class Strategies:
     def __init__(self) -> None:
         self.by_suffix = {
             ".md": Strategy("markdown", "structure", {"overlap": 50}),
+            ".pdf": Strategy("pdf", "recursive", {"size": 1000, "overlap": 150}),
             ".py": Strategy("code", "ast"),
             ".tex": Strategy("paper", "structure", {"overlap": 100}),
         }
@@ -120,12 +124,19 @@ class Strategies:
 
 
 def read_chunks(files: DataFrame, strategies: Strategies | None = None) -> DataFrame:
-    """Chunks of files (path, suffix, content): one branch for each strategy, then their union."""
+    """Chunks of files (path, suffix, content): one branch for each strategy, then their union.
+
+    What cannot be parsed is a row with an error and without content.
+    """
     strategies = strategies or Strategies()
     out = None
     for suffix_, s in strategies.by_suffix.items():
-        text = files.filter(F.col("suffix") == suffix_).select("path", F.decode("content", "UTF-8").alias("text"))
-        chunks = CHUNKERS[s.chunker](PARSERS[s.parser](text), **s.config)
+        content = F.col("content") if s.parser in BINARY else F.decode("content", "UTF-8").alias("text")
+        parsed = PARSERS[s.parser](files.filter(F.col("suffix") == suffix_).select("path", content))
+        good = parsed.filter("error is null") if "error" in parsed.columns else parsed
+        chunks = CHUNKERS[s.chunker](good, **s.config).withColumn("error", F.lit(None).cast("string"))
+        if "error" in parsed.columns:
+            chunks = chunks.unionByName(parsed.filter("error is not null").select("path", "error"), allowMissingColumns=True)
         out = chunks if out is None else out.unionByName(chunks)
     return out.withColumnRenamed("path", "source")
 

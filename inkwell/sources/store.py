@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-POINTS = "id string, dense array<float>, sparse map<string,double>, content string, source string, chunk_type string, chunk_hash string"
+POINTS = "id string, dense array<float>, sparse map<string,double>, content string, source string, chunk_type string, chunk_hash string, copyright_source string, copyright_license string"
 STATUS = "chunk_hash string, ts timestamp"
+ERRORS = "path string, error string"
 
 
 class Table:
@@ -78,6 +79,10 @@ class PointStore:
     def status(self, collection: str) -> Table:
         return Table(self.spark, f"{self.path}/{collection}/status", STATUS)
 
+    def errors(self, collection: str) -> Table:
+        """The files that the last run over a folder could not index."""
+        return Table(self.spark, f"{self.path}/{collection}/errors", ERRORS)
+
     def unseen(self, collection: str, chunks: DataFrame) -> DataFrame:
         """Chunks whose hash the collection has not indexed."""
         return chunks.join(self.status(collection).read().select("chunk_hash"), "chunk_hash", "left_anti")
@@ -100,6 +105,7 @@ class PointStore:
     def drop(self, collection: str) -> None:
         self.points(collection).drop()
         self.status(collection).drop()
+        self.errors(collection).drop()
 
     def count(self, collection: str) -> int:
         return self.points(collection).read().count()

@@ -57,6 +57,45 @@ def test_folder(spark, tmp_path):
         files.export_chunks(chunks(spark, "a"), "x", "xml")
 
 
+def test_folder_reports_what_it_cannot_read(spark, tmp_path):
+    """A PDF is read or is a row with an error; so are files without a strategy and sources that do not parse."""
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for name, content in (("a.md", "# T\nbody"), ("broken.PDF", "no pdf"), ("bad.py", "def ("), ("b.txt", "x"), ("c.bin", "x")):
+        (docs / name).write_text(content)
+    store = PointStore(spark, f"file://{tmp_path}/store")
+    assert index_folder(spark, store, f"file://{docs}") == {"chunks": 1, "points": 1}
+    failed = {r["path"].rsplit("/", 1)[1]: r["error"].split(":")[0] for r in store.errors("documents").read().collect()}
+    assert failed == {"broken.PDF": "pdf", "bad.py": "syntax", "b.txt": "no_strategy", "c.bin": "unsupported"}
+
+
+def test_pdf_strategy(spark, monkeypatch):
+    """Pages go through the default strategy; pypdf is optional, so a stand-in has its place."""
+    import sys
+    from types import SimpleNamespace
+
+    from inkwell.operators import parsing
+
+    page = [SimpleNamespace(extract_text=lambda t=t: t) for t in (" one ", "", "three")]
+    monkeypatch.setitem(sys.modules, "pypdf", SimpleNamespace(PdfReader=lambda f: SimpleNamespace(pages=page)))
+    found = parsing._pages_or_error(b"x")
+    assert [(p["doc_seq"], p["page_number"], p["total_pages"], p["content"], p["error"]) for p in found] == [(0, 1, 3, "one", None), (2, 3, 3, "three", None)]
+    assert files.Strategies().get("pdf") == files.Strategy("pdf", "recursive", {"size": 1000, "overlap": 150})
+    pages = spark.createDataFrame([("a.pdf", 0, "word " * 300, None), ("b.pdf", 0, None, "pdf: bad")], "path string, doc_seq int, content string, error string")
+    monkeypatch.setitem(files.PARSERS, "pdf", lambda df: pages.join(df.select("path"), "path"))
+    given = spark.createDataFrame([("a.pdf", ".pdf", b"\xff"), ("b.pdf", ".pdf", b"\xff")], "path string, suffix string, content binary")
+    rows = files.read_chunks(given).collect()
+    assert {(r["source"], r["error"], r["chunk_type"]) for r in rows} == {("a.pdf", None, "recursive"), ("b.pdf", "pdf: bad", None)}
+    assert sum(r["source"] == "a.pdf" for r in rows) == 2 and max(len(r["content"] or "") for r in rows) <= 1000
+
+
+def test_copyright_columns_are_stored(spark, tmp_path):
+    store = PointStore(spark, f"file://{tmp_path}/store")
+    index_chunks(store, chunks(spark, "alpha").withColumn("source", F.lit("mit/s.md")), "a")
+    row = store.points("a").read().first()
+    assert row["copyright_source"] == "mit/s.md" and "copyright_license" in row
+
+
 def test_strategies():
     s = files.Strategies()
     s.load_yaml("strategies:\n  .TXT:\n    parser: markdown\n    chunker: recursive\n    config: {size: 10}\n")
