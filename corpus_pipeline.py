@@ -32,10 +32,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest identifier."""
-    groups = simhash.simhash_components(docs.select("doc_id", "text"))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest identifier, nulls last, then the first row."""
+    # Identifiers may repeat, so each row gets a key of its own; it is written, so that it stays the same.
+    keyed = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "keyed")
+    groups = simhash.simhash_components(keyed, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    return keyed.join(first.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,15 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(found.collect(), found.schema)
     pieces = found.collect()
     assert {r["doc_id"] for r in pieces} == {d for d, _ in given}
+
+
+def test_one_of_near_with_repeated_identifiers(spark, docs):
+    """One row of each group stays, however identifiers repeat or lack."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i * i}" for i in range(60)) for x in "abcd")
+    rows_ = [(1, a), (1, a), (2, b), (2, a), (None, a), (None, c), (None, c), (3, d), (None, d), (None, d), (2, b)]
+    found = corpus_pipeline.keep_one_of_near(spark, docs(rows_), SMALL)
+    assert found.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (3, d)], key=str)
+    assert corpus_pipeline.keep_one_of_near(spark, docs([]), SMALL).count() == 0
