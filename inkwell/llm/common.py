@@ -59,6 +59,30 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than this, whatever the input.
+HOT_KEYS = 10_000
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, keys: list[str], copies: str | None = None) -> DataFrame:
+    """Inner join of `rows` with `lookup`, which has one row for each key; no task gets all rows of a hot key.
+
+    The lookup's rows of hot keys, a bounded number, are broadcast, and the other rows are
+    shuffled.  `copies` names the lookup's column with the number of a key's rows, if it has one, and is dropped.
+    `rows` is read several times, so it should be a written table.
+    """
+    share = rows.count() // HOT_KEYS
+    if copies is None:
+        copies = "_copies"
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(copies)).filter(F.col(copies) > share)
+        hot = lookup.join(counts, keys, "left_semi").drop(copies)
+        cold = lookup
+    else:
+        hot, cold = lookup.filter(F.col(copies) > share).drop(copies), lookup.filter(F.col(copies) <= share).drop(copies)
+    found = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return found.unionByName(rest)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, unless the session chose a size itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

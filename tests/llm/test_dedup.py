@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 import xxhash
 
 from inkwell.llm import components, exact_dedup, line_dedup, quality, simhash
@@ -113,10 +114,10 @@ def lines_kept(rows, min_lines=2, min_words=5):
         real = [i for i, x in enumerate(parts) if WORD.search(x)]
         gone = set()
         for n in range(len(real)):
-            for width in (1, min_lines):
+            for width in {1, min_lines}:
                 run = real[n : n + width]
                 key = tuple(parts[i] for i in run)
-                if len(run) < width or width == 1 and len(WORD.findall(key[0])) < min_words:
+                if len(run) < width or width == 1 < min_lines and len(WORD.findall(key[0])) < min_words:
                     continue
                 if key in seen:
                     gone.update(range(n, n + width))
@@ -141,6 +142,42 @@ def test_lines(docs):
     assert line_dedup.line_dedup(docs([])).count() == 0
 
 
+def line_tables(seed):
+    """Short lines drawn from a pool, and documents that share runs of 40 lines."""
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(25)] + ["", " "]
+    rows = [*EDGES, *((50 + i, "\n".join(rng.choices(pool, k=rng.randint(0, 12)))) for i in range(60))]
+    long = [" ".join(rng.choices("ijklmnop", k=3)) + str(i) for i in range(40)]
+    for i in range(12):
+        own = [f"own {i} {k}" for k in range(rng.randint(0, 3))]
+        a, b = sorted((rng.randint(0, 40), rng.randint(0, 40)))
+        rows.append((200 + i, "\n".join([*own, *long[a if i % 3 else 0 : b if i % 3 else 40], "", *own[:1], *(["x"] * (i % 4))])))
+    return rows + rows[20:24]
+
+
+@pytest.mark.parametrize("min_lines", [1, 2, 3, 4, 5])
+def test_lines_of_any_least_run(docs, min_lines):
+    rows = line_tables(min_lines)
+    want = lines_kept(rows, min_lines)
+    found = line_dedup.line_dedup(docs(rows), min_lines=min_lines).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(((d, want.get((d, t))) for d, t in rows), key=str)
+
+
+def test_repeated_runs_are_maximal(docs):
+    """Each run repeats its source and ends where the two begin to differ; 40 shared lines are one run."""
+    rows = [(d, t) for d, t in line_tables(9) if d is not None and d != 8]
+    real = {d: [x for x in (t or "").split("\n") if WORD.search(x)] for d, t in rows}
+    runs = line_dedup.repeated_runs(docs(rows)).collect()
+    assert any(r["to"] - r["from"] >= 40 for r in runs)
+    for r in runs:
+        own, source, n = real[r["doc_id"]], real[r["source_id"]], r["to"] - r["from"]
+        assert (r["source_id"], r["source_from"]) < (r["doc_id"], r["from"])
+        assert own[r["from"] : r["to"]] == source[r["source_from"] : r["source_from"] + n]
+    planted = [r for r in runs if r["doc_id"] in (203, 206, 209)]
+    assert all(any(r["doc_id"] == d and r["to"] - r["from"] >= 40 and r["source_id"] == 200 for r in planted) for d in (203, 206, 209))
+    assert line_dedup.repeated_runs(docs([])).count() == 0
+
+
 def measures(text):
     words = WORD.findall(text or "")
     five = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
