@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-Around each word that begins a grant, the text is compared with the templates
-that have that word: the words of window and template have to agree, and those
-that tell licenses apart have to agree exactly.  What agrees is compressed alone
-and with the template as a zstandard raw dictionary; of templates that overlap,
-the one that saves most bytes is the grant.
+A candidate block is as many words as a template has, laid so that the block and
+the template have a word that begins grants in the same place.  Each block is
+compressed alone and with its template as a zstandard raw dictionary, and what
+shrinks by MIN_REDUCTION is ranked by the bytes saved.  In that order, winners
+are confirmed by their exact differences in wording: nearly all words of the
+template have to be there, and those that tell licenses apart all of them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,23 @@ _BSD_CONDITIONS = (
     "in the documentation and/or other materials provided with the distribution."
 )
 _BSD_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+_MIT_BODY = (
+    ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+_APACHE_BODY = (
+    " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_BODY = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+)
 _BSD_ENDORSE = "to endorse or promote products derived from this software without specific prior written permission."
 _BSD_NAMES = f"Neither the name of the copyright holder nor the names of its contributors may be used {_BSD_ENDORSE}"
 
@@ -36,16 +54,22 @@ _BSD_NAMES = f"Neither the name of the copyright holder nor the names of its con
 #: The BSD licenses begin alike, so their conditions tell them apart; the beginning alone is LicenseRef-BSD.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + _APACHE_BODY),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_BODY),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; " + _GNU.format("General Public", "2")),
+    ("GPL-3.0", "This program is free software: " + _GNU.format("General Public", "3")),
     ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", "This library is free software; " + _GNU.format("Lesser General Public", "2.1")),
+    ("LGPL-3.0", "This library is free software: " + _GNU.format("Lesser General Public", "3")),
+    ("AGPL-3.0", "This program is free software: " + _GNU.format("Affero General Public", "3")),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("LicenseRef-BSD", _BSD),
@@ -56,7 +80,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD-4-Clause", f"{_BSD}: {_BSD_CONDITIONS} {_BSD_ADVERTISING} The name of the author may not be used {_BSD_ENDORSE}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", _ISC),
+    ("ISC", _ISC + _ISC_BODY),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -70,7 +95,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 #: Words that begin a search: only text around one of them can be a grant.  A space stands for whatever is between words.
 CUES = ("licens", "permission", "redistribut", "free software", "public domain", "rights reserved", "source code form")
-#: Least reduction of the compressed size of what a template agrees with.
+#: Least share by which a template has to shrink a block.
 MIN_REDUCTION = 0.2
 #: Least share of the template's words that the text must have in their order.
 MIN_WORDING = 0.9
@@ -121,59 +146,78 @@ class Scanner:
         self.having: dict[int, dict[int, list[int]]] = {}
         for i, (_, t) in enumerate(TEMPLATES):
             low = t.lower()
-            d = zstandard.ZstdCompressionDict(low.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.with_.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
             starts, ends = _places(low)
             self.words.append([_word(low, a, b) for a, b in zip(starts, ends, strict=True)])
+            d = zstandard.ZstdCompressionDict(" ".join(self.words[i]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=3)
+            self.with_.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
             for m in _CUE.finditer(low):
                 self.having.setdefault(m.lastindex, {}).setdefault(i, []).append(bisect_right(starts, m.start()) - 1)
-        self.distinct = [frozenset(w) for w in self.words]
         self.reach = max(len(w) + len(w) // EXTRA for w in self.words)
 
-    def grants(self, text: str, places: tuple[array, array], taken: bytearray, j: int, cue: int) -> Iterator[tuple[int, int, int, int, float]]:
-        """(bytes saved, -template, first word, end word, reduction) of the templates confirmed around a cue in word j, among words not taken."""
-        starts, ends = places
-        low, high = max(0, j - self.reach), min(len(starts), j + self.reach)
+    def ranked(self, words: list[str], cues: list[tuple[int, int]]) -> list[tuple[int, int, int, float, list[int]]]:
+        """(bytes saved, template, word of the cue, reduction, its places in the template) of the blocks that a template shrinks, the most bytes first.
+
+        A template that has the cue in several places has a block for each; they are in the order of their reduction.
+        """
+        alone: dict[tuple[int, int], tuple[bytes, int]] = {}
+        out = []
+        for j, cue in cues:
+            for i, at in self.having.get(cue, {}).items():
+                blocks = []
+                for k in at:
+                    block = max(0, j - k), j - k + len(self.words[i])
+                    if block not in alone:
+                        raw = " ".join(words[slice(*block)]).encode("utf-8", "surrogatepass")
+                        alone[block] = raw, len(self.alone.compress(raw))
+                    raw, size = alone[block]
+                    saved = size - len(self.with_[i].compress(raw))
+                    if saved >= MIN_REDUCTION * size:
+                        blocks.append((-saved / size, k, saved))
+                if blocks:
+                    blocks.sort()
+                    out.append((blocks[0][2], i, j, -blocks[0][0], [k for _, k, _ in blocks]))
+        return sorted(out, key=lambda c: (-c[0], c[1], c[2]))
+
+    def confirm(self, words: list[str], taken: bytearray, i: int, j: int, k: int) -> tuple[int, int] | None:
+        """First word and end of the template's wording around its word k in word j, among words not taken."""
+        template = self.words[i]
+        more = len(template) // EXTRA
+        low, high = max(0, j - k - more), min(len(words), j - k + len(template) + more)
         low = taken.rfind(1, low, j) + 1 or low
         high = end if (end := taken.find(1, j, high)) >= 0 else high
-        own = [_word(text, starts[x], ends[x]) for x in range(low, high)]
-        near = frozenset(own)
-        for i, at in self.having.get(cue, {}).items():
-            template = self.words[i]
-            lost = self.distinct[i] - near
-            if len(template) - len(lost) < MIN_WORDING * len(template) or not _TELLING.isdisjoint(lost):
-                continue  # it could not be confirmed
-            more = len(template) // EXTRA
-            spans = []
-            for k in at:
-                a = max(low, j - k - more)
-                if span := _confirmed(template, own[a - low : max(0, j - k + len(template) + more - low)]):
-                    spans.append((span[0], a + span[1], a + span[2]))
-            if not spans:
-                continue
-            _, first, last = max(spans)
-            raw = " ".join(text[starts[first] : ends[last - 1]].lower().split()).encode("utf-8", "surrogatepass")
-            size = len(self.alone.compress(raw))
-            saved = size - len(self.with_[i].compress(raw))
-            if saved >= MIN_REDUCTION * size:
-                yield saved, -i, first, last, saved / size
+        first, last = j - k, j - k + len(template)
+        if low <= first and last <= high and words[first:last] == template:  # no difference at all
+            return first, last
+        span = _confirmed(template, words[low:high])
+        return span and (low + span[1], low + span[2])
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """Grants in a text as (start, end, license, reduction)."""
         cues = [(m.start(), m.lastindex) for m in _CUE.finditer(_lower(text))]
         if not cues:
             return []
-        places = starts, ends = _places(text)
-        left = [(bisect_right(starts, at) - 1, cue) for at, cue in cues]
-        taken = bytearray(len(starts))
+        starts, ends = _places(text)
+        words = [_word(text, a, b) for a, b in zip(starts, ends, strict=True)]
+        left = self.ranked(words, [(bisect_right(starts, at) - 1, cue) for at, cue in cues])
+        taken = bytearray(len(words))
         out: list[tuple[int, int, str, float]] = []
-        while found := {g for j, cue in left for g in self.grants(text, places, taken, j, cue)}:
-            for _, i, first, last, cut in sorted(found, key=lambda g: (-g[0], -g[1], g[2])):
-                if 1 not in taken[first:last]:
+        while left:
+            before, open_ = len(out), []
+            for c in left:
+                _, i, j, cut, places = c
+                if taken[j]:
+                    continue
+                if span := next((x for k in places if (x := self.confirm(words, taken, i, j, k))), None):
+                    first, last = span
                     taken[first:last] = b"\1" * (last - first)
-                    out.append((starts[first], ends[last - 1], TEMPLATES[-i][0], cut))
-            # What the grants leave over is searched again: words beside a grant may have hidden another.
-            left = [(j, cue) for j, cue in left if not taken[j] and 1 in taken[max(0, j - self.reach) : j + self.reach]]
+                    out.append((starts[first], ends[last - 1], TEMPLATES[i][0], cut))
+                else:
+                    open_.append(c)
+            if len(out) == before:
+                break
+            # What the grants leave over is confirmed again: words beside a grant may have hidden another.
+            left = [c for c in open_ if not taken[c[2]] and 1 in taken[max(0, c[2] - self.reach) : c[2] + self.reach]]
         return sorted(out)
 
 
@@ -199,13 +243,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     licenses: identifiers in alphabetical order, each once, joined with commas.  spans:
     license:start:end by start (code points, end exclusive).  best_reduction: largest share by which
-    a template shrinks a confirmed grant, 0 without one, to six digits.
+    a template shrinks the block of a confirmed grant, 0 without one, to six digits.
 
     A null or empty text grants nothing.  Rows are scanned by themselves, so repeated rows and
-    identifiers are kept; of templates that overlap, the one that saves most bytes leads, then the first
-    in the list.  A grant may stand within a line or run over several.
+    identifiers are kept; of confirmed templates that overlap, the one that saves most bytes leads, then the
+    first in the list.  A grant may stand within a line or run over several.
     Other columns are ignored.  An empty table gives an empty result.  Texts of any length are
-    scanned whole; only what agrees with a template is compressed.
+    scanned whole, and every block around every cue is compressed with every template that has the cue.
     """
     small_batches(docs.sparkSession)
 

@@ -142,6 +142,47 @@ def test_every_grant_of_a_line():
     assert names(" ".join(t for _, t in grants if t != licenses._BSD)) == [n for n, t in grants if t != licenses._BSD]
 
 
+def exact_grants(text):
+    """Brute force: every template laid on every word of a text, the longest first, where all words are equal."""
+    places = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", text)]
+    words = [text[a:b].lower() for a, b in places]
+    out, free = [], [True] * len(words)
+    for name, t in sorted(licenses.TEMPLATES, key=lambda t: -len(t[1])):
+        want = [w.lower() for w in re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t)]
+        for i in range(len(words) - len(want) + 1):
+            if words[i : i + len(want)] == want and all(free[i : i + len(want)]):
+                free[i : i + len(want)] = [False] * len(want)
+                out.append((places[i][0], places[i + len(want) - 1][1], name))
+    return sorted(out)
+
+
+def test_grants_against_brute_force(docs):
+    """Random mixtures of prose, grants and near misses."""
+    rng = random.Random(13)
+    misses = ["Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU General Public License, version 4.", "a licensed pilot", "with permission", "the public domain"]
+    rows = []
+    for d in range(150):
+        parts = [rng.choice([PROSE, PROSE, *misses, *(t for _, t in licenses.TEMPLATES)]) for _ in range(rng.randint(1, 9))]
+        rows.append((d, rng.choice([" ", "\n"]).join(parts)))
+    want = {d: ",".join(f"{n}:{a}:{b}" for a, b, n in exact_grants(t)) for d, t in rows}
+    assert {r["doc_id"]: r["spans"] for r in licenses.license_scan(docs(rows)).collect()} == want
+
+
+def test_notices_as_they_stand_in_files():
+    notices = {
+        "MIT": licenses._MIT + licenses._MIT_BODY, "ISC": licenses._ISC + licenses._ISC_BODY, "Apache-2.0": licenses._APACHE + licenses._APACHE_BODY,
+        "GPL-2.0": "This program is free software; " + licenses._GNU.format("General Public", "2"), "LGPL-2.1": "This library is free software; " + licenses._GNU.format("Lesser General Public", "2.1"),
+        "BSD-3-Clause": f"{licenses._BSD}: {licenses._BSD_CONDITIONS} {licenses._BSD_NAMES}",
+    }
+    scanner = licenses.Scanner()
+    for name, notice in notices.items():
+        for width in (70, 78, 100):
+            for sign in ("", "# ", " * ", "// "):
+                text = "Copyright (c) 2020 Somebody\n\n" + textwrap.fill(notice, width, initial_indent=sign, subsequent_indent=sign) + "\n\nint main() {}\n"
+                assert [n for _, _, n, _ in scanner.scan(text)] == [name], (name, width, sign)
+    assert [n for _, _, n, _ in scanner.scan("Licensed under the MIT License. Later also: Licensed under the MIT License.")] == ["MIT", "MIT"]
+
+
 def test_bsd_by_its_conditions():
     two = f"""{licenses._BSD}:
 
