@@ -52,19 +52,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after all documents came in, those of bad quality went, and the rest moved to a new tokenizer version.
 
-    The last batch is delivered twice and counts once.
+    Version byte-1 is the byte-level BPE of op7_bpe, word-2 the tokenizer of op9_packing.  The last
+    batch is delivered twice and counts once; the first two are folded into a snapshot.
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    counts = docs.select("doc_id", "source", "lang", token_counts.word_count(F.col("text")).alias("words"), token_counts.piece_count(F.col("text")).alias("pieces"))
+    ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    words = packing.read_text(spark, public_tokenizers.path("word_bpe_49k.json"))
     # The change feed carries counts, as that of a corpus store does; the texts are counted once.
-    counts = materialize(counts, "counts")
+    counts = materialize(token_counts.count_tokens(docs.select("doc_id", "source", "lang", "text"), ranks, public_tokenizers.PATTERN, words), "counts")
     bad = labels.filter("quality = 0").select("doc_id").distinct()
-    arrived = token_counts.change("insert", counts, "words-1", "words")
-    left = token_counts.change("delete", counts.join(bad, "doc_id", "left_semi"), "words-1", "words")
-    revised = token_counts.change("revise", counts.join(bad, "doc_id", "left_anti"), "pieces-2", "pieces", "words-1", "words")
+    arrived = token_counts.change("insert", counts, "byte-1", "byte_tokens")
+    left = token_counts.change("delete", counts.join(bad, "doc_id", "left_semi"), "byte-1", "byte_tokens")
+    revised = token_counts.change("revise", counts.join(bad, "doc_id", "left_anti"), "word-2", "word_tokens", "byte-1", "byte_tokens")
     rollup = token_counts.Rollup(spark, f"{scratch_root(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.apply("arrived", arrived)
     rollup.apply("left", left)
+    rollup.compact()
     for _ in range(2):
         rollup.apply("revised", revised)
     return rollup.totals()
@@ -84,13 +87,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op10_token_counts": r"""
-        WITH c AS (
-            SELECT source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\p{L}\p{N}\x20\x09-\x0D]+')) AS BIGINT) AS n
-            FROM documents AS d WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id AND l.quality = 0)
-        )
-        SELECT source, lang, 'pieces-2' AS tokenizer_version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY source, lang
-    """,
     "op5_quality": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text FROM documents

@@ -1,30 +1,52 @@
 """Token counts as delta-maintained rollups.
 
 Batches of changes (inserts, deletes, revised counts) become signed numbers by
-source, language and tokenizer version.  A batch is committed once: its delta
-is written aside and moved into place under the batch's name.  Totals are the
-sum of the committed deltas.
+source, language and tokenizer version.  A batch's delta is written aside, and
+the batch is committed by moving one small file, which names the delta, to the
+batch's place.  Totals are the sum of the committed deltas; compaction folds
+them into a snapshot and remembers which batches it holds.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.llm.bpe import Bpe
+from inkwell.llm.common import small_batches
+from inkwell.llm.packing import WordTokenizer
+
 KEYS = ["source", "lang", "tokenizer_version"]
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
-def word_count(text: Column) -> Column:
-    """Tokens of version 1: runs of anything but ASCII white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tokenizer_json: str, text_col: str = "text") -> DataFrame:
+    """`docs` without the text, with byte_tokens and word_tokens: its tokens by two tokenizers, without special ones.
+
+    The first is byte-level BPE of `ranks` and `pattern`, the second a tokenizer file.  A null or
+    empty text has none.  Columns of those names are replaced.
+    """
+    keep = [c for c in docs.columns if c not in (text_col, "byte_tokens", "word_tokens")]
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((Bpe(ranks, pattern), WordTokenizer(tokenizer_json)))  # as large as the vocabularies
 
+    @F.pandas_udf("byte_tokens long, word_tokens long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe, words = shared.value
+        for x in batches:
+            texts = ["" if t is None else t for t in x]
+            _, ends = words.encode(pa.array(texts, pa.string()))
+            sizes = [ends[0], *(ends[1:] - ends[:-1])] if len(texts) else []
+            yield pd.DataFrame({"byte_tokens": [len(i) // 4 for i in bpe.encode(texts)], "word_tokens": sizes}, dtype="int64")
 
-def piece_count(text: Column) -> Column:
-    """Tokens of version 2: runs of letters, single digits, runs of other signs."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\p{L}+|\p{N}|[^\p{L}\p{N}\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return docs.select(*keep, count(F.col(text_col).cast("string")).alias("_n")).select(*keep, "_n.*")
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -49,48 +71,119 @@ class Rollup:
     """Totals by source, language and tokenizer version in a folder that all executors share.
 
     A null source, language or version is a key of its own.  Repeated changes count as often as they
-    come; a repeated batch counts once.
+    come; a repeated batch counts once.  Any number of writers may apply and compact at once.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/committed")
-        self._fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(at)
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at("committed").getFileSystem(spark._jsc.hadoopConfiguration())
+        for folder in ("committed", "snapshots", "data"):
+            self._fs.mkdirs(self._at(folder))
 
     def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    def _names(self, folder: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(folder)))
+
+    def _claim(self, name: str, content: dict) -> bool:
+        """Make the file `name` with a line of content, whole or not at all; False if it is there already."""
+        aside = self._at(f"data/claim-{uuid.uuid4().hex}")
+        out = self._fs.create(aside)
+        out.writeBytes(json.dumps(content))
+        out.close()
+        context = self._hadoop.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            # A rename that does not overwrite: of several writers, one succeeds.
+            context.rename(aside, self._at(name), self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(aside, False)
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _content(self, folder: str) -> dict[str, dict]:
+        """The files of a folder with their content: a small row for each batch or snapshot."""
+        if not self._names(folder):
+            return {}
+        found = self.spark.read.text(f"{self.path}/{folder}", wholetext=True).select("_metadata.file_name", "value").collect()
+        return {r["file_name"]: json.loads(r["value"]) for r in found}
 
     def has(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"committed/{batch}/delta"))
+        return self._fs.exists(self._at(f"committed/{batch}"))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit the changes under the batch's name; False, and nothing done, if it is committed already.
 
         The delta is aggregated on the map side first, so a source with a third of all rows is a few
         partial sums.  A job that fails leaves the totals as they were: its files are aside, and the
-        same call may be made again.  Of two writers of one batch, one move succeeds.
+        same call may be made again.  Of two writers of one batch, one move succeeds; the other
+        deletes its delta and returns False.
         """
         if not batch or not all(c.isalnum() or c in "-_." for c in batch) or batch.startswith((".", "_")):
             raise ValueError("a batch's name has letters, digits, - and _ only")
         if self.has(batch):
             return False
         delta = signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        aside = f"_aside-{uuid.uuid4().hex}"
-        delta.filter("n_docs <> 0 or n_tokens <> 0").coalesce(1).write.parquet(f"{self.path}/{aside}")
-        self._fs.mkdirs(self._at(f"committed/{batch}"))
-        done = self._fs.rename(self._at(aside), self._at(f"committed/{batch}/delta"))
-        if not done:
-            self._fs.delete(self._at(aside), True)
-        return bool(done)
+        name = f"data/delta-{uuid.uuid4().hex}"
+        delta.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/{name}")
+        if self._claim(f"committed/{batch}", {"delta": name}):
+            return True
+        self._fs.delete(self._at(name), True)
+        return False
+
+    def _state(self) -> tuple[int, str | None, dict[str, str]]:
+        """Number and folder of the last snapshot, and the deltas of committed batches that it does not hold."""
+        committed = {b: x["delta"] for b, x in self._content("committed").items()}
+        snapshots = self._content("snapshots")
+        if not snapshots:
+            return 0, None, committed
+        last = max(snapshots)
+        folder = snapshots[last]["snapshot"]
+        held = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{folder}/batches").collect()}
+        return int(last), folder, {b: d for b, d in committed.items() if b not in held}
+
+    def _sums(self, folder: str | None, deltas: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/{d}" for d in sorted(deltas.values())] + ([f"{self.path}/{folder}/totals"] if folder else [])
+        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
     def totals(self) -> DataFrame:
         """KEYS, n_docs, n_tokens over all committed batches; keys without documents and tokens are left out."""
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._at("committed"))]
-        paths = [f"{self.path}/committed/{n}/delta" for n in sorted(names) if self._fs.exists(self._at(f"committed/{n}/delta"))]
-        deltas = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 or n_tokens <> 0")
+        _, folder, deltas = self._state()
+        return self._sums(folder, deltas)
+
+    def compact(self) -> bool:
+        """Fold committed deltas into a new snapshot, so that totals read it and later deltas only.
+
+        False, and nothing done, if there is none to fold or another writer made the next snapshot
+        first.  Folded deltas and older snapshots stay for their readers; see `vacuum`.
+        """
+        number, folder, deltas = self._state()
+        if not deltas:
+            return False
+        name = f"data/snapshot-{uuid.uuid4().hex}"
+        self._sums(folder, deltas).write.parquet(f"{self.path}/{name}/totals")
+        held = self.spark.read.schema("batch string").parquet(f"{self.path}/{folder}/batches") if folder else self.spark.createDataFrame([], "batch string")
+        held.union(self.spark.createDataFrame([(b,) for b in sorted(deltas)], "batch string")).coalesce(1).write.parquet(f"{self.path}/{name}/batches")
+        if self._claim(f"snapshots/{number + 1:012d}", {"snapshot": name}):
+            return True
+        self._fs.delete(self._at(name), True)
+        return False
+
+    def vacuum(self) -> None:
+        """Delete what the last snapshot replaced.  To be called when no reader is older than that snapshot and no writer is at work."""
+        number, folder, deltas = self._state()
+        for n in self._names("snapshots"):
+            if int(n) < number:
+                self._fs.delete(self._at(f"snapshots/{n}"), False)
+        used = {d.split("/")[1] for d in deltas.values()} | ({folder.split("/")[1]} if folder else set())
+        for n in self._names("data"):
+            if n not in used:
+                self._fs.delete(self._at(f"data/{n}"), True)
 
 
 def change(op: str, counts: DataFrame, version: str, column: str, old_version: str | None = None, old_column: str | None = None) -> DataFrame:

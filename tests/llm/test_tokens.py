@@ -8,10 +8,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkwell.llm import bpe, packing, token_counts
+from inkwell.llm import bpe, packing, queries, token_counts
+from tests.conftest import SMALL
 from tests.llm.conftest import EDGES
 
 
@@ -120,4 +120,57 @@ def test_rollup(spark, tmp_path):
     assert {tuple(r) for r in again.totals().collect()} == {("a", "en", "v1", 1, 0), ("a", "en", "v2", 1, 12)}
     with pytest.raises(ValueError, match="name"):
         again.apply("../x", spark.createDataFrame(first, schema))
-    assert spark.createDataFrame([(None,), ("a b",)], "t string").agg(F.sum(token_counts.word_count(F.col("t")))).first()[0] == 2
+
+
+def test_rollup_with_two_writers(spark, tmp_path, monkeypatch):
+    """A writer that saw the batch uncommitted, but comes second, changes nothing and says so."""
+    schema = "op string, source string, lang string, tokenizer_version string, n_tokens long"
+    one, two = (spark.createDataFrame([("insert", "a", "en", "v1", n)], schema) for n in (10, 99))
+    rollup, other = (token_counts.Rollup(spark, f"file://{tmp_path}/rollup") for _ in range(2))
+    monkeypatch.setattr(other, "has", lambda batch: False)
+    assert rollup.apply("one", one)
+    assert not other.apply("one", two)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    assert len(rollup._names("data")) == 1
+
+
+def test_rollup_compaction(spark, tmp_path):
+    schema = "op string, source string, lang string, tokenizer_version string, n_tokens long"
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    assert not rollup.compact()
+    for i in range(6):
+        assert rollup.apply(f"b{i}", spark.createDataFrame([("insert", f"s{i % 2}", "en", "v1", i)], schema))
+        if i % 2:
+            assert rollup.compact()
+            assert not rollup.compact()
+        assert not rollup.apply(f"b{i // 2}", spark.createDataFrame([("insert", "x", "en", "v1", 1)], schema))
+    want = {("s0", "en", "v1", 3, 6), ("s1", "en", "v1", 3, 9)}
+    assert {tuple(r) for r in rollup.totals().collect()} == want
+    rollup.vacuum()
+    assert {tuple(r) for r in rollup.totals().collect()} == want and len(rollup._names("data")) == 1
+    stale = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    assert stale._claim("snapshots/000000000004", {"snapshot": "x"}) and not stale._claim("snapshots/000000000004", {"snapshot": "y"})
+
+
+def test_token_counts_against_the_libraries(spark, docs, word_bpe):
+    """Counts of edge cases, and the query's totals on a table, by both libraries."""
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library, words = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_str(word_bpe)
+
+    def counts(t):
+        return len(library.encode_ordinary(t or "")), len(words.encode(t or "", add_special_tokens=False).ids)
+
+    found = token_counts.count_tokens(docs(EDGES), ranks, P.PATTERN, word_bpe)
+    assert found.columns == [c for c in docs(EDGES).columns if c != "text"] + ["byte_tokens", "word_tokens"]
+    assert sorted((str(r["doc_id"]), r["byte_tokens"], r["word_tokens"]) for r in found.collect()) == sorted((str(d), *counts(t)) for d, t in EDGES)
+    assert token_counts.count_tokens(docs([]), ranks, P.PATTERN, word_bpe).count() == 0
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 0").collect()}
+    want = {}
+    for r in rows:
+        if r["doc_id"] not in bad:
+            at = want.setdefault((r["source"], r["lang"], "word-2"), [0, 0])
+            at[0] += 1
+            at[1] += counts(r["text"])[1]
+    assert {tuple(r)[:3]: list(r)[3:] for r in queries.op10_token_counts(spark, SMALL).collect()} == want
