@@ -3,7 +3,9 @@
 Voters are lexicons and patterns: seed words, ways of writing, and word
 beginnings that labelled rows show to be telling.  A generative label model
 estimates from the votes on all documents how accurate each voter is and how
-votes correlate; labelled rows hold it in place.  Its posteriors are the soft
+votes correlate within each class: the strongest pairs are factors of its
+likelihood.  It sees votes only; what labelled rows give is a first accuracy for
+each voter, towards which its estimates are drawn.  Its posteriors are the soft
 labels of a linear classifier over word-beginning features, which gives the
 scores.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize, small_batches
+from inkwell.llm.common import discard, materialize, small_batches
 
 #: Labelled rows of each label from which voters are induced and the classifier is fitted, about.
 FIT_ROWS = 8_000
@@ -36,9 +38,13 @@ MIN_G2 = 15.0
 #: Induced features that also vote, at most, and the least precision of a voter, bounded from below.
 VOTERS = 96
 MIN_PRECISION = 0.5
-#: Rounds of the label model, and rows that a voter's prior accuracy counts for.
+#: Rounds of the label model.
 ROUNDS = 8
+#: Share of a voter's first accuracy in each of its estimates, and rows by which a pair's rates are drawn to a single voter's.
+ANCHOR = 0.5
 PRIOR_ROWS = 4.0
+#: Least correlation within a class, of voters that become a pair.
+MIN_CORRELATION = 0.1
 #: Accuracies of seed words and of patterns before any row is seen.
 SEED_ACCURACY, PATTERN_ACCURACY = 0.8, 0.3
 #: A held-out row: crc32 of its identifier as text, modulo FOLDS, is 0.
@@ -204,102 +210,175 @@ class _Finder:
         return sorted(found)
 
 
-def label_model(rows: DataFrame, voters: list[int], start: dict[int, float], prior: float) -> tuple[dict[int, float], float, float]:
-    """Weight in log odds of each voter, the log odds to which they add, and those of a row without votes.
+class LabelModel:
+    """A forest of voters: a voter fires at a rate that depends on the class and on whether its parent fires.
 
-    `rows` has `found` (features and voters) and `toxic` (null where the label may not be used).  A
-    voter votes toxic or abstains; its accuracy is the share of toxic rows among those it votes on.
-    Expectation gives each row a posterior, labelled rows their label; maximisation takes each
-    voter's accuracy from the posteriors.  Voters whose votes coincide more often than chance, among rows
-    with a vote, share their weight: a voter's log odds are divided by one plus its correlations.
+    rates[v] is P(v fires | class, parent) as [[clean and the parent stays out, clean and it fires], the same of toxic];
+    a voter without a parent has equal rates in both columns.  A row's odds are those of the
+    voters that fire.  That a voter stays out says nothing, since voters know one language each; that all
+    stay out is a vote of its own, with the share `quiet` of toxic rows.
+    """
 
-    Rows with equal votes are counted together first.  Each round sends one row for each voter
-    to the driver, and the correlations one row for each pair of voters that meet.
+    def __init__(self, prior: float, quiet: float, rates: dict[int, np.ndarray], parent: dict[int, int]) -> None:
+        self.parent = parent
+        fires = {v: np.log(q[1] / q[0]) for v, q in rates.items()}
+        #: Log odds before any vote, of a row without votes, what each vote adds, and what it adds if its parent votes too.
+        self.base, self.quiet = float(np.log(prior / (1 - prior))), float(np.log(quiet / (1 - quiet)))
+        self.alone = {v: float(x[0]) for v, x in fires.items()}
+        self.both = {v: float(fires[v][1] - fires[v][0]) for v in parent}
+
+    def odds(self, votes: Column) -> Column:
+        """Log odds that a row with these votes is toxic."""
+        if not self.alone:
+            return F.lit(self.quiet)
+        alone = F.create_map(*[F.lit(x) for kv in self.alone.items() for x in kv])
+        out = F.aggregate(votes, F.lit(self.base), lambda s, v: s + F.element_at(alone, v))
+        if self.parent:
+            up = F.create_map(*[F.lit(x) for kv in self.parent.items() for x in kv])
+            both = F.create_map(*[F.lit(x) for kv in self.both.items() for x in kv])
+            met = F.filter(votes, lambda v: F.coalesce(F.array_contains(votes, F.try_element_at(up, v)), F.lit(False)))
+            out = out + F.aggregate(met, F.lit(0.0), lambda s, v: s + F.element_at(both, v))
+        return F.when(F.size(votes) == 0, self.quiet).otherwise(out)
+
+
+def _forest(voters: list[int], n: np.ndarray, toxic: np.ndarray, total: float, all_toxic: float) -> dict[int, int]:
+    """Parents of a spanning forest of the strongest pairs, by the information that votes share within the classes.
+
+    n and toxic: rows, and expected toxic rows, on which two voters fire; the diagonal is of single voters.
+    """
+    shared = np.zeros(n.shape)
+    strong = np.zeros(n.shape, bool)
+    for joint, rows in ((toxic, all_toxic), (n - toxic, total - all_toxic)):
+        if rows <= 0:
+            continue
+        p11 = joint / rows
+        p = np.diag(p11)
+        cells = ((p11, p[:, None] * p), (p[:, None] - p11, p[:, None] * (1 - p)), (p - p11, (1 - p[:, None]) * p), (1 - p[:, None] - p + p11, (1 - p[:, None]) * (1 - p)))
+        for x, expected in cells:
+            x = np.maximum(x, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shared += rows / total * np.where((x > 0) & (expected > 0), x * np.log(x / expected), 0)
+        spread = np.sqrt(np.maximum(np.outer(p * (1 - p), p * (1 - p)), 1e-300))
+        strong |= (p11 - np.outer(p, p)) / spread >= MIN_CORRELATION
+    i, j = np.nonzero(np.triu(strong, 1))
+    tree = list(range(len(voters)))
+
+    def root(x: int) -> int:
+        while tree[x] != x:
+            x = tree[x]
+        return x
+
+    near: dict[int, list[int]] = {}
+    for a, b in sorted(zip(i.tolist(), j.tolist(), strict=True), key=lambda x: (-round(float(shared[x]), 10), x)):
+        if (ra := root(a)) != (rb := root(b)):
+            tree[ra] = rb
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    parent: dict[int, int] = {}
+    seen: set[int] = set()
+    for start in range(len(voters)):
+        todo = [] if start in seen else [start]
+        seen.add(start)
+        while todo:
+            u = todo.pop()
+            for v in near.get(u, []):
+                if v not in seen:
+                    seen.add(v)
+                    parent[voters[v]] = voters[u]
+                    todo.append(v)
+    return parent
+
+
+def label_model(rows: DataFrame, voters: list[int], start: dict[int, float], prior: float, quiet: float) -> LabelModel:
+    """The label model of `rows` (found: features and voters), by expectation maximisation.
+
+    A voter votes toxic or abstains.  start: the accuracy of each voter, the share of toxic rows among those
+    it votes on, before any vote is seen; prior and quiet: the shares of toxic rows in all and among those
+    without votes.  Voters are independent at
+    first.  With the posteriors of that model, the pairs that go together most within the classes
+    become the edges of a forest.  Then expectation gives each row a posterior by its votes, and
+    maximisation gives each voter its rates by class and parent.  No row's label is used.
+
+    Rows with equal votes are counted together first.  Each round sends two rows for each voter
+    to the driver, and the forest one row for each pair of voters that meet.
     """
-    ids = F.array(*map(F.lit, voters))
-    votes = (
-        rows.select(F.array_intersect("found", ids).alias("votes"), "toxic")
-        .groupBy("votes")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.when(F.col("toxic").isNotNull(), 1).otherwise(0)).alias("known"),
-            F.sum(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"),
-        )
-    )
-    votes = materialize(votes, "votes")
-    each = votes.select(F.explode("votes").alias("v"), "n")
-    fired = {r["v"]: r["n"] for r in each.groupBy("v").agg(F.sum("n").alias("n")).collect()}
+    ids = F.array(*map(F.lit, voters)).cast("array<int>")
+    votes = materialize(rows.select(F.array_intersect("found", ids).alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
+    fired = {r["v"]: r["n"] for r in votes.select(F.explode("votes").alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n")).collect()}
     total = votes.agg(F.sum("n")).first()[0] or 0
-    # Correlation of voters: their joint count against the product of their own, on rows with a vote.
+    voters = [v for v in voters if fired.get(v)]
+    if not voters:
+        discard(votes)
+        return LabelModel(prior, quiet, {}, {})
+    start = {v: min(max(start[v], 1e-3), 1 - 1e-3) for v in voters}
+
+    def single(v: int) -> np.ndarray:
+        clean, toxic = (1 - start[v]) * fired[v] / (1 - prior) / total, start[v] * fired[v] / prior / total
+        return np.repeat(np.minimum([[clean], [toxic]], 0.99), 2, axis=1)
+
+    model = LabelModel(prior, quiet, {v: single(v) for v in voters}, {})
     place = {v: i for i, v in enumerate(voters)}
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        joint = np.zeros((len(voters), len(voters)), np.int64)
+        joint = np.zeros((2, len(place), len(place)))
         for x in batches:
-            for own, n in zip(x["votes"], x["n"], strict=True):
+            for own, n, e in zip(x["votes"], x["n"], x["e"], strict=True):
                 at = [place[v] for v in own]
-                joint[np.ix_(at, at)] += n
-        i, j = np.nonzero(np.triu(joint, 1))  # a task hands on no more than the matrix
-        yield pd.DataFrame({"i": i, "j": j, "n": joint[i, j]})
-
-    pairs = votes.filter("size(votes) > 1").select("votes", "n").mapInPandas(meet, "i long, j long, n long")
-    met = {(voters[r["i"]], voters[r["j"]]): r["n"] for r in pairs.groupBy("i", "j").agg(F.sum("n").alias("n")).collect()}
-    active = max(1, total - (votes.filter(F.size("votes") == 0).agg(F.sum("n")).first()[0] or 0))
-    shared = dict.fromkeys(voters, 0.0)
-    for (v, w), n in met.items():
-        pv, pw, pj = fired[v] / active, fired[w] / active, n / active
-        spread = np.sqrt(pv * (1 - pv) * pw * (1 - pw))
-        rho = max(0.0, (pj - pv * pw) / spread) if spread > 0 else 1.0
-        shared[v] += rho
-        shared[w] += rho
-    base = float(np.log(prior / (1 - prior)))
-    accuracy = {v: min(max(start[v], 1e-3), 1 - 1e-3) for v in voters}
-    none = prior
-
-    def weights() -> dict[int, float]:
-        return {v: float((np.log(accuracy[v] / (1 - accuracy[v])) - base) / (1 + shared[v])) for v in voters}
-
+                joint[0][np.ix_(at, at)] += n
+                joint[1][np.ix_(at, at)] += e
+        i, j = np.nonzero(joint[0])  # a task hands on no more than the matrix
+        yield pd.DataFrame({"i": i, "j": j, "n": joint[0][i, j], "e": joint[1][i, j]})
+
+    def expected(model: LabelModel) -> DataFrame:
+        return votes.select("votes", "n", (F.col("n") / (1 + F.exp(-model.odds(F.col("votes"))))).alias("e"))
+
+    pairs = expected(model).filter("size(votes) > 0").mapInPandas(meet, "i long, j long, n double, e double").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    joint = np.zeros((2, len(voters), len(voters)))
+    for r in pairs.collect():
+        joint[:, r["i"], r["j"]] = r["n"], r["e"]
+    parent = _forest(voters, *joint, total, expected(model).agg(F.sum("e")).first()[0])
+    up = F.create_map(*[F.lit(x) for kv in parent.items() for x in kv]) if parent else None
+    before: dict[int, np.ndarray] = {}
     for _ in range(ROUNDS):
-        w = weights()
-        table = F.create_map(*[F.lit(x) for v in voters for x in (v, w[v])]) if voters else F.create_map(F.lit(-1), F.lit(0.0))
-        odds = F.aggregate("votes", F.lit(base), lambda s, v: s + F.element_at(table, v))
-        quiet = F.size("votes") == 0
-        posterior = F.when(quiet, F.lit(none)).otherwise(1 / (1 + F.exp(-odds)))
-        expected = votes.select("votes", "n", (F.col("toxic") + (F.col("n") - F.col("known")) * posterior).alias("e"))
-        sums = expected.select(F.explode(F.when(quiet, F.array(F.lit(-1))).otherwise(F.col("votes"))).alias("v"), "n", "e")
-        new = {r["v"]: (r["e"], r["n"]) for r in sums.groupBy("v").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).collect()}
-        before = dict(accuracy)
-        for v in voters:
-            e, n = new.get(v, (0.0, 0))
-            a = (e + PRIOR_ROWS * start[v]) / (n + PRIOR_ROWS)
-            accuracy[v] = float(min(max(a, 1e-3), 1 - 1e-3))
-        if -1 in new:
-            none = float(min(max((new[-1][0] + 1) / (new[-1][1] + 1 / prior), 1e-4), 0.5))
-        if max((abs(accuracy[v] - before[v]) for v in voters), default=0) < 1e-4:
-            break
-    w, quiet_odds = weights(), float(np.log(none / (1 - none)))
-    # Correlated voters share weight, which leaves the odds too mild: two numbers fitted to labelled rows set
-    # their scale.  Odds are rounded, so the rows that come to the driver are few.
-    table = F.create_map(*[F.lit(x) for v in voters for x in (v, w[v])])
-    odds = F.aggregate("votes", F.lit(0.0), lambda s, v: s + F.element_at(table, v))
-    bins = votes.filter("known > 0 and size(votes) > 0").groupBy(F.round(F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0)), 1).alias("x")).agg(F.sum("known").alias("n"), F.sum("toxic").alias("t"))
-    scale, shift = _calibrate(*np.array([(r["x"], r["n"], r["t"]) for r in bins.collect()] or [(0.0, 0, 0)], float).T, base)
-    return {v: scale * w[v] for v in voters}, shift, quiet_odds
-
-
-def _calibrate(x: np.ndarray, n: np.ndarray, toxic: np.ndarray, shift: float) -> tuple[float, float]:
-    """(scale, shift) of log odds x for which n rows have `toxic` toxic ones, drawn to (1, shift) by ten rows' weight."""
-    start = np.array([1.0, shift])
-    at, design = start.copy(), np.stack([x, np.ones(len(x))])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(at @ design, -50, 50)))
-        slope = design @ (toxic - n * p) - 10 * (at - start) / np.array([4.0, 4.0])
-        curve = (design * (n * p * (1 - p))) @ design.T + np.diag([2.5, 2.5])
-        step = np.linalg.solve(curve, slope)
-        at += np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-6:
+        each = expected(model).select(F.explode(F.concat("votes", F.array(F.lit(-1)))).alias("v"), "votes", "n", "e")
+        met = F.coalesce(F.array_contains("votes", F.try_element_at(up, F.col("v"))), F.lit(False)) if parent else F.lit(False)
+        sums = each.groupBy("v", met.alias("met")).agg(F.sum("n").alias("n"), F.sum("e").alias("e")).collect()
+        rates = maximised({(r["v"], r["met"]): (float(r["n"]), r["e"]) for r in sums}, voters, parent, start)
+        model = LabelModel(prior, quiet, rates, parent)
+        if before and max(float(np.abs(np.log(rates[v] / before[v])).max()) for v in voters) < 1e-3:
             break
-    return float(np.clip(at[0], 0.2, 20)), float(at[1])
+        before = rates
+    discard(votes)
+    return model
+
+
+def maximised(sums: dict[tuple[int, bool], tuple[float, float]], voters: list[int], parent: dict[int, int], start: dict[int, float]) -> dict[int, np.ndarray]:
+    """Rates of each voter from (rows, expected toxic rows) by voter and whether its parent fires too; voter -1 stands for all rows."""
+    total, all_toxic = sums[-1, False]
+    rows = np.array([max(total - all_toxic, 1e-9), max(all_toxic, 1e-9)])  # clean, toxic
+
+    def split(n: float, e: float) -> np.ndarray:
+        return np.array([n - e, e])
+
+    fires = {}
+    for v in voters:
+        n = sum(sums.get((v, m), (0.0, 0.0))[0] for m in (False, True))
+        e = sum(sums.get((v, m), (0.0, 0.0))[1] for m in (False, True))
+        fires[v] = split(n, (1 - ANCHOR) * e + ANCHOR * n * start[v])
+    out = {}
+    for v in voters:
+        rate = np.clip(fires[v] / rows, 1e-6, 0.99)
+        out[v] = np.repeat(rate[:, None], 2, axis=1)
+        if v in parent:
+            u = fires[parent[v]]
+            n, e = sums.get((v, True), (0.0, 0.0))
+            # Both fire: as toxic as the voters' own anchors make them.
+            share = (1 - ANCHOR) * e / n + ANCHOR * max(start[v], start[parent[v]]) if n else 0.0
+            both = np.minimum(split(n, n * share), np.minimum(fires[v], u))
+            out[v][:, 1] = (both + PRIOR_ROWS * rate) / (u + PRIOR_ROWS)
+            out[v][:, 0] = (fires[v] - both + PRIOR_ROWS * rate) / (np.maximum(rows - u, 0) + PRIOR_ROWS)
+            out[v] = np.clip(out[v], 1e-6, 1 - 1e-6)
+    return out
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,7 +391,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     A null text counts as empty; an empty text gets the score of a text without features.  Equal
     texts have equal scores; repeated rows are kept.  A null identifier is not held out and has no
     label.  Other columns are ignored.  Without labelled rows of both kinds the seed voters alone
-    decide.  An empty table gives an empty result.
+    teach.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -335,39 +414,48 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "found": [finder.value.find(t) for t in x["text"]]})
 
-    found = rows.mapInPandas(find, "doc_id long, found array<int>")
-    # A row to a document, with a label where one may be used; the texts are not needed any more.
-    found = materialize(found, "features")
-    taught = found.join(known, "doc_id", "left")
-    start = {i: _posterior_rate(features[i], counts, prior) for i in induced}
-    start |= {i: SEED_ACCURACY if i < n + len(SEEDS) else PATTERN_ACCURACY for i in seeds}
-    weight, shift, base = label_model(taught, voters, start, prior)
-    table = F.create_map(*[F.lit(x) for v in voters for x in (v, weight[v])])
-    votes = F.array_intersect("found", F.array(*map(F.lit, voters)))
-    soft = F.when(F.size("votes") == 0, F.lit(base)).otherwise(F.aggregate("votes", F.lit(shift), lambda s, v: s + F.element_at(table, v)))
-    labelled = taught.withColumn("votes", votes).withColumn("odds", soft)
+    # A row to a document; the texts are not needed any more.
+    found = materialize(rows.mapInPandas(find, "doc_id long, found array<int>"), "features")
+    start = dict.fromkeys(voters, SEED_ACCURACY) | dict.fromkeys(range(n + len(SEEDS), n + len(SEEDS) + len(PATTERNS)), PATTERN_ACCURACY)
+    quiet = prior
+    if features:
+        for v, a, b in _counted(sample, find, voters).collect():
+            if v < 0:
+                quiet = _posterior_rate(a, b, counts, prior)
+            elif v < n or a + b >= MIN_ROWS:
+                start[v] = _posterior_rate(a, b, counts, prior)
+    discard(sample)
+    model = label_model(found, voters, start, prior, quiet)
+    votes = F.array_intersect("found", F.array(*map(F.lit, voters)).cast("array<int>"))
+    voted = found.withColumn("votes", votes)
     size = n + len(seeds)
-    coef, intercept = _fit(labelled.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), size)
+    coef, intercept = _fit(voted.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), model, size)
     linear = F.array(*[F.lit(float(c)) for c in coef])
     logit = F.aggregate("found", F.lit(float(intercept)), lambda s, i: s + F.element_at(linear, i + 1))
-    return (
-        labelled.select("doc_id", F.size("votes").alias("n_votes"), (1 / (1 + F.exp(-logit))).alias("score"))
-        .select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("n_votes").cast("long").alias("n_votes"))
-    )
+    scored = voted.select("doc_id", F.size("votes").cast("long").alias("n_votes"), (1 / (1 + F.exp(-logit))).alias("score"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_votes")
+
+
+def _counted(sample: DataFrame, find: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], voters: list[int]) -> DataFrame:
+    """(v, a, b): the toxic and other rows of the sample on which each voter fires; v is -1 for those on which none does."""
+    texts = sample.select(F.col("toxic").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    votes = F.array_intersect("found", F.array(*map(F.lit, voters)).cast("array<int>"))
+    each = texts.mapInPandas(find, "doc_id long, found array<int>").select(F.col("doc_id").alias("toxic"), F.explode_outer(votes).alias("v"))
+    return each.groupBy(F.coalesce("v", F.lit(-1)).alias("v")).agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
 
 
-def _posterior_rate(feature: tuple[str, int, int], counts: tuple, prior: float) -> float:
-    """Share of toxic rows among those with the feature, with the labels' sample weighted back to the prior."""
+def _posterior_rate(a: int, b: int, counts: tuple, prior: float) -> float:
+    """Share of toxic rows among those with a feature, with the labels' sample weighted back to the prior."""
     pos, total = counts
-    a, b = (feature[1] + 0.5) / (pos + 1) * prior, (feature[2] + 0.5) / (total - pos + 1) * (1 - prior)
-    return float(a / (a + b))
+    toxic, clean = (a + 0.5) / (pos + 1) * prior, (b + 0.5) / (total - pos + 1) * (1 - prior)
+    return float(toxic / (toxic + clean))
 
 
-def _fit(rows: DataFrame, size: int) -> tuple[list[float], float]:
-    """Linear classifier over the features, fitted to posteriors of about 2 * FIT_ROWS rows.
+def _fit(rows: DataFrame, model: LabelModel, size: int) -> tuple[list[float], float]:
+    """Linear classifier over the features, fitted to the label model's posteriors of about 2 * FIT_ROWS rows.
 
     Half of the rows have votes and half have none, weighted back to their shares.  Each row counts
-    twice, as toxic with its posterior's weight and as clean with the rest; the posterior of a labelled row is its label.
+    twice, as toxic with its posterior's weight and as clean with the rest.
     """
     voted = F.size("votes") > 0
     total = {r["v"]: r["n"] for r in rows.groupBy(voted.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -375,14 +463,15 @@ def _fit(rows: DataFrame, size: int) -> tuple[list[float], float]:
         return [0.0] * size, 0.0
     share = F.when(voted, min(1.0, FIT_ROWS / total.get(True, 1))).otherwise(min(1.0, FIT_ROWS / total.get(False, 1)))
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("w", 1 / share)
-    p = F.coalesce(F.col("toxic").cast("double"), 1 / (1 + F.exp(-F.col("odds"))))
+    p = 1 / (1 + F.exp(-model.odds(F.col("votes"))))
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), p.alias("p")), F.struct(F.lit(0.0).alias("label"), (1 - p).alias("p"))))
     vector = F.udf(lambda found: Vectors.sparse(size, found, [1.0] * len(found)), VectorUDT())  # a bounded number of rows
     data = sample.select("found", "w", both.alias("x")).select("found", F.col("x.label").alias("label"), (F.col("w") * F.col("x.p")).alias("w"))
     data = data.groupBy("found", "label").agg(F.sum("w").alias("w")).filter("w > 0")
-    data = materialize(data.repartition(6), "training")
+    training = data = materialize(data, "training")
     mean = data.agg(F.avg("w")).first()[0]
     data = data.select(vector("found").alias("features"), "label", (F.col("w") / mean).alias("w")).cache()
     model = LogisticRegression(maxIter=40, regParam=1e-4, standardization=False, weightCol="w").fit(data)
     data.unpersist()
+    discard(training)
     return [float(c) for c in model.coefficients], float(model.intercept)

@@ -1,11 +1,14 @@
 """Toxicity, personal data and license scans."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
 import zlib
 
+from pyspark.sql import functions as F
+
 from inkwell.llm import licenses, pii, toxicity
 from tests.llm.conftest import EDGES
 
@@ -234,6 +237,65 @@ def test_toxicity(spark, docs):
     assert sum(hits) >= 0.9 * len(hits) and sum(false) <= 0.02 * len(false)
 
 
+def vote_table(n=400):
+    """Rows of votes: voter 1 mostly repeats voter 0, voter 2 is on its own, voter 3 never fires."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(n):
+        toxic = i % 5 == 0
+        a = rng.random() < (0.7 if toxic else 0.1)
+        b = rng.random() < (0.95 if a else 0.02)
+        c = rng.random() < (0.5 if toxic else 0.05)
+        rows.append([v for v, x in enumerate((a, b, c)) if x])
+    return rows
+
+
+def test_label_model_against_brute_force(spark):
+    """Expectation maximisation row by row, with posteriors multiplied out, for the forest of one edge that these votes have."""
+    rows, start, prior, quiet = vote_table(), {0: 0.6, 1: 0.55, 2: 0.7, 3: 0.9}, 0.2, 0.05
+    found = spark.createDataFrame([([*r, 7],) for r in rows], "found array<int>")
+    model = toxicity.label_model(found, [0, 1, 2, 3], start, prior, quiet)
+    assert model.parent == {1: 0} and set(model.alone) == {0, 1, 2}
+    fired = {v: sum(v in r for r in rows) for v in (0, 1, 2)}
+    rate = {(v, y, m): fired[v] * (start[v] if y else 1 - start[v]) / (prior if y else 1 - prior) / len(rows) for v in fired for y in (0, 1) for m in (0, 1)}
+
+    def posterior(r):
+        if not r:
+            return quiet
+        like = [1 - prior, prior]
+        for y in (0, 1):
+            for v in r:
+                like[y] *= rate[v, y, int(v == 1 and 0 in r)]
+        return like[1] / sum(like)
+
+    keep = 1 - toxicity.ANCHOR
+    for _ in range(toxicity.ROUNDS):
+        p = [posterior(r) for r in rows]
+        size = [len(rows) - sum(p), sum(p)]
+        new = {}
+        for v in fired:
+            e = keep * sum(x for x, r in zip(p, rows, strict=True) if v in r) + (1 - keep) * fired[v] * start[v]
+            for m in (0, 1):
+                new[v, 1, m], new[v, 0, m] = e / size[1], (fired[v] - e) / size[0]
+        met = [x for x, r in zip(p, rows, strict=True) if 0 in r and 1 in r]
+        toxic = len(met) * (keep * sum(met) / len(met) + (1 - keep) * max(start[0], start[1]))
+        for y, n in ((1, toxic), (0, len(met) - toxic)):
+            ours, up = new[1, y, 0] * size[y], new[0, y, 0] * size[y]
+            n, weight = min(n, ours, up), toxicity.PRIOR_ROWS * ours / size[y]
+            new[1, y, 1], new[1, y, 0] = (n + weight) / (up + toxicity.PRIOR_ROWS), (ours - n + weight) / (size[y] - up + toxicity.PRIOR_ROWS)
+        done = max(abs(math.log(new[k] / rate[k])) for k in rate) < 1e-3 and _ > 0
+        rate = new
+        if done:
+            break
+    patterns = sorted({tuple(r) for r in rows})
+    table = spark.createDataFrame([(list(r),) for r in patterns], "votes array<int>")
+    for r in table.withColumn("odds", model.odds(F.col("votes"))).collect():
+        assert abs(1 / (1 + math.exp(-r["odds"])) - posterior(r["votes"])) < 1e-9
+    # The copying voter adds little to the voter that it repeats.
+    assert model.alone[0] + model.alone[1] + model.both[1] - max(model.alone[0], model.alone[1]) < 0.5 * min(model.alone[0], model.alone[1])
+    assert toxicity.label_model(found.limit(0), [0, 1], start, prior, quiet).alone == {}
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs([(1, "you are a moron and an idiot"), (2, "a pleasant day"), (3, None)]), none).collect()}
