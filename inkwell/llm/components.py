@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import discard, materialize
+from inkwell.llm.common import discard, join_hot, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round writes its links to the shared folder, so lineage stays short and no row passes
     through the driver.  A node with very many links is no single task's work: the star steps
-    aggregate its neighbours' minimum with map-side partial sums and join it back.
+    aggregate its neighbours' minimum with map-side partial sums and join it back by `join_hot`.
     Self-links, repeated links and nulls are ignored; an empty table gives an empty result.
     """
     edges = materialize(
@@ -22,12 +22,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: every neighbour that is larger than a node links to the smallest around it.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both, low, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "large-star")
         # Small star: the smaller neighbours of a node, and the node, link to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = materialize(small.filter("u <> v").distinct(), "small-star")
         discard(large)
         changed = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()

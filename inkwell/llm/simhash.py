@@ -175,7 +175,9 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     rotated = rotated.withColumn("node", F.shiftrightunsigned("value", BITS - BLOCK_BITS))
     # A start node that holds too many is replaced by the pairs of its descendants SPLIT_BITS
     # deeper whose bits differ within the budget.
-    sizes = rotated.groupBy("block", "node").count()
+    sizes = materialize(rotated.groupBy("block", "node").count(), "node-sizes")
+    copies = sum(1 for m in range(2**SPLIT_BITS) if m.bit_count() <= BUDGET)
+    dealt_rows = sizes.agg(F.sum(F.col("count") * F.when(F.col("count") > NODE_SIZE, copies).otherwise(1))).first()[0] or 0
     if sizes.filter(F.col("count") > NODE_SIZE).isEmpty():
         dealt = rotated.withColumn("pair", F.lit(-1))
     else:
@@ -220,7 +222,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
         yield pd.DataFrame({"a": back(found), "b": back(forest.root[found])})
 
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), fps.count() * BLOCKS // TASK_SIZE)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), dealt_rows // TASK_SIZE)
     dealt = dealt.select("block", "node", "pair", "value").repartition(tasks, "block", "node", "pair")
     return dealt.mapInPandas(walk, "a long, b long")
 
@@ -237,7 +239,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    parts = connected_components(fingerprint_links(distinct.select("fp")))
+    links = materialize(fingerprint_links(distinct.select("fp")), "fingerprint-links")
+    parts = connected_components(links)
+    discard(links)
     # Components are named by a fingerprint; their smallest identifier is a plain aggregate.
     named = distinct.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left")
     named = named.withColumn("component", F.coalesce("component", "fp"))
