@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialize, small_batches
+from inkwell.llm.common import discard, join_hot, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring.
@@ -42,8 +42,10 @@ _SPACE = r"[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]{1,2}"
 _GAP = re.compile(rf"{_SPACE}(?:(?:[/–-]|[A-Z]{{2,4}}){_SPACE})?")
 #: Letters and digits of the longest identifier that has spaces (an IBAN).
 LONGEST = 34
-#: Characters on each side of a candidate that may hold its context.
+#: Characters that are read at first on each side of a candidate for its context; more are read until the words are whole.
 CONTEXT = 64
+#: A pattern of more characters goes by its digest.
+LONG_PATTERN = 256
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -107,13 +109,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted((a, k, b) for k, find in enumerate(_BASE) for a, b in find(text))
 
 
+def _before(text: str, a: int) -> list[str]:
+    """The last two words before a place, whole."""
+    size = CONTEXT
+    while True:
+        left = text[max(0, a - size) : a]
+        words = left.split()
+        if a > size and words and not left[0].isspace():
+            words = words[1:]  # the first may be cut
+        if len(words) > 1 or a <= size:
+            return words[-2:]
+        size *= 4
+
+
+def _after(text: str, b: int) -> list[str]:
+    """The first word after a place, whole."""
+    size = CONTEXT
+    while True:
+        right = text[b : b + size]
+        words = right.split(maxsplit=1)
+        if b + size >= len(text) or (words and (len(words) > 1 or right[-1].isspace())):
+            return words[:1]
+        size *= 4
+
+
 def _contexts(text: str, a: int, b: int) -> list[str]:
     """The lexical patterns at a span: what leads to it in its token, one and two words before, one word after."""
-    left = text[max(0, a - CONTEXT) : a].lower()
-    right = text[b : b + CONTEXT].lower()
-    before, after = left.split(), right.split()
-    if a > CONTEXT and len(before) > 1 and not left[:1].isspace():
-        before = before[1:]  # the first may be cut
+    before, after = [w.lower() for w in _before(text, a)], [w.lower() for w in _after(text, b)]
     out = []
     if before:
         out.append(f"{before[-1]}_")
@@ -121,7 +143,7 @@ def _contexts(text: str, a: int, b: int) -> list[str]:
         out.append(f"{before[-2]} {before[-1]}_")
     if before and after:
         out.append(f"{before[-1]}_{after[0]}")
-    return out
+    return [p if len(p) <= LONG_PATTERN else hashlib.md5(p.encode("utf-8", "surrogatepass")).hexdigest() for p in out]
 
 
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, list[str]]]:
@@ -226,35 +248,47 @@ def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _discover(scanned: DataFrame) -> DataFrame:
     """(row, found): spans that patterns of high confidence mark."""
-    seen = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    seen = materialize(scanned.select("row", F.explode("near").alias("x")).select("row", "x.*"), "seen")
     # One edge for each pattern and instance, however often they meet: copies of a text say no more than one.
-    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    several = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") >= 0).alias("seeds"))
-    several = several.filter((F.col("n") >= MIN_INSTANCES) & (F.col("seeds") > 0)).select("pattern")
-    edges = materialize(edges.join(several, "pattern"), "pattern-instance")
+    every = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    every = materialize(every, "edges")
+    several = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") >= 0).alias("seeds"))
+    several = several.filter((F.col("n") >= MIN_INSTANCES) & (F.col("seeds") > 0)).select("pattern", "n")
+    # A pattern or an instance may have a large part of all edges, so all joins split hot keys.
+    edges = materialize(join_hot(every, several, ["pattern"], "n"), "pattern-instance")
+    discard(every)
     kinds = F.array(*[F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in range(len(KINDS))])
     # A score for each kind; seeds keep theirs.
-    instances = edges.groupBy("instance").agg(F.max("kind").alias("kind")).select("instance", (F.col("kind") >= 0).alias("seed"), kinds.alias("score"))
+    instances = edges.groupBy("instance").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    instances = materialize(instances.select("instance", "n", (F.col("kind") >= 0).alias("seed"), kinds.alias("score")), "instances")
     patterns = None
     for i in range(ROUNDS):
-        met = edges.select("pattern", "instance").join(instances, "instance")
+        met = join_hot(edges.select("pattern", "instance"), instances.select("instance", "score", "n"), ["instance"], "n")
         sums = [F.sum(F.element_at("score", k + 1)).alias(f"s{k}") for k in range(len(KINDS))]
-        patterns = met.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *sums)
+        before, patterns = patterns, met.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *sums)
         # A lower bound of the share of entities among a pattern's instances.
         bound = [_lower(F.col(f"s{k}"), F.col("n")) for k in range(len(KINDS))]
-        patterns = materialize(patterns.select("pattern", F.array(*bound).alias("trust")), f"patterns-{i}")
+        patterns = materialize(patterns.select("pattern", "n", F.array(*bound).alias("trust")), f"patterns-{i}")
+        if before is not None:
+            discard(before)
         if i + 1 < ROUNDS:
             # An instance is none of a kind only if all its patterns fail on it.
-            back = edges.select("pattern", "instance").join(patterns, "pattern")
+            back = join_hot(edges.select("pattern", "instance"), patterns, ["pattern"], "n")
             miss = [F.sum(F.log(1.0001 - F.element_at("trust", k + 1))).alias(f"m{k}") for k in range(len(KINDS))]
             hits = back.groupBy("instance").agg(*miss).select("instance", F.array(*[1 - F.exp(F.col(f"m{k}")) for k in range(len(KINDS))]).alias("hit"))
             kept = F.when(F.col("seed"), F.col("score")).otherwise(F.transform("hit", lambda h: F.when(h >= ENTITY, h).otherwise(0.0)))
-            instances = materialize(instances.join(hits, "instance").select("instance", "seed", kept.alias("score")), f"instances-{i}")
+            scored = materialize(instances.join(hits, "instance").select("instance", "n", "seed", kept.alias("score")), f"instances-{i}")
+            discard(instances)
+            instances = scored
     best = F.array_max("trust")
     sure = patterns.filter(best >= MIN_SCORE).select("pattern", best.alias("trust"), (F.array_position("trust", best) - 1).cast("int").alias("as"))
-    unseen = seen.filter("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern"))
-    marked = unseen.join(sure, "pattern").groupBy("row", "start", "end").agg(F.max_by("as", F.struct("trust", -F.col("as"))).alias("as"))
-    return marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("as").alias("kind"), "end"))).alias("found"))
+    unseen = materialize(seen.filter("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern")), "unseen")
+    marked = join_hot(unseen, sure, ["pattern"]).groupBy("row", "start", "end").agg(F.max_by("as", F.struct("trust", -F.col("as"))).alias("as"))
+    found = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("as").alias("kind"), "end"))).alias("found"))
+    found = materialize(found, "found")
+    for used in (seen, edges, instances, patterns, unseen):
+        discard(used)
+    return found
 
 
 def _lower(hits: Column, n: Column) -> Column:

@@ -88,6 +88,17 @@ def test_candidates_are_whole():
     assert "".join(found(text)).replace(" ", "") == text.replace(" ", "") and max(map(len, found(text))) < 2 * pii.LONGEST
 
 
+def test_contexts_have_whole_words():
+    long = "x" * 5_000
+    text = f"first {long} {'y' * 300} a@b.c {'z' * 700} end"
+    a = text.index("a@b.c")
+    assert pii._before(text, a) == [long, "y" * 300] and pii._after(text, a + 5) == ["z" * 700]
+    assert pii._before("one a@b.c", 4) == ["one"] and pii._before("a@b.c", 0) == [] and pii._after("a@b.c", 5) == []
+    assert pii._before("q " + " " * 500 + "w ", 504) == ["q", "w"] and pii._after("x" + " " * 500, 1) == []
+    assert pii._contexts(text, a, a + 5) != pii._contexts(text.replace("y" * 300, "y" * 299), a - 1, a + 4)
+    assert all(len(p) <= pii.LONG_PATTERN for p in pii._contexts(text, a, a + 5))
+
+
 def test_redact_keeps_rows(docs):
     rows = [*EDGES, (8, "a@b.c"), (8, "a@b.c"), (8, "b@c.d and a@b.c"), (None, "1.2.3.4")]
     found = pii.redact(docs(rows))
