@@ -42,10 +42,11 @@ def suffix_ranks(first: np.ndarray) -> list[np.ndarray]:
 
     `first` must rank the items so that the sequence's last item is unique.  A rank is the place
     in the suffix array where the suffixes with this prefix begin; rounds sort the tied ones only.
+    There is a level for each doubling up to the longest repeated string, of four bytes an item.
     """
     counts = np.bincount(first)
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    levels = [starts[first].astype(np.int64)]
+    levels = [starts[first].astype(np.int32 if len(first) < 1 << 31 else np.int64)]
     tied, width = np.flatnonzero(counts[first] > 1), 1
     while len(tied):
         rank = levels[-1]
@@ -60,7 +61,7 @@ def suffix_ranks(first: np.ndarray) -> list[np.ndarray]:
         group = at[opens][np.cumsum(opens) - 1]
         part = at[splits][np.cumsum(splits) - 1]
         finer = rank.copy()
-        finer[tied] = own + part - group
+        finer[tied] = (own + part - group).astype(rank.dtype)
         levels.append(finer)
         size = np.diff(np.append(at[splits], len(tied)))
         tied, width = np.sort(tied[size[np.cumsum(splits) - 1] > 1]), width * 2
@@ -79,6 +80,7 @@ def longest_repeats(first: np.ndarray) -> np.ndarray:
     for t in range(len(levels) - 1, -1, -1):
         same = levels[t][one + shared] == levels[t][other + shared]
         shared[same] += 1 << t
+        del levels[t]  # needed no more
     np.maximum.at(longest, one, shared)
     np.maximum.at(longest, other, shared)
     return longest
