@@ -4,8 +4,8 @@ Whole windows of a document are sequences of their own.  The tails are put into
 length classes; shallow combinations of classes that fill a window are the
 columns of a matrix, and non-negative least squares finds how often to repeat
 each so that the histogram of the tails is used up.  Repeat counts are rounded
-down.  The tails left over form a stream, which is cut to fill what the planned
-windows have free and then packs windows of its own.
+down.  The tails left over form a stream, which greedily fills what the planned
+windows have free, is cut where a window is full, and then packs windows of its own.
 
 The histogram and the plan have a fixed size whatever the input.  Everything
 that is as long as the input stays in Spark tables.
@@ -13,6 +13,7 @@ that is as long as the input stays in Spark tables.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -40,12 +41,22 @@ MARGIN = 0.995
 #: Entries of a worker's caches; a full cache starts anew.
 CACHE = 500_000
 #: Tokens of a stretch of the stream that is merged with the free places by itself.
-STRETCH = 1 << 16
+STRETCH = 1 << 14
 #: Planned windows whose free places are added up together.
 GROUP = 1 << 12
 
+#: How a file has to prepare texts for the shorter way of `WordTokenizer`; texts for another one all go through the tokenizer as a whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: The pieces into which the tokenizer cuts lower-cased text.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PIECE = regex.compile(_SPLIT)
 #: Strings on which lower-casing and the pieces need no more than Python's own methods.
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
@@ -61,7 +72,8 @@ class WordTokenizer:
     """Ids of white-space separated chunks, with caches of chunks and of pieces.
 
     Chunks of plain letters and signs are cut into pieces here and only the pieces go to the BPE
-    model; all other chunks go through the tokenizer as a whole.
+    model; all other chunks go through the tokenizer as a whole.  That holds for files that prepare
+    texts as _NORMALIZER and _PRE_TOKENIZER say; with another file, whole texts go through the tokenizer.
     """
 
     def __init__(self, content: str) -> None:
@@ -73,6 +85,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(self.content)
         self.model = self.tokenizer.model
+        said = json.loads(self.content)
+        self.by_chunks = said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _PRE_TOKENIZER
         self.chunks: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
         self.pieces: dict[str, list[int]] = {}
         self.letter = _byte_letters()
@@ -103,6 +117,9 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, end of each text's ids)."""
+        if not self.by_chunks:
+            found = [x.ids for x in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
@@ -241,14 +258,18 @@ def window_plan(counts: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int,
 def _running(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
     """`df` with `out`, the sum of `value` over all rows before in order of (group, order).
 
-    The sums run within groups; only a row for each group meets in one task.
+    The sums run within groups, those of groups within GROUP of them, and one task adds up only
+    what those come to: a row for GROUP groups.
     """
-    totals = df.groupBy(group).agg(F.sum(value).alias("_total"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col(group).alias("_group"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (Window.unboundedPreceding, -1)
+    totals = df.groupBy(group).agg(F.sum(value).alias("_total")).withColumn("_upper", F.floor(F.col(group) / GROUP))
+    upper = totals.groupBy("_upper").agg(F.sum("_total").alias("_sum"))
+    upper = upper.select("_upper", F.coalesce(F.sum("_sum").over(Window.orderBy("_upper").rowsBetween(*earlier)), F.lit(0)).alias("_below"))
+    within = F.coalesce(F.sum("_total").over(Window.partitionBy("_upper").orderBy(group).rowsBetween(*earlier)), F.lit(0))
+    bases = totals.withColumn("_within", within).join(upper, "_upper").select(F.col(group).alias("_group"), (F.col("_within") + F.col("_below")).alias("_base"))
+    own = Window.partitionBy(group).orderBy(order).rowsBetween(*earlier)
     inner = df.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return inner.join(totals, F.col(group) == F.col("_group")).withColumn(out, F.col("_base") + F.col("_own")).drop("_group", "_base", "_own")
+    return inner.join(bases, F.col(group) == F.col("_group")).withColumn(out, F.col("_base") + F.col("_own")).drop("_group", "_base", "_own")
 
 
 def _stretches(df: DataFrame, kind: int, begin: str, size: str, end: int, *columns: str) -> DataFrame:

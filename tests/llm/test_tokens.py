@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -93,6 +94,18 @@ def test_packing_plans(docs, word_bpe, kind):
     check_packing(packing.pack(docs(rows), word_bpe).collect(), rows, library, 0.02 * (sum(sizes) + len(sizes)))
 
 
+def test_another_tokenizer_file():
+    """A file that prepares texts in another way is followed as it is."""
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        content = f.read()
+    own, library = packing.WordTokenizer(content), Tokenizer.from_str(content)
+    texts = ["Hello  World", None, "", "ÄÖ it's 12\n\n x"]
+    ids, ends = own.encode(pa.array(texts))
+    assert not own.by_chunks and packing.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()).by_chunks
+    starts = [0, *ends[:-1]]
+    assert [ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_nnls():
     rng = np.random.default_rng(0)
     a = packing.combinations(16, 3).astype(float)
