@@ -16,7 +16,10 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--store", required=True, help="folder of the point store")
     parser.add_argument("--collection", default="documents")
     commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("index").add_argument("folder")
+    index = commands.add_parser("index")
+    index.add_argument("folder")
+    index.add_argument("--all", action="store_true", help="read and index again what earlier runs have")
+    index.add_argument("--flat", action="store_true", help="leave out folders within the folder")
     search = commands.add_parser("search")
     search.add_argument("query")
     search.add_argument("--top-k", type=int, default=20)
@@ -26,14 +29,15 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("inkwell").getOrCreate()
     store = PointStore(spark, args.store)
     if args.command == "index":
-        print(index_folder(spark, store, args.folder, args.collection))
+        print(index_folder(spark, store, args.folder, args.collection, recursive=not args.flat, incremental=not args.all))
     elif args.command == "search":
         rows = search_points(store, spark.createDataFrame([(0, args.query)], "query_id long, query string"), args.collection, args.top_k, args.rerank).collect()
         for r in rows:
             print(r["error"] or f"{r['rerank_rank']}. {r['source']} ({r['score']:.4f}) {(r['text'] or '')[:300]}")
         return int(any(r["error"] for r in rows))
     else:
-        print({"collection": args.collection, "points": store.count(args.collection)})
+        for r in store.info().collect():
+            print(r.asDict())
     return 0
 
 

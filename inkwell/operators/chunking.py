@@ -53,22 +53,31 @@ def length_chunks(text: str, most: int = 2000, overlap: int = 50) -> list[tuple[
     return [(c.strip(), c) for c in _flush(parts, most, overlap, " ")]
 
 
-def split_oversize(text: str, most: int) -> list[str]:
-    """A text in parts of at most `most` + 1 characters, cut after a full stop, else a space, else anywhere."""
+def split_oversize(text: str, most: int) -> list[tuple[str, str]]:
+    """(content, text that is hashed) of the parts of a text, each of at most `most` + 1 characters.
+
+    A cut follows the last full stop of the first `most` characters, else their last space, else comes after
+    one more.  A part of white space alone is an empty chunk, but for the last.
+    """
     out = []
     while len(text) > most:
         at = text.rfind("。", 0, most)
-        if at <= 0:
+        if at < 0:
             at = text.rfind(" ", 0, most)
-        if at <= 0:
+        if at < 0:
             at = most
-        out.append(text[: at + 1].strip())
-        text = text[at + 1 :].strip()
-    return [x for x in [*out, text] if x]
+        part = text[: at + 1].strip()
+        out.append((part, part))
+        text = text[at + 1 :]
+    return [*out, (text.strip(), text)] if text.strip() else out
+
+
+def oversize_parts(df: DataFrame, text_col: str = "text", most: int = 2000) -> DataFrame:
+    return _applied(df, text_col, lambda t: split_oversize(t, most), "semantic")
 
 
-def semantic_chunks(sentences: Sequence[str], breaks: Sequence[int], least: int = 100, most: int = 2000) -> list[tuple[str, int, int]]:
-    """(content, first sentence, end) between breaks; a short chunk joins the next one, a long one is split."""
+def semantic_chunks(sentences: Sequence[str], breaks: Sequence[int], least: int = 100, most: int = 2000) -> list[tuple[str, str]]:
+    """(content, text that is hashed) between breaks; a short chunk joins the next one, a long one is split."""
     out, start = [], 0
     ends = [*sorted(breaks), len(sentences)]
     for end in ends:
@@ -77,7 +86,7 @@ def semantic_chunks(sentences: Sequence[str], breaks: Sequence[int], least: int
         content = " ".join(sentences[start:end])
         if len(content) < least and end < len(sentences):
             continue
-        out += [(c, start, end) for c in (split_oversize(content, most) if len(content) > most else [content])]
+        out += split_oversize(content, most) if len(content) > most else [(content, content)]
         start = end
     return out
 
@@ -162,7 +171,7 @@ def chunk_semantic(
             return [(text, text)]
         vectors = embed(parts)
         breaks = [i + 1 for i in range(len(parts) - 1) if _cosine(vectors[i], vectors[i + 1]) < threshold]
-        return [(c, c) for c, _, _ in semantic_chunks(parts, breaks, least, most)]
+        return semantic_chunks(parts, breaks, least, most)
 
     return _applied(df, text_col, cut, "semantic")
 

@@ -1,19 +1,30 @@
-"""Scored retrieval: dense and sparse top-k, BM25, rank fusion."""
+"""Scored retrieval: dense and sparse top-k, BM25, rank fusion.
+
+Both sides of a search are packed into blocks, a row for each; Spark pairs the
+blocks, and a task multiplies those of a pair and hands on no more than each
+query's best of it.  So what is shuffled is k rows for a query and block, however
+many points share a word with the query.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import word_tokens
 
-#: Vectors of one block of queries; a block is sent to all executors.
-BLOCK = 2_048
+#: Numbers of one score matrix in a task.
+CELLS = 1 << 22
+#: Queries of one block.
+BLOCK = 512
+#: Queries up to which their blocks are sent to all executors; of more, blocks are paired by shuffle.
+BROADCAST_QUERIES = 4_096
 #: Digits of a summed score: sums in another order agree, so that texts that are copies tie.
 DIGITS = 9
 #: Each branch of a hybrid search fetches so many times the limit.
@@ -33,62 +44,166 @@ def ranked(scores: DataFrame, k: int, query: str = "query_id", doc: str = "id",
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class _Best:
+    """The best k scores of each query so far; ties go to the smaller identifier."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.most = 0, max(4 * k * queries, 1 << 16)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, wanted: np.ndarray | None = None) -> None:
+        """Scores by query and point; `wanted` marks those that count."""
+        good = scores >= self.least[:, None]
+        q, at = np.nonzero(good if wanted is None else good & wanted)
+        self.held.append((q, ids[at], scores[q, at]))
+        self.size += len(q)
+        if self.size > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, i, s = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        starts = np.searchsorted(q, np.arange(len(self.least)))
+        nth = np.arange(len(q)) - starts[q]
+        last = nth == self.k - 1
+        self.least[q[last]] = s[last]
+        keep = nth < self.k
+        self.held = [(q[keep], i[keep], s[keep])]
+        self.size = int(keep.sum())
+        return self.held[0]
+
+
+FOUND = "query_id long, id long, score double"
+
+
+def _found(best: _Best, query_ids: np.ndarray) -> pa.RecordBatch:
+    q, i, s = best.cut()
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
+
+
+def _paired(points: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
+    """Every block of points with every block of queries."""
+    return points.crossJoin(F.broadcast(queries)) if few else points.crossJoin(queries.repartition(queries.sparkSession.sparkContext.defaultParallelism))
+
+
+def _few(queries: DataFrame) -> bool:
+    return queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+
+
+def _vector_blocks(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """(name_ids, name_width, name_vectors): vectors of one length in a row, unit vectors but for those of norm zero."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes = np.diff(vectors.offsets.to_numpy())
+            flat, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+            for width in np.unique(sizes):
+                own = np.flatnonzero(sizes == width)
+                for at in range(0, len(own), most or len(own)):
+                    part = own[at : at + (most or len(own))]
+                    x = flat[starts[part][:, None] + np.arange(width)]
+                    n = np.linalg.norm(x, axis=1)
+                    x = x / np.where(n > 0, n, 1)[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()], pa.binary()), pa.array([int(width)]), pa.array([x.tobytes()], pa.binary())], names=["i", "w", "v"])
+
+    return rows.mapInArrow(pack, "i binary, w long, v binary").toDF(f"{name}_ids", f"{name}_width", f"{name}_vectors")
+
+
 def dense_topk(queries: DataFrame, points: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k points of the largest cosine similarity to each query.
 
-    `queries` has query_id and a vector, `points` id and a vector.  Queries go out in blocks of BLOCK
-    vectors.  A task multiplies its points with a block and hands on no more than its own best k of
-    each query, so what is shuffled does not grow with a task's points.  A vector of norm zero or of
+    `queries` has query_id and a vector, `points` id and a vector.  A vector of norm zero or of
     another length than the query's scores 0; a null vector is left out.
     """
-    spark = queries.sparkSession
-    rows = queries.filter(F.col(vector).isNotNull()).select("query_id", F.col(vector).cast("array<double>").alias("v")).toLocalIterator(prefetchPartitions=True)
-    block: list[tuple[int, list[float]]] = []
-    out = None
-    data = points.filter(F.col(vector).isNotNull()).select("id", F.col(vector).cast("array<double>").alias("v"))
-
-    def one(block: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([q for q, _ in block])
-        width = max(len(v) for _, v in block)
-        matrix = np.array([[*v, *[0.0] * (width - len(v))] for _, v in block])
-        lengths = np.array([len(v) for _, v in block])
-        norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.where(norms > 0, norms, 1)[:, None], lengths))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, lengths = shared.value
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_i = np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                own, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                sizes = np.diff(vectors.offsets.to_numpy())
-                x = np.zeros((len(own), matrix.shape[1]))
-                fits = sizes <= matrix.shape[1]
-                if fits.all() and (sizes == matrix.shape[1]).all():
-                    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(x.shape)
-                else:
-                    for i in np.flatnonzero(fits):
-                        x[i, : sizes[i]] = vectors[i].as_py()
-                n = np.linalg.norm(x, axis=1)
-                s = matrix @ (x / np.where(n > 0, n, 1)[:, None]).T
-                s = np.where(lengths[:, None] == sizes[None, :], s, 0.0)
-                all_s, all_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(own, s.shape)])
-                order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-            if best_s.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
-
-        return data.mapInArrow(score, "query_id long, id long, score double")
-
-    for row in rows:
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            out, block = one(block) if out is None else out.union(one(block)), []
-    if block:
-        out = one(block) if out is None else out.union(one(block))
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    return ranked(out, k)
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        return rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    wanted = clean(queries, "query_id")
+    pairs = _paired(_vector_blocks(clean(points, "id"), "point"), _vector_blocks(wanted, "query", BLOCK), _few(wanted))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                ids, query_ids = np.frombuffer(x["point_ids"], np.int64), np.frombuffer(x["query_ids"], np.int64)
+                p = np.frombuffer(x["point_vectors"]).reshape(len(ids), -1)
+                q = np.frombuffer(x["query_vectors"]).reshape(len(query_ids), -1)
+                best = _Best(len(query_ids), k)
+                step = max(1, CELLS // len(query_ids))
+                for at in range(0, len(ids), step):
+                    own = p[at : at + step]
+                    best.add(q @ own.T if x["point_width"] == x["query_width"] else np.zeros((len(q), len(own))), ids[at : at + step])
+                yield _found(best, query_ids)
+
+    return ranked(pairs.mapInArrow(score, FOUND), k)
+
+
+def term_topk(queries: DataFrame, points: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k points of the largest dot product over shared terms.
+
+    `queries` has query_id, term, weight.  `points` has id, terms and weights (arrays), or with `weigh`
+    id and terms with repetitions: a term's weight is then weigh(its count, all terms of the point).
+    Only points that share a term with a query are ranked.
+    """
+    count = queries.select("query_id").distinct().count()
+    blocks = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-count // BLOCK))))
+    entry = F.struct("query_id", "term", "weight")
+    packed = queries.select(F.col("query_id").cast("long"), "term", F.col("weight").cast("double")).groupBy(blocks.alias("block")).agg(F.collect_list(entry).alias("entries")).select("entries")
+    names = ["id", "terms"] if weigh else ["id", "terms", "weights"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(n).to_pylist()], t) for n, t in zip(names, types, strict=True)], names=names)
+
+    types = [pa.list_(pa.int64()), pa.list_(pa.list_(pa.string())), pa.list_(pa.list_(pa.float64()))][: len(names)]
+    own = points.filter(F.size("terms") > 0).select(F.col("id").cast("long"), *names[1:])
+    together = own.mapInArrow(pack, "id array<long>, terms array<array<string>>" + ", weights array<array<double>>" * (not weigh))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield _scored(batch.slice(at, 1), k, weigh)
+
+    return ranked(_paired(together, packed, count <= BROADCAST_QUERIES).mapInArrow(score, FOUND), k)
+
+
+def _scored(pair: pa.RecordBatch, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> pa.RecordBatch:
+    """Best k of each query for one block of points and one of queries."""
+    entries = pair.column("entries").flatten()
+    query_ids, q = np.unique(entries.field("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+    terms = entries.field("term").dictionary_encode()
+    table = np.zeros((len(terms.dictionary), len(query_ids)))
+    np.add.at(table, (terms.indices.to_numpy(zero_copy_only=False), q), entries.field("weight").to_numpy(zero_copy_only=False))
+    ids, lists = pair.column("id").flatten().to_numpy(zero_copy_only=False), pair.column("terms").flatten()
+    sizes = np.diff(lists.offsets.to_numpy())
+    code = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = np.flatnonzero(code >= 0)
+    row, code = np.repeat(np.arange(len(ids)), sizes)[known], code[known]
+    if weigh:
+        key, n = np.unique(row * len(table) + code, return_counts=True)
+        row, code = key // len(table), key % len(table)
+        weight = weigh(n.astype(float), sizes[row].astype(float))
+    else:
+        weight = pair.column("weights").flatten().flatten().to_numpy(zero_copy_only=False)[known]
+    best = _Best(len(query_ids), k)
+    shared = None if (table >= 0).all() and (weight > 0).all() else (table != 0).astype(float)
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    ends, step = np.append(starts[1:], len(row)), max(1, CELLS // len(query_ids))
+    first = 0
+    while first < len(starts):  # as many points as fit a matrix, and one at least
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + step, "right")))
+        part = slice(starts[first], ends[last - 1])
+        at = starts[first:last] - starts[first]
+        scores = np.round(np.add.reduceat(table[code[part]] * weight[part, None], at, axis=0).T, DIGITS)
+        met = scores > 0 if shared is None else np.add.reduceat(shared[code[part]], at, axis=0).T > 0
+        best.add(scores, ids[row[starts[first:last]]], met)
+        first = last
+    return _found(best, query_ids)
 
 
 def term_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,14 +218,14 @@ def sparse_vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sparse_topk(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k points of the largest dot product over shared dimensions.
+    """`term_topk` of points whose sparse vector is a map: id, sparse."""
+    given = points.filter(F.col("sparse").isNotNull())
+    return term_topk(queries, given.select("id", F.map_keys("sparse").alias("terms"), F.map_values("sparse").alias("weights")), k)
 
-    `queries` has query_id, term, weight; `points` id, term, weight.  Only points that share a
-    dimension with a query are ranked.
-    """
-    q = small(queries.select("query_id", F.col("term").alias("_t"), F.col("weight").alias("_w")))
-    met = points.join(q, F.col("term") == F.col("_t"))
-    return ranked(met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("_w")), DIGITS).alias("score")), k)
+
+def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """`term_topk` by the default lexical weights of texts."""
+    return term_topk(queries, docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("terms")), k, lambda tf, _: np.log1p(tf))
 
 
 class Bm25:
@@ -121,29 +236,29 @@ class Bm25:
 
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "content", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> None:
         self.k1, self.b = k1, b
-        self.tokens = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("tokens"))
-        total = self.tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("length")).first()
-        self.n, self.average = total["n"], total["length"] or 1.0
-        each = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        self.tokens = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("terms"))
+        # One pass over the texts: a row for each word of the vocabulary, and one, for no word, with the number and length of all texts.
+        words = F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))
+        each = self.tokens.select(F.size("terms").alias("length"), F.explode(words).alias("term"))
+        self._counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length")).persist(StorageLevel.MEMORY_AND_DISK)
+        total = self._counts.filter("term is null").first()
+        self.n, self.average = (total["df"], total["length"] / total["df"] or 1.0) if total else (0, 1.0)
         raw = F.log(F.lit(float(self.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        # A row for each word of the vocabulary, used for the mean and by every search.
-        self.weights = each.select("term", raw.alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)
-        mean = self.weights.agg(F.avg("idf")).first()[0] or 0.0
-        self.weights = self.weights.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
+        found = self._counts.filter("term is not null").select("term", raw.alias("idf"))
+        mean = found.agg(F.avg("idf")).first()[0] or 0.0
+        self.weights = found.withColumn("idf", F.when(F.col("idf") < 0, epsilon * mean).otherwise(F.col("idf")))
+
+    def close(self) -> None:
+        """Let go of the statistics that are held."""
+        self._counts.unpersist()
 
     def topk(self, queries: DataFrame, k: int, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
         """(query_id, id, score, rank) of the k best texts with a score above 0; repeated words of a query count again."""
         terms = queries.select(F.col(id_col).alias("query_id"), F.explode(word_tokens(F.col(text_col))).alias("term"))
-        wanted = small(terms.select("term").distinct())
-        terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(self.weights, "term")
-        terms = small(terms.select("query_id", F.col("term").alias("_t"), (F.col("qtf") * F.col("idf")).alias("w")))
-        each = self.tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        # Words that no query has are dropped before anything is counted.
-        tf = each.join(wanted, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-        met = tf.join(terms, F.col("term") == F.col("_t"))
-        part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("length") / self.average))
-        scores = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * part), DIGITS).alias("score"))
-        return ranked(scores, k).filter("score > 0")
+        counted = small(terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+        wanted = self.weights.join(counted, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+        k1, b, average = self.k1, self.b, self.average
+        return term_topk(wanted, self.tokens, k, lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))).filter("score > 0")
 
 
 def fuse(lists: list[tuple[DataFrame, float]], limit: int, k: float = 60.0, first: int = 1) -> DataFrame:

@@ -108,7 +108,7 @@ def _compressed(query: str, content: str) -> str:
 
 _JUDGED = f"""
     WITH {_TF} {_BM25}, run AS (SELECT query_id, id, rank FROM br WHERE rank <= 20),
-    rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN labels ON quality = 1 AND item_id % 40 = doc_id % 40),
+    rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark JOIN labels ON quality = 1 AND doc_id BETWEEN item_id AND item_id + 7),
     nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
     hits AS (SELECT run.query_id, run.rank FROM run JOIN rel ON run.query_id = rel.query_id AND run.id = rel.id),
     each AS (SELECT b.item_id AS query_id, coalesce(max(n), 0) AS n, coalesce(1 / min(rank), 0) AS rr, CASE WHEN min(rank) IS NULL THEN 0.0 ELSE 1.0 END AS hit,
@@ -176,9 +176,9 @@ ORACLE_SQL = {
     "structure_chunks": _folded(f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')", "length(text) <= 2000", "chr(10)"),
     "length_chunks": _folded(_SENTENCES, f"len({_SENTENCES}) <= 1", "' '"),
     "semantic_breaks": """
-        WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS a, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
-        s AS (SELECT label, vec_id, list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b))) AS x FROM v WHERE b IS NOT NULL)
-        SELECT label, vec_id, round(x, 6) AS similarity, x < 0.2 AS is_break FROM s
+        WITH v AS (SELECT vec_id // 10 AS doc, vec_id, CAST(embedding AS DOUBLE[]) AS a, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS b FROM embeddings),
+        s AS (SELECT doc, vec_id, list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b))) AS x FROM v WHERE b IS NOT NULL)
+        SELECT doc, vec_id, round(x, 6) AS similarity, x < 0.2 AS is_break FROM s
     """,
     "latex_text": "SELECT CAST(n AS BIGINT) AS n, " + _strip(
         r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\(label|ref|cite|begin|end)\{[^}]*\}', '', 'g'), '\\[a-zA-Z]+\{([^}]*)\}', '\1', 'g'), '\\[a-zA-Z]+', '', 'g'), '[{}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
@@ -197,7 +197,7 @@ ORACLE_SQL = {
     """,
     "cosine_pairs": """
         WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-        SELECT q.id AS query_id, d.id, round(list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))), 5) AS similarity FROM e AS q JOIN e AS d ON q.id % 100 = 0
+        SELECT a.id, b.id AS other_id, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 5) AS similarity FROM e AS a JOIN e AS b ON b.id = a.id + 7
     """,
     "sparse_topk": f"WITH {_SPARSE} SELECT query_id, id, round(score, 6) AS score FROM sr WHERE rank <= 20",
     "bm25_topk": f"WITH {_TF} {_BM25} SELECT query_id, id, round(score, 6) AS score FROM br WHERE rank <= 20",

@@ -12,7 +12,7 @@ from inkwell.functions.routing import route
 from inkwell.functions.text import sanitized_query, word_tokens
 from inkwell.operators import governance, ranking, search
 from inkwell.sources.files import Strategies, new_files, read_chunks, scan_files, valid_chunks
-from inkwell.sources.store import PointStore
+from inkwell.sources.store import PointStore, payload, upsert
 
 #: Numbers of a default dense vector.
 WIDTH = 64
@@ -37,12 +37,22 @@ def word_sparse(content: Column) -> Column:
 
 
 def to_points(chunks: DataFrame, dense: Callable[[Column], Column] = hashed_dense, sparse: Callable[[Column], Column] = word_sparse, redact_content: bool = False) -> DataFrame:
-    """Points of chunks that have a chunk_hash: one for each hash, with vectors and copyright columns."""
+    """Points of chunks that have a chunk_hash: one for each hash, with vectors, metadata, copyright columns and the number of copies.
+
+    Metadata is redacted, and content too if asked for.  A license is that of the metadata
+    (`license`, `copyright_license`), or else one that the source names.
+    """
+    more = {"doc_hash": "string", "chunk_index": "int", "total_chunks": "int", "metadata": "map<string,string>"}
+    full = chunks.select(*chunks.columns, *[F.lit(None).cast(t).alias(c) for c, t in more.items() if c not in chunks.columns])
+    fields = ["content", "source", "chunk_type", *more]
+    once = full.groupBy("chunk_hash").agg(F.first(F.struct(*fields)).alias("x"), F.count(F.lit(1)).alias("copies")).select("chunk_hash", "copies", "x.*")
     content = governance.redact(F.col("content")) if redact_content else F.col("content")
-    once = chunks.dropDuplicates(["chunk_hash"])
+    metadata = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    named = [F.try_element_at(metadata, F.lit(k)) for k in ("license", "copyright_license")]
     return once.select(
         point_id(F.col("chunk_hash")).alias("id"), dense(F.col("content")).alias("dense"), sparse(F.col("content")).alias("sparse"), content.alias("content"),
-        "source", "chunk_type", "chunk_hash", *governance.copyright_columns(F.col("source")),
+        "source", "chunk_type", "chunk_hash", "doc_hash", "chunk_index", "total_chunks", governance.redact_map(metadata).alias("metadata"),
+        *governance.copyright_columns(F.col("source"), *named), "copies",
     )
 
 
@@ -50,25 +60,39 @@ def index_chunks(store: PointStore, chunks: DataFrame, collection: str = "docume
     """Index chunks that the collection has not seen; the numbers of chunks and of new points."""
     hashed = valid_chunks(chunks).withColumn("chunk_hash", chunk_hash(F.col("content"), F.col("source"), F.col("chunk_type")))
     fresh = store.unseen(collection, hashed) if incremental else hashed
-    points = to_points(fresh, **options)
-    counts = fresh.agg(F.count(F.lit(1)), F.count_distinct("chunk_hash")).first()
-    if counts[1]:
-        store.add(collection, points)
-    return {"chunks": counts[0], "points": counts[1]}
+    n, points = store.add(collection, to_points(fresh, **options), fresh=incremental)
+    return {"chunks": n, "points": points}
 
 
-def index_folder(spark: SparkSession, store: PointStore, path: str, collection: str = "documents", strategies: Strategies | None = None) -> dict[str, int]:
-    """Scan a folder, parse, chunk and index its files; a content that occurs twice is read once.
+def index_folder(
+    spark: SparkSession, store: PointStore, path: str, collection: str = "documents", strategies: Strategies | None = None, recursive: bool = True, incremental: bool = True
+) -> dict[str, int]:
+    """Scan a folder, parse, chunk and index its files.
 
-    Files that cannot be read, or that no strategy reads, are the rows of `store.errors`.
+    A file whose content an earlier run has read is not parsed again, and a content that occurs
+    twice is read once.  Files that cannot be read, or that no strategy reads, are the rows of
+    `store.errors`; they are tried again by the next run.
     """
     strategies = strategies or Strategies()
     known = list(strategies.by_suffix)
-    chunks = read_chunks(new_files(scan_files(spark, path, known), spark.createDataFrame([], "file_hash string")), strategies)
-    skipped = scan_files(spark, path).select("path", F.coalesce("error", F.when(~F.col("suffix").isin(*known), "no_strategy")).alias("error"))
-    failed = skipped.unionByName(chunks.select(F.col("source").alias("path"), "error")).filter("error is not null")
-    store.errors(collection).replace(failed)
-    return index_chunks(store, chunks, collection)
+    processed = store.processed(collection)
+    seen = processed.read() if incremental else processed.read().limit(0)
+    fresh = new_files(scan_files(spark, path, known, recursive), seen)
+    chunks = read_chunks(fresh, strategies)
+    skipped = scan_files(spark, path, None, recursive).select("path", F.coalesce("error", F.when(~F.col("suffix").isin(*known), "no_strategy")).alias("error"))
+    failed = skipped.unionByName(chunks.select(F.col("source").alias("path"), "error")).filter("error is not null").distinct()
+    errors = store.errors(collection)
+    errors.replace(failed)
+    # Before the index is written: what is in the folder now is what this run reads.
+    part = processed.write_part(fresh.join(errors.read().select("path"), "path", "left_anti").select("file_hash").distinct().withColumn("ts", F.current_timestamp()))
+    found = index_chunks(store, chunks, collection, incremental)
+    if incremental:
+        processed.append_part(part)
+    else:
+        new = processed.part(part)
+        processed.change(lambda old: upsert(old, new, "file_hash"))
+        processed.drop_part(part)
+    return found
 
 
 def search_points(store: PointStore, queries: DataFrame, collection: str = "documents", top_k: int = 20, rerank_k: int = 5, conditions: dict[str, object] | None = None) -> DataFrame:
@@ -79,14 +103,14 @@ def search_points(store: PointStore, queries: DataFrame, collection: str = "docu
     checked = queries.withColumn("_q", sanitized_query(F.col("query"))).select("query_id", "_q.query", "_q.error")
     good = checked.filter("error is null").withColumn("strategy", route(F.col("query")))
     points = store.points(collection).read()
-    if conditions:
-        points = points.filter(search.payload_filter(conditions))
+    for field, value in (conditions or {}).items():
+        points = points.filter(payload(field, points.columns) == F.lit(value))
     numbered = points.withColumn("n", F.xxhash64("id"))
     fetch = search.OVERFETCH * top_k
     wants = {b: good.filter(F.col(f"strategy.{b}") > 0) for b in ("dense", "sparse")}
     dense = search.dense_topk(wants["dense"].select("query_id", hashed_dense(F.col("query")).alias("embedding")), numbered.select(F.col("n").alias("id"), F.col("dense").alias("embedding")), fetch)
     terms = wants["sparse"].select("query_id", F.explode(word_sparse(F.col("query"))).alias("term", "weight"))
-    sparse = search.sparse_topk(terms, numbered.select(F.col("n").alias("id"), F.explode("sparse").alias("term", "weight")), fetch)
+    sparse = search.sparse_topk(terms, numbered.select(F.col("n").alias("id"), "sparse"), fetch)
     fused = search.fuse([(dense, 1.0), (sparse, 1.0)], top_k, 2.0, first=0)
     # Payloads are fetched for the results only.
     full = fused.join(numbered.select(F.col("n").alias("_n"), F.col("id").alias("point"), "content", "source"), F.col("id") == F.col("_n")).drop("_n")

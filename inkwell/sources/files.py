@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,18 @@ def suffix(path: Column) -> Column:
 def scan_files(spark: SparkSession, path: str | list[str], suffixes: list[str] | None = None, recursive: bool = True) -> DataFrame:
     """Files below a folder (or at given paths) by lower-cased suffix: path, suffix, length, content, error.
 
-    Too large or unsupported files are rows with an error and without content.  The filter on
-    the suffix stands before anything that needs the content.
+    Too large or unsupported files are rows with an error, from a listing that does not open them.
+    Of the others, the filter on the length reaches the scan and stands before their contents.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     files = reader.load(path).withColumn("suffix", suffix(F.col("path")))
     if suffixes is not None:
         files = files.filter(F.col("suffix").isin(*suffixes))
-    error = F.when(~F.col("suffix").isin(*ALLOWED), "unsupported").when(F.col("length") > MAX_BYTES, "too_large")
-    return files.select("path", "suffix", "length", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+    allowed = F.col("suffix").isin(*ALLOWED)
+    good = files.filter(F.col("length") <= MAX_BYTES).filter(allowed).select("path", "suffix", "length", "content", F.lit(None).cast("string").alias("error"))
+    error = F.when(~allowed, "unsupported").when(F.col("length") > MAX_BYTES, "too_large")
+    listed = files.select("path", "suffix", "length", F.lit(None).cast("binary").alias("content"), error.alias("error"))
+    return good.unionByName(listed.filter("error is not null"))
 
 
 def inside(path: Column, base: str) -> Column:
@@ -51,16 +56,49 @@ def new_files(files: DataFrame, processed: DataFrame) -> DataFrame:
 Chunker = Callable[..., DataFrame]
 
 
-def _code_chunks(units: DataFrame, **_: object) -> DataFrame:
-    return units.filter("error is null").select(
-        "path", "doc_seq", F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), "content", filled_hash(F.lit(""), F.col("content")).alias("doc_hash"), chunking.code_chunk_type(F.col("type")).alias("chunk_type")
-    )
+#: What all chunkers give.
+CHUNK = ["path", "doc_seq", "chunk_index", "total_chunks", "content", "doc_hash", "chunk_type", "metadata"]
+#: Columns of parsed rows that are no metadata.
+_PLAIN = {"path", "doc_seq", "content", "text", "error", "source", "chunk_type", "doc_hash", "metadata"}
+
+
+def _metadata(parsed: DataFrame) -> Column:
+    """What a parser found out about a part, as a map of strings; nulls are left out."""
+    pairs = [F.struct(F.lit(c).alias("key"), (F.to_json(c) if t.startswith("array") else F.col(c).cast("string")).alias("value")) for c, t in parsed.dtypes if c not in _PLAIN]
+    if not pairs:
+        return F.create_map().cast("map<string,string>")
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull()))
+
+
+def _code_chunks(units: DataFrame, max_class_size: int = 3000) -> DataFrame:
+    """A chunk for each unit of code; a class that is larger is cut, where its text parses by itself."""
+
+    @F.pandas_udf("array<struct<chunk_type:string,content:string>>")
+    def cut(contents: pd.Series) -> pd.Series:
+        return pd.Series([[{"chunk_type": k, "content": c} for k, c in parsing.class_chunks(t, max_class_size)] for t in contents])
+
+    kind = chunking.code_chunk_type(F.col("type"))
+    good = units.filter("error is null").withColumn("metadata", F.map_concat(_metadata(units), F.create_map(F.lit("chunk_type_name"), kind)))
+    large = (F.col("type") == "class") & (F.char_length("content") > max_class_size)
+    whole = F.array(F.struct(kind.alias("chunk_type"), F.col("content").alias("content")))
+    parts = [good.filter(~F.coalesce(large, F.lit(False))).withColumn("_parts", whole), good.filter(large).withColumn("_parts", cut("content"))]
+    each = parts[0].unionByName(parts[1]).select("path", "doc_seq", "metadata", F.size("_parts").alias("total_chunks"), F.posexplode("_parts").alias("chunk_index", "_part"))
+    return each.select("path", "doc_seq", "chunk_index", "total_chunks", "_part.content", filled_hash(F.lit(""), F.col("_part.content")).alias("doc_hash"), "_part.chunk_type", "metadata")
+
+
+def _llm_chunks(items: DataFrame) -> DataFrame:
+    """The items of JSON documents as they are; an item without a source has its file's path, and one without a hash its content's."""
+    given = F.from_json(F.col("metadata"), "map<string,string>")
+    return items.select(
+        F.coalesce(F.nullif("source", F.lit("")), "path").alias("path"), "doc_seq", F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), "content",
+        filled_hash(F.col("doc_hash"), F.col("content")).alias("doc_hash"), "chunk_type", F.coalesce(given, F.create_map().cast("map<string,string>")).alias("metadata"),
+    )
 
 
 def _of_content(chunker: Chunker) -> Chunker:
     def run(parsed: DataFrame, **config: object) -> DataFrame:
-        cut = chunker(parsed.select("path", "doc_seq", F.col("content").alias("text")), **config)
-        return cut.select("path", "doc_seq", "chunk_index", "total_chunks", "content", "doc_hash", "chunk_type")
+        parts = parsed.select("path", "doc_seq", F.col("content").alias("text"), _metadata(parsed).alias("metadata"))
+        return chunker(parts, **config).select(*CHUNK)
 
     return run
 
@@ -79,6 +117,7 @@ CHUNKERS: dict[str, Chunker] = {
     "recursive": _of_content(chunking.chunk_recursive),
     "semantic": _of_content(chunking.chunk_semantic),
     "ast": _code_chunks,
+    "llm": _llm_chunks,
 }
 
 
@@ -105,6 +144,8 @@ class Strategies:
     def register(self, suffix: str, parser: str, chunker: str, **config: object) -> None:
         if parser not in PARSERS or chunker not in CHUNKERS:
             raise ValueError(f"unknown parser or chunker: {parser}, {chunker}")
+        if (chunker == "llm" and parser != "llm") or (chunker == "ast" and parser != "code"):
+            raise ValueError(f"the chunker {chunker} cannot take what the parser {parser} gives")
         self.by_suffix[suffix.lower() if suffix.startswith(".") else f".{suffix.lower()}"] = Strategy(parser, chunker, dict(config))
 
     def get(self, suffix: str) -> Strategy:
@@ -126,17 +167,27 @@ class Strategies:
 def read_chunks(files: DataFrame, strategies: Strategies | None = None) -> DataFrame:
     """Chunks of files (path, suffix, content): one branch for each strategy, then their union.
 
-    What cannot be parsed is a row with an error and without content.
+    What cannot be parsed, or is no UTF-8, is a row with an error and without content; nothing else of
+    such a file comes out.
     """
     strategies = strategies or Strategies()
     out = None
     for suffix_, s in strategies.by_suffix.items():
-        content = F.col("content") if s.parser in BINARY else F.decode("content", "UTF-8").alias("text")
-        parsed = PARSERS[s.parser](files.filter(F.col("suffix") == suffix_).select("path", content))
-        good = parsed.filter("error is null") if "error" in parsed.columns else parsed
-        chunks = CHUNKERS[s.chunker](good, **s.config).withColumn("error", F.lit(None).cast("string"))
+        own = files.filter(F.col("suffix") == suffix_).select("path", "content")
+        failed = []
+        if s.parser not in BINARY:
+            text = own.select("path", F.col("content").cast("string").alias("text"))
+            failed.append(text.filter(~F.is_valid_utf8("text")).select("path", F.lit("encoding").alias("error")))
+            own = text.filter(F.is_valid_utf8("text"))
+        parsed = PARSERS[s.parser](own)
+        good = parsed
         if "error" in parsed.columns:
-            chunks = chunks.unionByName(parsed.filter("error is not null").select("path", "error"), allowMissingColumns=True)
+            bad = parsed.filter("error is not null").select("path", "error")
+            failed.append(bad.distinct())
+            good = parsed.filter("error is null").join(bad.select("path"), "path", "left_anti") if s.parser == "llm" else parsed.filter("error is null")
+        chunks = CHUNKERS[s.chunker](good, **s.config).withColumn("error", F.lit(None).cast("string"))
+        for x in failed:
+            chunks = chunks.unionByName(x, allowMissingColumns=True)
         out = chunks if out is None else out.unionByName(chunks)
     return out.withColumnRenamed("path", "source")
 
@@ -147,11 +198,27 @@ def valid_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def export_chunks(chunks: DataFrame, path: str, format: str = "jsonl") -> None:
-    """Chunks as JSON: 'jsonl' is an object a line; 'json' a folder whose files are arrays, one for each partition."""
+    """Chunks as JSON: 'jsonl' is an object a line; 'json' is one array, indented by two.
+
+    One array is one file, so one task writes it, row by row; for large tables there is 'jsonl'.
+    """
     if format == "jsonl":
         chunks.write.mode("overwrite").json(path)
     elif format == "json":
-        rows = chunks.select(F.spark_partition_id().alias("p"), F.to_json(F.struct("*")).alias("x"))
-        rows.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("x"), ",\n"), F.lit("]")).alias("value")).select("value").write.mode("overwrite").text(path)
+
+        def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            before = "["
+            for x in batches:
+                for text in x["x"]:
+                    own = json.dumps(json.loads(text), ensure_ascii=False, indent=2).split("\n")
+                    yield pd.DataFrame({"value": [before, *("  " + line for line in own[:-1])]})
+                    before = "  " + own[-1] + ","
+            yield pd.DataFrame({"value": [before[:-1], "]"]})
+
+        if chunks.isEmpty():  # which may have no task to write anything
+            chunks.sparkSession.range(1).select(F.lit("[]").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+            return
+        rows = chunks.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("x"))
+        rows.coalesce(1).mapInPandas(lines, "value string").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown format: {format}")

@@ -1,19 +1,38 @@
 """A store of points and its index status, as versioned Parquet folders.
 
-A change writes a new version aside and then moves a small pointer file, so a
-reader sees the old or the new version and a failed write leaves the old one.
+A version is a small file that lists the parts of a table.  A change writes a
+part aside and then claims the next version, so a reader sees the old or the
+new version, a failed write leaves the old one, and of two writers that began
+at one version only one succeeds.  New rows are a part of their own; parts are
+folded together when there are many.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-POINTS = "id string, dense array<float>, sparse map<string,double>, content string, source string, chunk_type string, chunk_hash string, copyright_source string, copyright_license string"
+from inkwell.sources.claims import Folder
+
+POINTS = (
+    "id string, dense array<float>, sparse map<string,double>, content string, source string, chunk_type string, chunk_hash string, doc_hash string, chunk_index int, total_chunks int, "
+    "metadata map<string,string>, copyright_source string, copyright_license string"
+)
 STATUS = "chunk_hash string, ts timestamp"
+PROCESSED = "file_hash string, ts timestamp"
+VERSIONS = "chunk_hash string, indexed boolean, collection string, ts timestamp"
 ERRORS = "path string, error string"
+#: Parts of a table from which on the next change folds them together, and versions that stay readable.
+MOST_PARTS = 64
+KEPT_VERSIONS = 2
+
+
+class ConflictError(RuntimeError):
+    """Another writer made the next version first; the change may be made again."""
 
 
 class Table:
@@ -21,35 +40,75 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._versions = Folder(spark, f"{self.path}/versions")
+        self._data = Folder(spark, f"{self.path}/data")
 
-    def _current(self) -> str | None:
-        found = self._hadoop.Path(f"{self.path}/versions")
-        if not self._fs.exists(found):
-            return None
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(found))
-        return names[-1] if names else None
+    def _current(self) -> tuple[int, list[str]]:
+        """Number and parts of the last version."""
+        names = self._versions.names()
+        return (int(names[-1]), self._versions.content(names[-1])) if names else (0, [])
 
     def exists(self) -> bool:
-        return self._current() is not None
+        return bool(self._versions.names())
+
+    def _of(self, parts: list[str], schema: str | None = None) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], schema or self.schema)
+        return self.spark.read.schema(schema or self.schema).parquet(*[f"{self.path}/data/{p}" for p in parts])
 
     def read(self) -> DataFrame:
-        at = self._current()
-        if at is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{at}")
+        return self._of(self._current()[1])
+
+    def write_part(self, rows: DataFrame) -> str:
+        """Write rows that no version has yet."""
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{name}")
+        return name
+
+    def part(self, name: str, schema: str | None = None) -> DataFrame:
+        return self._of([name], schema)
+
+    def drop_part(self, name: str) -> None:
+        self._data.delete(name)
+
+    def _claim(self, number: int, parts: list[str], own: str) -> None:
+        if not self._versions.claim(f"{number + 1:012d}", parts):
+            self.drop_part(own)
+            raise ConflictError(self.path)
+        old = [n for n in self._versions.names() if int(n) <= number + 1 - KEPT_VERSIONS]
+        if old:  # parts that only versions before the kept ones have
+            kept = {p for n in self._versions.names() if n not in old for p in self._versions.content(n)}
+            for n in old:
+                for p in self._versions.content(n):
+                    if p not in kept:
+                        self.drop_part(p)
+                self._versions.delete(n)
+
+    def append_part(self, name: str) -> None:
+        """Make the next version: the current one and a written part, or one part of both if there are many parts."""
+        number, parts = self._current()
+        if len(parts) >= MOST_PARTS:
+            whole = self.write_part(self._of([*parts, name]))
+            self._claim(number, [whole], whole)
+            self.drop_part(name)
+        else:
+            self._claim(number, [*parts, name], name)
+
+    def append(self, rows: DataFrame) -> None:
+        self.append_part(self.write_part(rows))
+
+    def change(self, step: Callable[[DataFrame], DataFrame]) -> None:
+        """Make `step` of the current version the next one."""
+        number, parts = self._current()
+        name = self.write_part(step(self._of(parts)))
+        self._claim(number, [name], name)
 
     def replace(self, rows: DataFrame) -> None:
         """Make `rows` the next version."""
-        at = self._current()
-        number = int(at.split("-")[0]) + 1 if at else 1
-        name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.path}/data/{name}")
-        self._fs.create(self._hadoop.Path(f"{self.path}/versions/{name}")).close()
+        self.change(lambda _: rows)
 
     def drop(self) -> None:
-        self._fs.delete(self._hadoop.Path(self.path), True)
+        Folder(self.spark, self.path).delete()
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -68,7 +127,7 @@ def without(old: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 
 
 class PointStore:
-    """Collections of points, each with the status of what it has indexed."""
+    """Collections of points, each with the status of what it has indexed and of the files it has read."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -77,35 +136,114 @@ class PointStore:
         return Table(self.spark, f"{self.path}/{collection}/points", POINTS)
 
     def status(self, collection: str) -> Table:
+        """The hashes of the chunks that the collection has indexed."""
         return Table(self.spark, f"{self.path}/{collection}/status", STATUS)
 
+    def processed(self, collection: str) -> Table:
+        """The hashes of the files that runs over folders have read without an error."""
+        return Table(self.spark, f"{self.path}/{collection}/processed", PROCESSED)
+
     def errors(self, collection: str) -> Table:
         """The files that the last run over a folder could not index."""
         return Table(self.spark, f"{self.path}/{collection}/errors", ERRORS)
 
+    def versions(self, collection: str) -> DataFrame:
+        """When each chunk was indexed: chunk_hash, indexed, collection, ts."""
+        return self.status(collection).read().select("chunk_hash", F.lit(True).alias("indexed"), F.lit(collection).alias("collection"), "ts")
+
+    def collections(self) -> list[str]:
+        return [n for n in Folder(self.spark, self.path).names() if self.points(n).exists()]
+
+    def info(self) -> DataFrame:
+        """collection, points, vectors, indexed, files: a row for each collection."""
+        rows = []
+        for c in self.collections():
+            n, v = self.points(c).read().agg(F.count(F.lit(1)), F.count("dense")).first()
+            rows.append((c, n, v, self.size(c), self.processed(c).read().count()))
+        return self.spark.createDataFrame(rows, "collection string, points long, vectors long, indexed long, files long")
+
+    def contains(self, collection: str, chunks: DataFrame) -> DataFrame:
+        """Chunks whose hash the collection has indexed."""
+        return chunks.join(self.status(collection).read().select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+
     def unseen(self, collection: str, chunks: DataFrame) -> DataFrame:
         """Chunks whose hash the collection has not indexed."""
         return chunks.join(self.status(collection).read().select("chunk_hash"), "chunk_hash", "left_anti")
 
-    def add(self, collection: str, points: DataFrame) -> None:
-        """Upsert points, then record their hashes: a failure between the two makes the next run index them again."""
-        columns = [c.split()[0] for c in POINTS.split(", ")]
-        table, status = self.points(collection), self.status(collection)
-        table.replace(upsert(table.read(), points.select(*columns)))
-        seen = points.select("chunk_hash").distinct().withColumn("ts", F.current_timestamp())
-        status.replace(upsert(status.read(), seen, "chunk_hash"))
+    def put(self, collection: str, hashes: DataFrame) -> None:
+        """Record hashes (chunk_hash) as indexed; those that are recorded stay as they are."""
+        fresh = self.unseen(collection, hashes.select("chunk_hash").distinct())
+        self.status(collection).append(fresh.withColumn("ts", F.current_timestamp()))
+
+    def invalidate(self, collection: str, hashes: DataFrame) -> None:
+        """Forget hashes (chunk_hash), so that their chunks are indexed again."""
+        self.status(collection).change(lambda old: without(old, hashes, "chunk_hash"))
+
+    def clear_status(self, collection: str) -> None:
+        self.status(collection).change(lambda old: old.limit(0))
+
+    def size(self, collection: str) -> int:
+        """How many hashes are recorded as indexed."""
+        return self.status(collection).read().count()
+
+    def add(self, collection: str, points: DataFrame, fresh: bool = False) -> tuple[int, int]:
+        """Store points, then record their hashes: a failure between the two makes the next run index them again.
+
+        fresh: the collection has none of the points, so they are a new part and nothing is rewritten;
+        else they replace the points of the same id.  The points are computed once.  Returns the
+        sum of their `copies`, or their number if they have none, and their number.
+        """
+        table = self.points(collection)
+        counted = points if "copies" in points.columns else points.withColumn("copies", F.lit(1))
+        part = table.write_part(counted)
+        copies, n = table.part(part, "copies long").agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))).first()
+        if not n:
+            table.drop_part(part)
+            return 0, 0
+        hashes = table.part(part).select("chunk_hash").distinct().withColumn("ts", F.current_timestamp())
+        status = self.status(collection)
+        recorded = status.write_part(hashes if fresh else self.unseen(collection, hashes))
+        if fresh:
+            table.append_part(part)
+        else:
+            new = table.part(part)
+            table.change(lambda old: upsert(old, new))
+            table.drop_part(part)
+        status.append_part(recorded)
+        return copies, n
 
     def delete(self, collection: str, ids: DataFrame) -> None:
         """Remove points and forget that they were indexed."""
-        table, status = self.points(collection), self.status(collection)
-        gone = table.read().join(ids.select("id").distinct(), "id", "left_semi").select("chunk_hash")
-        status.replace(without(status.read(), gone, "chunk_hash"))
-        table.replace(without(table.read(), ids))
+        gone = self.points(collection).read().join(ids.select("id").distinct(), "id", "left_semi").select("chunk_hash")
+        self.invalidate(collection, gone)
+        self.points(collection).change(lambda old: without(old, ids))
 
     def drop(self, collection: str) -> None:
-        self.points(collection).drop()
-        self.status(collection).drop()
-        self.errors(collection).drop()
+        """Remove a collection with all that is remembered of it."""
+        Folder(self.spark, f"{self.path}/{collection}").delete()
 
     def count(self, collection: str) -> int:
         return self.points(collection).read().count()
+
+
+def load_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """file_hash from a JSON list, or an object's `hashes`; a file that is missing or broken gives none."""
+    none = spark.createDataFrame([], "file_hash string")
+    try:
+        rows = spark.read.text(path, wholetext=True)
+        whole = F.try_parse_json("value")
+        found = F.coalesce(F.try_variant_get(whole, "$", "array<string>"), F.try_variant_get(whole, "$.hashes", "array<string>"))
+        return none.union(rows.select(F.explode(found).alias("file_hash")).distinct())
+    except AnalysisException:
+        return none
+
+
+def load_status(spark: SparkSession, path: str) -> DataFrame:
+    """chunk_hash from lines of JSON objects with `hash`; blank and broken lines are skipped."""
+    lines = spark.read.text(path)
+    return lines.select(F.try_variant_get(F.try_parse_json("value"), "$.hash", "string").alias("chunk_hash")).filter("chunk_hash is not null").distinct()
+
+
+def payload(field: str, columns: list[str]) -> Column:
+    """A field of a point: a column, or else an entry of its metadata."""
+    return F.col(field) if field in columns else F.col("metadata").getItem(field)

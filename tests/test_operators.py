@@ -91,8 +91,11 @@ def test_other_chunks():
     parts = chunking.recursive_chunks(t, 50, 10)
     assert all(len(p) <= 50 for p in parts) and "".join(t.split()) in "".join("".join(parts).split()) or len(parts) > 1
     assert chunking.recursive_chunks("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
-    assert all(len(p) <= 11 for p in chunking.split_oversize("abcde fghij klmno" * 3, 10))
-    assert chunking.semantic_chunks(["a" * 60, "b" * 60, "c" * 200], [1, 2], 100, 150) == [("a" * 60 + " " + "b" * 60, 0, 2), ("c" * 151, 2, 3), ("c" * 49, 2, 3)]
+    assert all(len(p) <= 11 for p, _ in chunking.split_oversize("abcde fghij klmno" * 3, 10))
+    assert chunking.split_oversize(" abcdefghij" + " k。 lm", 6) == [("", "")] + chunking.split_oversize("abcdefghij k。 lm", 6)
+    assert chunking.split_oversize("ab。 cd", 3) == [("ab。", "ab。"), ("cd", " cd")] and chunking.split_oversize("abcdef", 3) == [("abcd", "abcd"), ("ef", "ef")]
+    joined = "a" * 60 + " " + "b" * 60
+    assert chunking.semantic_chunks(["a" * 60, "b" * 60, "c" * 200], [1, 2], 100, 150) == [(joined, joined), ("c" * 151, "c" * 151), ("c" * 49, "c" * 49)]
 
 
 def test_semantic_chunks_on_spark(spark):

@@ -1,11 +1,14 @@
 """Files, the point store, whole runs and the stream."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.operators.parsing import parse_markdown as markdown
 from inkwell.plans.index import index_chunks, index_folder, search_points
 from inkwell.sources import files
-from inkwell.sources.store import PointStore
+from inkwell.sources.store import ConflictError, PointStore, Table, load_hashes, load_status
 from inkwell.streaming.ingest import index_stream
 
 
@@ -51,10 +54,94 @@ def test_folder(spark, tmp_path):
     store = PointStore(spark, f"file://{tmp_path}/store")
     assert index_folder(spark, store, f"file://{docs}") == {"chunks": 4, "points": 4}
     assert index_folder(spark, store, f"file://{docs}")["points"] == 0
-    files.export_chunks(chunks(spark, "ä", "b"), f"file://{tmp_path}/out")
+    rows = chunks(spark, "ä", "b")
+    files.export_chunks(rows, f"file://{tmp_path}/out")
     assert sorted(r["content"] for r in spark.read.json(f"file://{tmp_path}/out").collect()) == ["b", "ä"]
     with pytest.raises(ValueError, match="unknown format"):
         files.export_chunks(chunks(spark, "a"), "x", "xml")
+    for table in (rows, rows.limit(0), rows.limit(1)):
+        files.export_chunks(table, f"file://{tmp_path}/array", "json")
+        (one,) = (tmp_path / "array").glob("part-*")
+        want = [r.asDict() for r in table.collect()]
+        assert one.read_text(encoding="utf-8").rstrip("\n") == json.dumps(want, ensure_ascii=False, indent=2)
+
+
+def test_folder_of_everything(spark, tmp_path, monkeypatch):
+    """All kinds of files, read twice: what was read is not parsed again, what failed is tried again."""
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.md").write_text("# T\nbody of a\n## U\nmore")
+    (docs / "bad.md").write_bytes(b"# T\nbody \xff\xfe")
+    (docs / "large.md").write_text("# T\n" + "x" * 5_000)
+    (docs / "b.py").write_text("class C:\n    def g(self):\n        return 1\n")
+    (docs / "items.json").write_text(json.dumps([{"content": "one", "source": "s1", "metadata": {"page": 3, "license": "MIT"}}, {"content": "two", "chunk_type": "code", "source": ""}]))
+    (docs / "broken.json").write_text(json.dumps([{"content": "lost", "source": "s"}, {"source": "no content"}]))
+    monkeypatch.setattr(files, "MAX_BYTES", 4_000)
+    strategies = files.Strategies()
+    strategies.register("json", "llm", "llm")
+    with pytest.raises(ValueError, match="cannot take"):
+        strategies.register("txt", "markdown", "llm")
+    store = PointStore(spark, f"file://{tmp_path}/store")
+    assert index_folder(spark, store, f"file://{docs}", strategies=strategies) == {"chunks": 6, "points": 6}
+    failed = {r["path"].rsplit("/", 1)[1]: r["error"] for r in store.errors("documents").read().collect()}
+    assert failed == {"bad.md": "encoding", "large.md": "too_large", "broken.json": "item"}
+    points = {r["content"]: r for r in store.points("documents").read().collect()}
+    assert points["more"]["metadata"]["section_path"] == "T > U" and points["more"]["metadata"]["heading_level"] == "2"
+    assert points["one"]["source"] == "s1" and points["one"]["metadata"]["page"] == "3" and points["one"]["copyright_license"] == "MIT"
+    assert points["two"]["source"].endswith("items.json") and points["two"]["chunk_type"] == "code" and points["two"]["doc_hash"]
+    assert points["def g(self):\n        return 1".join(["    ", ""])]["metadata"]["chunk_type_name"] == "ast_function"
+    assert store.processed("documents").read().count() == 3
+    parsed = []
+    monkeypatch.setitem(files.PARSERS, "markdown", lambda df: parsed.append(sorted(r["path"].rsplit("/", 1)[1] for r in df.select("path").collect())) or markdown(df))
+    (docs / "copy.md").write_text("# T\nbody of a\n## U\nmore")
+    (docs / "bad.md").write_text("# T\nmended")
+    assert index_folder(spark, store, f"file://{docs}", strategies=strategies)["points"] == 1
+    assert parsed == [["bad.md"]]
+    assert index_folder(spark, store, f"file://{docs}", strategies=strategies)["points"] == 0 and parsed[1] == []
+    assert index_folder(spark, store, f"file://{docs}", strategies=strategies, incremental=False)["points"] >= 7
+    info = store.info().collect()
+    assert [(r["collection"], r["indexed"], r["files"]) for r in info] == [("documents", store.size("documents"), 4)] and info[0]["points"] == info[0]["vectors"] == store.count("documents")
+    queries = spark.createDataFrame([(1, "more")], "query_id long, query string")
+    assert {r["text"] for r in search_points(store, queries, conditions={"section_path": "T > U"}).collect()} == {"more"}
+
+
+def test_status(spark, tmp_path):
+    store = PointStore(spark, f"file://{tmp_path}/store")
+    hashes = spark.createDataFrame([("a",), ("b",), ("a",)], "chunk_hash string")
+    store.put("c", hashes)
+    store.put("c", hashes.union(spark.createDataFrame([("d",)], "chunk_hash string")))
+    assert store.size("c") == 3 and store.contains("c", hashes).count() == 3 and store.unseen("c", hashes).count() == 0
+    store.invalidate("c", spark.createDataFrame([("a",)], "chunk_hash string"))
+    assert sorted(r["chunk_hash"] for r in store.versions("c").filter("indexed and collection = 'c' and ts is not null").collect()) == ["b", "d"]
+    store.clear_status("c")
+    assert store.size("c") == 0
+    (tmp_path / "status.jsonl").write_text('{"hash": "x"}\n\nnot json\n{"other": 1}\n{"hash": "x"}\n')
+    assert [r[0] for r in load_status(spark, f"file://{tmp_path}/status.jsonl").collect()] == ["x"]
+    for name, text in (("list", '["x", "y"]'), ("object", '{"hashes": ["x", "y"]}'), ("broken", "[x")):
+        (tmp_path / name).write_text(text)
+    assert [load_hashes(spark, f"file://{tmp_path}/{n}").count() for n in ("list", "object", "broken", "missing")] == [2, 2, 0, 0]
+
+
+def test_two_writers_of_a_table(spark, tmp_path, monkeypatch):
+    """The second of two changes to one version fails and changes nothing."""
+    one, two = (Table(spark, f"file://{tmp_path}/t", "id long") for _ in range(2))
+    row = [spark.createDataFrame([(i,)], "id long") for i in range(9)]
+    one.append(row[0])
+    state = two._current()
+    monkeypatch.setattr(two, "_current", lambda: state)
+    one.append(row[1])
+    with pytest.raises(ConflictError):
+        two.append(row[2])
+    assert sorted(r["id"] for r in one.read().collect()) == [0, 1]
+    monkeypatch.setattr("inkwell.sources.store.MOST_PARTS", 3)
+    for i in range(3, 9):
+        one.append(row[i])
+        assert len(one._current()[1]) <= 3
+    assert sorted(r["id"] for r in one.read().collect()) == [0, 1, *range(3, 9)]
+    assert len(one._versions.names()) == 2
+    one.change(lambda old: old.filter("id > 6"))
+    one.change(lambda old: old.filter("id > 7"))
+    assert [r["id"] for r in one.read().collect()] == [8] and len(one._data.names()) == 2
 
 
 def test_folder_reports_what_it_cannot_read(spark, tmp_path):
