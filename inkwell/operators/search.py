@@ -158,11 +158,16 @@ def term_topk(queries: DataFrame, points: DataFrame, k: int, weigh: Callable[[np
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(n).to_pylist()], t) for n, t in zip(names, types, strict=True)], names=names)
+            terms = batch.column("terms")
+            coded = pa.ListArray.from_arrays(terms.offsets, terms.flatten().dictionary_encode())  # each word once
+            own = pa.RecordBatch.from_arrays([coded if n == "terms" else batch.column(n) for n in names], names=names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as writer:
+                writer.write_batch(own)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["points"])
 
-    types = [pa.list_(pa.int64()), pa.list_(pa.list_(pa.string())), pa.list_(pa.list_(pa.float64()))][: len(names)]
     own = points.filter(F.size("terms") > 0).select(F.col("id").cast("long"), *names[1:])
-    together = own.mapInArrow(pack, "id array<long>, terms array<array<string>>" + ", weights array<array<double>>" * (not weigh))
+    together = own.mapInArrow(pack, "points binary")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +184,11 @@ def _scored(pair: pa.RecordBatch, k: int, weigh: Callable[[np.ndarray, np.ndarra
     terms = entries.field("term").dictionary_encode()
     table = np.zeros((len(terms.dictionary), len(query_ids)))
     np.add.at(table, (terms.indices.to_numpy(zero_copy_only=False), q), entries.field("weight").to_numpy(zero_copy_only=False))
-    ids, lists = pair.column("id").flatten().to_numpy(zero_copy_only=False), pair.column("terms").flatten()
-    sizes = np.diff(lists.offsets.to_numpy())
-    code = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = pa.ipc.open_stream(pair.column("points")[0].as_py()).read_next_batch()
+    ids, lists = points.column("id").to_numpy(zero_copy_only=False), points.column("terms")
+    sizes, coded = np.diff(lists.offsets.to_numpy()), lists.flatten()
+    own = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = own[coded.indices.to_numpy(zero_copy_only=False)]
     known = np.flatnonzero(code >= 0)
     row, code = np.repeat(np.arange(len(ids)), sizes)[known], code[known]
     if weigh:
@@ -189,7 +196,7 @@ def _scored(pair: pa.RecordBatch, k: int, weigh: Callable[[np.ndarray, np.ndarra
         row, code = key // len(table), key % len(table)
         weight = weigh(n.astype(float), sizes[row].astype(float))
     else:
-        weight = pair.column("weights").flatten().flatten().to_numpy(zero_copy_only=False)[known]
+        weight = points.column("weights").flatten().to_numpy(zero_copy_only=False)[known]
     best = _Best(len(query_ids), k)
     shared = None if (table >= 0).all() and (weight > 0).all() else (table != 0).astype(float)
     starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import hashing, rewriting, routing, text, vectors
 from inkwell.operators import chunking, governance, metrics, parsing, ranking, search
 from inkwell.sources import store
+from inkwell.sources.tables import read_table
 
 # Queries and sources that reach the branches which the tables do not.
 SAMPLE_QUERIES = (
@@ -31,7 +32,7 @@ COMPRESS_QUERY = "the with was of and"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _samples(spark: SparkSession, values: tuple[str, ...], name: str = "query") -> DataFrame:
