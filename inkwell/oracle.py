@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from inkwell.functions import rewriting, routing, text
-from inkwell.operators import governance
-from inkwell.queries import COMPRESS_QUERY, SAMPLE_LATEX, SAMPLE_QUERIES, _lit, _values
+from inkwell.operators import governance, parsing
+from inkwell.queries import COMPRESS_QUERY, SAMPLE_JSON, SAMPLE_LATEX, SAMPLE_MARKDOWN, SAMPLE_QUERIES, _lit, _values
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 _TURNS = f"turns AS (SELECT conv_id, turn, text AS query FROM conversations UNION ALL SELECT -1, n, q FROM (VALUES {_values(SAMPLE_QUERIES)}) AS v(n, q))"
@@ -47,6 +47,30 @@ def _core(q: str) -> str:
     return f"CASE WHEN len({words}) = 0 THEN {q} ELSE array_to_string({words}, ' ') END"
 
 
+def _source(rows: str, samples: tuple[str, ...]) -> str:
+    """A table src (n, x) of rows and samples, the latter as rows -1, -2, ..."""
+    return f"src AS ({rows} UNION ALL SELECT -1 - i, v FROM (VALUES {_values(samples)}) AS w(i, v))"
+
+
+_SOURCES = {
+    "latex": _source("SELECT doc_id AS n, text AS x FROM documents", SAMPLE_LATEX),
+    "markdown": _source("SELECT page_id AS n, html AS x FROM pages", SAMPLE_MARKDOWN),
+    "json": _source("SELECT CAST(0 AS BIGINT) AS n, '' AS x WHERE false", SAMPLE_JSON),
+}
+
+
+def _cleaned(x: str) -> str:
+    for pattern, to in ((r"\\(label|ref|cite|begin|end)\{[^}]*\}", ""), (r"\\[a-zA-Z]+\{([^}]*)\}", r"\1"), (r"\\[a-zA-Z]+", ""), ("[{}]", "")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return _strip(rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _stack(at: str) -> str:
+    """Titles that are open at heading `at`, of the lists ls of levels and ts of titles: those without one of their level or above after them."""
+    return f"[ts[j] FOR j IN range(1, {at} + 1) IF j = {at} OR ls[j] < list_min(ls[j + 1:{at}])]"
+
+
+_KINDS = "MAP {" + ", ".join(f"{_lit(k)}: {_lit(v)}" for k, v in parsing.SECTION_KINDS.items()) + "}"
 _SYNONYMS = "MAP {" + ", ".join(f"{_lit(k)}: {_list(v)}" for k, v in rewriting.SYNONYMS.items()) + "}"
 _LICENSE = "[" + ", ".join(
     "{'hits': " + " + ".join(f"CAST(contains(low, {_lit(p)}) AS INTEGER)" for p in phrases) + f", 'first': {-i}, 'name': '{name}'}}" for i, (name, phrases) in enumerate(governance.LICENSE_PHRASES)
@@ -180,9 +204,107 @@ ORACLE_SQL = {
         s AS (SELECT doc, vec_id, list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b))) AS x FROM v WHERE b IS NOT NULL)
         SELECT doc, vec_id, round(x, 6) AS similarity, x < 0.2 AS is_break FROM s
     """,
-    "latex_text": "SELECT CAST(n AS BIGINT) AS n, " + _strip(
-        r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\(label|ref|cite|begin|end)\{[^}]*\}', '', 'g'), '\\[a-zA-Z]+\{([^}]*)\}', '\1', 'g'), '\\[a-zA-Z]+', '', 'g'), '[{}]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
-    ) + f" AS cleaned FROM (VALUES {_values(SAMPLE_LATEX)}) AS v(n, x)",
+    "latex_text": f"WITH {_SOURCES['latex']} SELECT n, {_cleaned('x')} AS cleaned FROM src",
+    "latex_sections": rf"""
+        WITH {_SOURCES['latex']}, b AS (
+            SELECT n, coalesce(x, '') AS x, CASE WHEN contains(x, '\begin{{document}}') THEN regexp_extract(x, '(?s)\\begin\{{document\}}(.*?)(?:\\end\{{document\}}|\z)', 1) ELSE coalesce(x, '') END AS body FROM src
+        ), m AS (
+            SELECT *, string_split(regexp_replace(body, '\\(section|subsection|subsubsection|paragraph|subparagraph)\{{([^}}]+)\}}', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g'), chr(1)) AS parts FROM b
+        ), p AS (SELECT n, i, parts[i] AS part FROM (SELECT n, parts, unnest(range(2, len(parts) + 1)) AS i FROM m) AS q),
+        s AS (
+            SELECT n, i, list_position(['section', 'subsection', 'subsubsection', 'paragraph', 'subparagraph'], string_split(part, chr(2))[1]) AS level,
+                {_strip("string_split(string_split(part, chr(2))[2], chr(3))[1]")} AS title, {_cleaned("string_split(part, chr(3))[2]")} AS content FROM p
+        ), a AS (SELECT n, list(level ORDER BY i) AS ls, list(title ORDER BY i) AS ts FROM s GROUP BY n),
+        every AS (
+            SELECT n, -2 AS i, '标题' AS name, 0 AS level, '标题' AS path, '标题' AS kind, {_strip(r"regexp_extract(x, '\\title\{([^}]+)\}', 1)")} AS content FROM m WHERE regexp_matches(x, '\\title\{{[^}}]+\}}')
+            UNION ALL SELECT n, -1, '摘要', 0, '摘要', '摘要', {_strip(r"regexp_extract(x, '(?s)\\begin\{abstract\}(.*?)\\end\{abstract\}', 1)")} FROM m WHERE regexp_matches(x, '(?s)\\begin\{{abstract\}}(.*?)\\end\{{abstract\}}')
+            UNION ALL SELECT n, 0, 'body', 0, 'body', '', {_cleaned("body")} FROM m WHERE len(parts) = 1 AND {_cleaned("body")} <> ''
+            UNION ALL SELECT s.n, s.i, s.title, s.level, array_to_string({_stack("s.i - 1")}, ' > '), coalesce({_KINDS}[{_strip("lower(s.title)")}], ''), s.content FROM s JOIN a ON s.n = a.n
+        )
+        SELECT n, row_number() OVER (PARTITION BY n ORDER BY i) - 1 AS doc_seq, name AS section_name, CAST(level AS BIGINT) AS section_level, path AS section_path, kind AS section_type, content FROM every
+    """,
+    "markdown_sections": rf"""
+        WITH {_SOURCES['markdown']}, m AS (
+            SELECT n, string_split(regexp_replace(coalesce(x, ''), '(?m)^(#{{1,6}})\s+(.+)$', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g'), chr(1)) AS parts FROM src
+        ), p AS (SELECT n, i, parts[i] AS part FROM (SELECT n, parts, unnest(range(1, len(parts) + 1)) AS i FROM m) AS q),
+        s AS (
+            SELECT n, i, CASE WHEN i = 1 THEN 0 ELSE length(string_split(part, chr(2))[1]) END AS level, {_strip("string_split(string_split(part, chr(2))[2], chr(3))[1]")} AS title,
+                {_strip("CASE WHEN i = 1 THEN part ELSE string_split(part, chr(3))[2] END")} AS content FROM p
+        ), a AS (SELECT n, list(level ORDER BY i) AS ls, list(title ORDER BY i) AS ts FROM s WHERE i > 1 GROUP BY n)
+        SELECT s.n, row_number() OVER (PARTITION BY s.n ORDER BY s.i) - 1 AS doc_seq, level AS heading_level, CASE WHEN s.i = 1 THEN '' ELSE array_to_string({_stack("s.i - 1")}, ' > ') END AS section_path, content,
+            (starts_with(content, '```') AND ends_with(content, '```')) OR coalesce(list_sum(list_transform(regexp_extract_all(content, '(?s)```.*?```'), lambda f: length(f))), 0) > 0.8e0 * length(content) AS is_code_block
+        FROM s LEFT JOIN a ON s.n = a.n WHERE content <> ''
+    """,
+    "llm_items": f"""
+        WITH {_SOURCES['json']}, d AS (SELECT n, CASE WHEN json_valid(x) THEN CAST(x AS JSON) END AS j FROM src),
+        l AS (
+            SELECT n, j IS NULL AS bad, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_type(j, '$.chunks') = 'ARRAY' THEN json_extract(j, '$.chunks[*]')
+                WHEN json_type(j, '$.documents') = 'ARRAY' THEN json_extract(j, '$.documents[*]') WHEN j IS NOT NULL THEN [j] ELSE [NULL] END AS items FROM d
+        ), e AS (SELECT n, bad, unnest(range(0, len(items))) AS doc_seq, unnest(items) AS i FROM l)
+        SELECT n, doc_seq, i ->> 'content' AS content, i ->> 'source' AS source, coalesce(i ->> 'chunk_type', 'text') AS chunk_type, coalesce(i ->> 'doc_hash', '') AS doc_hash,
+            CASE WHEN bad THEN 'json' WHEN (i ->> 'content') IS NULL THEN 'item' END AS error FROM e
+        UNION ALL SELECT doc_id, 0, text, source, coalesce(lang, 'text'), '', CASE WHEN text IS NULL THEN 'item' END FROM documents
+    """,
+    "pii_findings": "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) "
+    + " UNION ALL ".join(
+        f"""SELECT doc_id, '{name}' AS type, value, CAST(place AS INTEGER) AS start, CAST(place + length(value) AS INTEGER) AS "end" FROM (
+            SELECT doc_id, unnest(m) AS value, unnest([list_sum([length(y) FOR y IN parts[1:k]]) + coalesce(list_sum([length(y) FOR y IN m[1:k - 1]]), 0) FOR k IN range(1, len(m) + 1)]) AS place
+            FROM (SELECT doc_id, regexp_extract_all(text, {_lit(p)}) AS m, string_split_regex(text, {_lit(p)}) AS parts FROM d) AS q) AS r"""
+        for name, p, _ in governance.PII_PATTERNS
+    ),
+    "metadata_redacted": f"SELECT doc_id, 'text' AS field, {_redacted('text')} AS value FROM documents UNION ALL SELECT doc_id, 'source', {_redacted('source')} FROM documents",
+    "copyrights": f"""
+        WITH s AS (SELECT doc_id, lang, string_split(text, '.')[1] AS source FROM documents), b AS (SELECT *, list_max({_LICENSE}) AS best FROM (SELECT *, lower(coalesce(source, '')) AS low FROM s) AS q)
+        SELECT doc_id, source AS copyright_source, coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN best.hits >= 2 OR (best.hits = 1 AND best.name IN ('MIT', 'ISC', 'Unlicense')) THEN best.name END) AS copyright_license FROM b
+    """,
+    "semantic_chunks": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, text, {_SENTENCES} AS s FROM documents WHERE text IS NOT NULL),
+        v AS (SELECT *, list_transform(s, lambda x: [CAST(length(x) - length(replace(x, c, '')) AS DOUBLE) FOR c IN ['a', 'e', 'o']]) AS vs FROM d WHERE len(s) > 1),
+        n AS (SELECT *, list_transform(vs, lambda x: sqrt(list_sum([y * y FOR y IN x]))) AS ns FROM v),
+        c AS (SELECT doc_id, s, [i = len(s) OR CASE WHEN ns[i] = 0 OR ns[i + 1] = 0 THEN 0 ELSE (vs[i][1] * vs[i + 1][1] + vs[i][2] * vs[i + 1][2] + vs[i][3] * vs[i + 1][3]) / (ns[i] * ns[i + 1]) END < 0.9e0 FOR i IN range(1, len(s) + 1)] AS ends FROM n),
+        f AS (
+            SELECT doc_id, s, ends, 1 AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done FROM c
+            UNION ALL
+            SELECT doc_id, s, ends, i + 1, CASE WHEN flush THEN '' ELSE own END, CASE WHEN flush THEN list_append(done, own) ELSE done END
+            FROM (SELECT *, ends[i] AND (length(own) >= 100 OR i = len(s)) AS flush FROM (SELECT *, CASE WHEN cur = '' THEN s[i] ELSE cur || ' ' || s[i] END AS own FROM f WHERE i <= len(s)) AS q) AS r
+        ), e AS (
+            SELECT doc_id, unnest(range(0, len(done))) AS i, len(done) AS n, unnest(done) AS content FROM f WHERE i > len(s)
+            UNION ALL SELECT doc_id, 0, 1, text FROM d WHERE len(s) <= 1
+        )
+        SELECT doc_id, i AS chunk_index, n AS total_chunks, content, sha256(content) AS doc_hash FROM e
+    """,
+    "oversize_parts": f"""
+        WITH RECURSIVE f AS (
+            SELECT doc_id, 0 AS i, text AS rest, CAST(NULL AS VARCHAR) AS part FROM documents WHERE text IS NOT NULL
+            UNION ALL
+            SELECT doc_id, i + 1, substr(rest, place + 2), substr(rest, 1, place + 1) FROM (
+                SELECT doc_id, i, rest, CASE WHEN contains(head, '。') THEN length(regexp_extract(head, '(?s)^(.*)。', 1)) WHEN contains(head, ' ') THEN length(regexp_extract(head, '(?s)^(.*) ', 1)) ELSE 300 END AS place
+                FROM (SELECT doc_id, i, rest, left(rest, 300) AS head FROM f WHERE length(rest) > 300) AS q) AS r
+        ), e AS (
+            SELECT doc_id, i, {_strip('part')} AS content, {_strip('part')} AS hashed FROM f WHERE part IS NOT NULL
+            UNION ALL SELECT doc_id, i + 1, {_strip('rest')}, rest FROM f WHERE length(rest) <= 300 AND {_strip('rest')} <> ''
+        )
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, content, sha256(hashed) AS doc_hash FROM e
+    """,
+    "valid_chunks": "SELECT doc_id, source FROM documents WHERE text <> '' AND source <> 'web'",
+    "previews": "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS preview FROM documents",
+    "version_stamps": "SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS version FROM events",
+    "batch_sizes": """
+        WITH u AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN l_discount * 10 END AS used FROM lineitem)
+        SELECT l_orderkey, l_linenumber, CAST(least(l_linenumber * 3, CASE WHEN used IS NULL THEN 4 WHEN used > 0.85e0 THEN 2 WHEN used > 0.7e0 THEN 4 WHEN used > 0.5e0 THEN 8 ELSE 12 END) AS BIGINT) AS rows FROM u
+    """,
+    "path_order": """
+        WITH p AS (SELECT page_id, url, string_split(url, '/') AS parts FROM pages),
+        r AS (SELECT parts[3] AS site, row_number() OVER (PARTITION BY parts[3] ORDER BY parts, page_id) AS nth, page_id, url FROM p)
+        SELECT site, nth, page_id, url, starts_with(url, 'https://m.example.net/') AS inside FROM r WHERE nth <= 20
+    """,
+    "sanitized_queries": f"""
+        WITH {_TURNS}, h AS (
+            SELECT conv_id, turn, {" OR ".join(f"regexp_matches(coalesce(query, ''), {_lit(p)}, 'i')" for p in text.INJECTION_PATTERNS)} AS steers,
+                CASE WHEN query IS NULL OR {_strip('query')} = '' THEN 'empty' WHEN length(query) > {text.MAX_QUERY_LENGTH} THEN 'too_long' END AS wrong, {_SEARCHED} AS searched FROM turns
+        )
+        SELECT conv_id, turn, CASE WHEN NOT steers AND wrong IS NULL THEN searched END AS query, CASE WHEN steers THEN 'injection' ELSE wrong END AS error FROM h
+    """,
     "dense_topk": """
         WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         s AS (SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))) AS x FROM e AS q JOIN e AS d ON q.id % 100 = 0),
@@ -250,3 +372,5 @@ ORACLE_SQL = {
             round(min(value), 6) AS min, round(max(value), 6) AS max, count(value) AS count FROM events GROUP BY event_type
     """,
 }
+_ROUTES = ORACLE_SQL["query_routes"]
+ORACLE_SQL["route_weights"] = f"SELECT conv_id, turn, unnest(['dense', 'sparse', 'bm25']) AS branch, unnest([dense, sparse, bm25]) AS weight FROM ({_ROUTES}) AS q"

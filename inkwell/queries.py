@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import hashing, rewriting, routing, text, vectors
+from inkwell.functions import hashing, rewriting, routing, sizing, text, vectors
 from inkwell.operators import chunking, governance, metrics, parsing, ranking, search
-from inkwell.sources import store
+from inkwell.sources import files, store
 from inkwell.sources.tables import read_table
 
 # Queries and sources that reach the branches which the tables do not.
@@ -39,6 +39,12 @@ def _samples(spark: SparkSession, values: tuple[str, ...], name: str = "query")
     return spark.createDataFrame(list(enumerate(values)), f"n long, {name} string")
 
 
+def _with_samples(spark: SparkSession, d: str, values: tuple[str, ...], name: str = "documents", key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(n, text) of a table, and the samples as rows -1, -2, ..."""
+    rows = _table(spark, d, name).select(F.col(key).alias("n"), F.col(text_col).alias("text"))
+    return rows.union(_samples(spark, values, "text").select(-1 - F.col("n"), "text"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations, and the samples as turns of conversation -1."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
@@ -80,6 +86,39 @@ def query_routes(spark: SparkSession, d: str) -> DataFrame:
     return routed.select("conv_id", "turn", "lang", "size", "kind", *[F.round(F.col(f"s.{w}"), 6).alias(w) for w in ("dense", "sparse", "bm25")], F.col("s.doc_type_filter").alias("doc_type"))
 
 
+def route_weights(spark: SparkSession, d: str) -> DataFrame:
+    weights = routing.route_weights(routing.route(F.col("query")))
+    each = _texts(spark, d).select("conv_id", "turn", F.explode(weights).alias("branch", "weight"))
+    return each.select("conv_id", "turn", "branch", F.round("weight", 6).alias("weight"))
+
+
+def sanitized_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("conv_id", "turn", text.sanitized_query(F.col("query")).alias("x")).select("conv_id", "turn", "x.query", "x.error")
+
+
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+def version_stamps(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("event_id", hashing.version_stamp(F.col("ts")).alias("version"))
+
+
+def batch_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Discounts stand for the share of memory in use; where there is none, there is no device."""
+    used = F.when(F.col("l_discount") > 0, F.col("l_discount") * 10)
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", sizing.batch_rows(F.col("l_linenumber") * 3, used).cast("long").alias("rows"))
+
+
+def path_order(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in the order of their paths, component by component: the first twenty of each site."""
+    from pyspark.sql import Window
+
+    pages = _table(spark, d, "pages").withColumn("site", F.element_at(F.split("url", "/"), 3))
+    nth = F.row_number().over(Window.partitionBy("site").orderBy(files.path_key(F.col("url")), "page_id"))
+    return pages.withColumn("nth", nth.cast("long")).filter("nth <= 20").select("site", "nth", "page_id", "url", files.inside(F.col("url"), "https://m.example.net").alias("inside"))
+
+
 def query_expansions(spark: SparkSession, d: str) -> DataFrame:
     forms = rewriting.expand_query(F.col("query"))
     return _texts(spark, d).select("conv_id", "turn", F.posexplode(forms).alias("pos", "form")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "form")
@@ -111,6 +150,18 @@ def pii_findings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "x.*")
 
 
+def metadata_redacted(spark: SparkSession, d: str) -> DataFrame:
+    redacted = governance.redact_map(F.create_map(F.lit("text"), "text", F.lit("source"), "source"))
+    return _table(spark, d, "documents").select("doc_id", F.explode(redacted).alias("field", "value"))
+
+
+def copyrights(spark: SparkSession, d: str) -> DataFrame:
+    """The first sentence stands for the source; every third document says a license itself."""
+    given = F.when(F.col("doc_id") % 3 == 0, F.col("lang"))
+    source = F.substring_index("text", ".", 1)
+    return _table(spark, d, "documents").select("doc_id", *governance.copyright_columns(source, given))
+
+
 def licenses(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", governance.detect_license(F.col("text")).alias("license"))
 
@@ -136,6 +187,23 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _chunk_columns(chunking.chunk_recursive(_table(spark, d, "documents").select("doc_id", "text")))
 
 
+def _letters(sentences: list[str]) -> list[list[float]]:
+    """Counts of some letters: a vector that SQL can count too."""
+    return [[float(s.count(c)) for c in "aeo"] for s in sentences]
+
+
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_columns(chunking.chunk_semantic(_table(spark, d, "documents").select("doc_id", "text"), _letters, threshold=0.9, most=1_000_000))
+
+
+def oversize_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_columns(chunking.oversize_parts(_table(spark, d, "documents").select("doc_id", "text"), most=300))
+
+
+def valid_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return files.valid_chunks(_table(spark, d, "documents").select("doc_id", F.nullif("text", F.lit("")).alias("content"), F.nullif("source", F.lit("web")).alias("source"))).select("doc_id", "source")
+
+
 def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
     # Ten vectors in a row stand for the sentences of a document.
     sentences = _table(spark, d, "embeddings").withColumn("doc", F.floor(F.col("vec_id") / 10))
@@ -144,24 +212,29 @@ def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    found = parsing.parse_markdown(_samples(spark, SAMPLE_MARKDOWN, "text"))
+    found = parsing.parse_markdown(_with_samples(spark, d, SAMPLE_MARKDOWN, "pages", "page_id", "html"))
     return found.select("n", F.col("doc_seq").cast("long").alias("doc_seq"), F.col("heading_level").cast("long").alias("heading_level"), "section_path", "content", "is_code_block")
 
 
 def latex_text(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(spark, SAMPLE_LATEX, "text").select("n", parsing.clean_latex(F.col("text")).alias("cleaned"))
+    return _with_samples(spark, d, SAMPLE_LATEX).select("n", parsing.clean_latex(F.col("text")).alias("cleaned"))
 
 
 def latex_sections(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.parse_latex(_samples(spark, SAMPLE_LATEX, "text"))
+    found = parsing.parse_latex(_with_samples(spark, d, SAMPLE_LATEX))
+    return found.select("n", F.col("doc_seq").cast("long").alias("doc_seq"), "section_name", F.col("section_level").cast("long").alias("section_level"), "section_path", "section_type", "content")
 
 
 def llm_items(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.llm_items(_samples(spark, SAMPLE_JSON, "text")).select("n", F.coalesce(F.col("doc_seq"), F.lit(0)).cast("long").alias("doc_seq"), "content", "source", "chunk_type", "doc_hash", "error")
+    # Each document as an item of a list, and the samples.
+    item = F.struct(F.col("text").alias("content"), "source", F.col("lang").alias("chunk_type"))
+    lists = _table(spark, d, "documents").select(F.col("doc_id").alias("n"), F.to_json(F.array(item)).alias("text"))
+    both = lists.union(_samples(spark, SAMPLE_JSON, "text").select(-1 - F.col("n"), "text"))
+    return parsing.llm_items(both).select("n", F.coalesce(F.col("doc_seq"), F.lit(0)).cast("long").alias("doc_seq"), "content", "source", "chunk_type", "doc_hash", "error")
 
 
 def code_units(spark: SparkSession, d: str) -> DataFrame:
-    return parsing.parse_code(_samples(spark, SAMPLE_CODE, "text"))
+    return parsing.parse_code(_with_samples(spark, d, SAMPLE_CODE)).withColumn("chunk_type", chunking.code_chunk_type(F.col("type")))
 
 
 def _query_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -298,6 +371,7 @@ QUERIES = {
         token_counts, content_ids, query_checks, injection_flags, query_routes, query_expansions, stop_words, turn_overlap, pii_redacted, pii_counts, pii_findings, licenses,
         sentences, structure_chunks, length_chunks, recursive_chunks, semantic_breaks, markdown_sections, latex_text, latex_sections, llm_items, code_units, dense_topk,
         dense_topk_filtered, cosine_pairs, sparse_topk, bm25_topk, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
-        deleted, eval_by_query, eval_metrics, latency,
+        deleted, eval_by_query, eval_metrics, latency, semantic_chunks, oversize_parts, valid_chunks, route_weights, sanitized_queries, previews, version_stamps, batch_sizes,
+        path_order, metadata_redacted, copyrights,
     )
 }

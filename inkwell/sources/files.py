@@ -39,6 +39,11 @@ def scan_files(spark: SparkSession, path: str | list[str], suffixes: list[str] |
     return good.unionByName(listed.filter("error is not null"))
 
 
+def path_key(path: Column) -> Column:
+    """What orders paths component by component, so that a folder's files stay together."""
+    return F.split(path, "/")
+
+
 def inside(path: Column, base: str) -> Column:
     """Whether a path lies in a folder, compared by whole components."""
     base = base.rstrip("/") + "/"

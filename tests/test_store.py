@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell import Settings
 from inkwell.operators.parsing import parse_markdown as markdown
+from inkwell.plans.bench import Benchmark
 from inkwell.plans.index import index_chunks, index_folder, search_points
 from inkwell.sources import files
 from inkwell.sources.store import ConflictError, PointStore, Table, load_hashes, load_status
@@ -207,3 +209,28 @@ def test_stream(spark, tmp_path):
     chunks(spark, "two", "three").write.mode("append").json(source)
     index_stream(stream, store, "a", f"file://{tmp_path}/checkpoint").awaitTermination()
     assert store.count("a") == 3
+
+
+def test_benchmark(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for n, text in (("a.md", "green apples"), ("b.md", "blue whales"), ("c.md", "red cherries")):
+        (docs / n).write_text(text)
+    store = PointStore(spark, f"file://{tmp_path}/store")
+    queries = spark.createDataFrame([(1, "blue whales"), (2, "red cherries")], "query_id long, query string")
+    bench = Benchmark(spark, store)
+    assert bench.run() == {"build": None, "latencies": None, "quality": None}
+    built = bench.build(f"file://{docs}")
+    assert built["count"] == 3 and built["per_second"] > 0
+    ids = {r["content"]: r["id"] for r in store.points("documents").read().collect()}
+    relevant = spark.createDataFrame([(1, ids["blue whales"]), (2, ids["red cherries"])], "query_id long, id string")
+    found = bench.run(queries=queries, relevant=relevant, timed=1)
+    assert found["latencies"].first()["count"] == 1 and found["latencies"].first()["p50"] > 0
+    assert {r["metric"]: r["value"] for r in found["quality"].filter("k = 0").collect()} == {"mrr": 1.0, "hit_rate": 1.0, "num_queries": 2.0}
+
+
+def test_settings(tmp_path):
+    (tmp_path / ".env").write_text("# a comment\nINKWELL_STORE=s3a://bucket/store\nINKWELL_DOCUMENTS='raw'\n")
+    found = Settings.load(str(tmp_path), environment={"INKWELL_PAIR_MODEL": "/models/p"})
+    assert (found.store, found.documents, found.pair_model, found.model_source) == ("s3a://bucket/store", str(tmp_path / "raw"), "/models/p", "")
+    assert found.embedding_model == str(tmp_path / "models" / "embedding")
