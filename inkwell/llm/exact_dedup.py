@@ -32,7 +32,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A text with very many copies is salted by the hash of its identifier, so that its copies
     spread over sub-runs that sort next to each other; the one row that each sub-run keeps is
-    merged afterwards by the text's SHA-256.  The list of such texts has at most a million
+    merged with the others' by its whole text.  The list of such texts has at most a million
     entries whatever the input, so it is broadcast.
     """
     if keep not in ("max", "min"):
@@ -68,13 +68,15 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pick("doc_id").over(run).alias("run_keep"),
             F.count(F.lit(1)).over(run).alias("run_size"),
             F.row_number().over(run.orderBy(order)).alias("nth"),
-        ),
+            "norm",
+        ).withColumn("norm", F.when(F.col("salted") & (F.col("nth") == 1), F.col("norm"))),  # one text for each sub-run
         "content-sort",
     )
     merged = (
         runs.filter("salted and nth = 1")
-        .groupBy("text_sha256")
-        .agg(pick("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"))
+        .groupBy("norm")
+        .agg(F.first("text_sha256").alias("text_sha256"), pick("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"))
+        .drop("norm")
     )
     joined = runs.join(F.broadcast(merged), "text_sha256", "left")
     keep_id = F.when(F.col("all_size").isNull(), F.col("run_keep")).otherwise(F.col("all_keep"))
