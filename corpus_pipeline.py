@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import line_dedup, packing, pii, quality, simhash
-from inkwell.llm.common import materialize, table
+from inkwell.llm.common import discard, materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -67,5 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)  # the table of the stage before; the documents themselves are no scratch table
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

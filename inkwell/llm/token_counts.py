@@ -9,19 +9,18 @@ them into a snapshot and remembers which batches it holds.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import Bpe
 from inkwell.llm.common import small_batches
 from inkwell.llm.packing import WordTokenizer
+from inkwell.sources.claims import Folder
 
 KEYS = ["source", "lang", "tokenizer_version"]
 DELTA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -76,43 +75,10 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._at("committed").getFileSystem(spark._jsc.hadoopConfiguration())
-        for folder in ("committed", "snapshots", "data"):
-            self._fs.mkdirs(self._at(folder))
-
-    def _at(self, name: str):
-        return self._hadoop.Path(f"{self.path}/{name}")
-
-    def _names(self, folder: str) -> list[str]:
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._at(folder)))
-
-    def _claim(self, name: str, content: dict) -> bool:
-        """Make the file `name` with a line of content, whole or not at all; False if it is there already."""
-        aside = self._at(f"data/claim-{uuid.uuid4().hex}")
-        out = self._fs.create(aside)
-        out.writeBytes(json.dumps(content))
-        out.close()
-        context = self._hadoop.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
-        try:
-            # A rename that does not overwrite: of several writers, one succeeds.
-            context.rename(aside, self._at(name), self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Py4JJavaError as e:
-            self._fs.delete(aside, False)
-            if "AlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
-        return True
-
-    def _content(self, folder: str) -> dict[str, dict]:
-        """The files of a folder with their content: a small row for each batch or snapshot."""
-        if not self._names(folder):
-            return {}
-        found = self.spark.read.text(f"{self.path}/{folder}", wholetext=True).select("_metadata.file_name", "value").collect()
-        return {r["file_name"]: json.loads(r["value"]) for r in found}
+        self._committed, self._snapshots, self._data = (Folder(spark, f"{self.path}/{x}") for x in ("committed", "snapshots", "data"))
 
     def has(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"committed/{batch}"))
+        return self._committed.has(batch)
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit the changes under the batch's name; False, and nothing done, if it is committed already.
@@ -127,26 +93,25 @@ class Rollup:
         if self.has(batch):
             return False
         delta = signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        name = f"data/delta-{uuid.uuid4().hex}"
-        delta.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.path}/{name}")
-        if self._claim(f"committed/{batch}", {"delta": name}):
+        name = f"delta-{uuid.uuid4().hex}"
+        delta.filter("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self._data.path}/{name}")
+        if self._committed.claim(batch, name):
             return True
-        self._fs.delete(self._at(name), True)
+        self._data.delete(name)
         return False
 
     def _state(self) -> tuple[int, str | None, dict[str, str]]:
         """Number and folder of the last snapshot, and the deltas of committed batches that it does not hold."""
-        committed = {b: x["delta"] for b, x in self._content("committed").items()}
-        snapshots = self._content("snapshots")
-        if not snapshots:
+        committed = self._committed.contents()
+        names = self._snapshots.names()
+        if not names:
             return 0, None, committed
-        last = max(snapshots)
-        folder = snapshots[last]["snapshot"]
-        held = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{folder}/batches").collect()}
-        return int(last), folder, {b: d for b, d in committed.items() if b not in held}
+        folder = self._snapshots.content(names[-1])
+        held = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self._data.path}/{folder}/batches").collect()}
+        return int(names[-1]), folder, {b: d for b, d in committed.items() if b not in held}
 
     def _sums(self, folder: str | None, deltas: dict[str, str]) -> DataFrame:
-        paths = [f"{self.path}/{d}" for d in sorted(deltas.values())] + ([f"{self.path}/{folder}/totals"] if folder else [])
+        paths = [f"{self._data.path}/{d}" for d in sorted(deltas.values())] + ([f"{self._data.path}/{folder}/totals"] if folder else [])
         rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
@@ -165,25 +130,26 @@ class Rollup:
         number, folder, deltas = self._state()
         if not deltas:
             return False
-        name = f"data/snapshot-{uuid.uuid4().hex}"
-        self._sums(folder, deltas).write.parquet(f"{self.path}/{name}/totals")
-        held = self.spark.read.schema("batch string").parquet(f"{self.path}/{folder}/batches") if folder else self.spark.createDataFrame([], "batch string")
-        held.union(self.spark.createDataFrame([(b,) for b in sorted(deltas)], "batch string")).coalesce(1).write.parquet(f"{self.path}/{name}/batches")
-        if self._claim(f"snapshots/{number + 1:012d}", {"snapshot": name}):
+        name = f"snapshot-{uuid.uuid4().hex}"
+        at = f"{self._data.path}/{name}"
+        self._sums(folder, deltas).write.parquet(f"{at}/totals")
+        none = self.spark.createDataFrame([], "batch string")
+        held = self.spark.read.schema("batch string").parquet(f"{self._data.path}/{folder}/batches") if folder else none
+        held.union(self.spark.createDataFrame([(b,) for b in sorted(deltas)], "batch string")).coalesce(1).write.parquet(f"{at}/batches")
+        if self._snapshots.claim(f"{number + 1:012d}", name):
             return True
-        self._fs.delete(self._at(name), True)
+        self._data.delete(name)
         return False
 
     def vacuum(self) -> None:
         """Delete what the last snapshot replaced.  To be called when no reader is older than that snapshot and no writer is at work."""
         number, folder, deltas = self._state()
-        for n in self._names("snapshots"):
+        for n in self._snapshots.names():
             if int(n) < number:
-                self._fs.delete(self._at(f"snapshots/{n}"), False)
-        used = {d.split("/")[1] for d in deltas.values()} | ({folder.split("/")[1]} if folder else set())
-        for n in self._names("data"):
-            if n not in used:
-                self._fs.delete(self._at(f"data/{n}"), True)
+                self._snapshots.delete(n)
+        for n in self._data.names():
+            if n not in {*deltas.values(), folder}:
+                self._data.delete(n)
 
 
 def change(op: str, counts: DataFrame, version: str, column: str, old_version: str | None = None, old_column: str | None = None) -> DataFrame:

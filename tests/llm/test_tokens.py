@@ -144,7 +144,7 @@ def test_rollup_with_two_writers(spark, tmp_path, monkeypatch):
     assert rollup.apply("one", one)
     assert not other.apply("one", two)
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 10)]
-    assert len(rollup._names("data")) == 1
+    assert len(rollup._data.names()) == 1
 
 
 def test_rollup_compaction(spark, tmp_path):
@@ -160,9 +160,9 @@ def test_rollup_compaction(spark, tmp_path):
     want = {("s0", "en", "v1", 3, 6), ("s1", "en", "v1", 3, 9)}
     assert {tuple(r) for r in rollup.totals().collect()} == want
     rollup.vacuum()
-    assert {tuple(r) for r in rollup.totals().collect()} == want and len(rollup._names("data")) == 1
+    assert {tuple(r) for r in rollup.totals().collect()} == want and len(rollup._data.names()) == 1
     stale = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
-    assert stale._claim("snapshots/000000000004", {"snapshot": "x"}) and not stale._claim("snapshots/000000000004", {"snapshot": "y"})
+    assert stale._snapshots.claim("000000000004", "x") and not stale._snapshots.claim("000000000004", "y")
 
 
 def test_token_counts_against_the_libraries(spark, docs, word_bpe):
