@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ DEPTH = 4
 END_ID = 2
 #: Share of the plan that is carried out, so that the stream can fill what is left free.
 MARGIN = 0.995
-#: Entries of a worker's caches; a full cache starts anew.
-CACHE = 500_000
+#: Entries of each of a worker's caches, about 50 MB; a full cache starts anew.
+CACHE = 250_000
 #: Tokens of a stretch of the stream that is merged with the free places by itself.
 STRETCH = 1 << 14
 #: Planned windows whose free places are added up together.
@@ -87,8 +88,9 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         said = json.loads(self.content)
         self.by_chunks = said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _PRE_TOKENIZER
-        self.chunks: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
-        self.pieces: dict[str, list[int]] = {}
+        #: The ids of each chunk and piece as uint32, in bytes, which take a third of an array's memory.
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
         self.letter = _byte_letters()
 
     def __getstate__(self) -> dict:
@@ -98,20 +100,17 @@ class WordTokenizer:
         self.content = state["content"]
         self._open()
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         mapped = "".join([self.letter[b] for b in piece.encode()])
-        found = [x.id for x in self.model.tokenize(mapped)]
+        found = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
         self.pieces[piece] = found
         return found
 
-    def learn(self, chunk: str) -> np.ndarray:
+    def learn(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids: list[int] = []
-            for piece in _PIECE.findall(chunk.lower()):
-                ids += self.pieces.get(piece) or self._piece(piece)
+            found = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(chunk.lower())])
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        found = np.array(ids, np.uint32)
+            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         self.chunks[chunk] = found
         return found
 
@@ -129,8 +128,8 @@ class WordTokenizer:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         each = [x if (x := known.get(w)) is not None else self.learn(w) for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.uint32)
         code = coded.indices.to_numpy(zero_copy_only=False)
         long = size[code]
         to = np.cumsum(long)
