@@ -27,8 +27,8 @@ _NONE = np.int64(1) << 40
 CELLS = 1 << 21
 #: Bytes from which on a piece is merged by itself.
 LONG = 1 << 11
-#: Entries of a worker's cache of encoded chunks; it starts anew when it is full.
-CACHE = 400_000
+#: Entries of each of a worker's caches, about 50 MB; a full cache starts anew.
+CACHE = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
