@@ -114,11 +114,8 @@ class WordTokenizer:
         self.chunks[chunk] = found
         return found
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, end of each text's ids)."""
-        if not self.by_chunks:
-            found = [x.ids for x in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
+    def _coded(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids of each different chunk, the chunks of all texts in a row, end of each text's chunks)."""
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
@@ -128,14 +125,32 @@ class WordTokenizer:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         each = [x if (x := known.get(w)) is not None else self.learn(w) for w in coded.dictionary.to_pylist()]
+        return each, coded.indices.to_numpy(zero_copy_only=False), ends
+
+    def _whole(self, texts: pa.Array) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, end of each text's ids)."""
+        if not self.by_chunks:
+            found = self._whole(texts)
+            return np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
+        each, code, ends = self._coded(texts)
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), np.uint32)
-        code = coded.indices.to_numpy(zero_copy_only=False)
         long = size[code]
         to = np.cumsum(long)
         at = np.arange(to[-1] if len(to) else 0) + np.repeat((np.cumsum(size) - size)[code] - (to - long), long)
         return flat[at], np.concatenate(([0], to))[ends]
 
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        if not self.by_chunks:
+            return np.array([len(x) for x in self._whole(texts)], np.int64)
+        each, code, ends = self._coded(texts)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        return np.diff(np.concatenate(([0], np.cumsum(size[code])))[ends], prepend=0)
+
 
 TOKENS = pa.schema(
     [

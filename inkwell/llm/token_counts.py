@@ -41,9 +41,7 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tokeniz
         bpe, words = shared.value
         for x in batches:
             texts = ["" if t is None else t for t in x]
-            _, ends = words.encode(pa.array(texts, pa.string()))
-            sizes = [ends[0], *(ends[1:] - ends[:-1])] if len(texts) else []
-            yield pd.DataFrame({"byte_tokens": [len(i) // 4 for i in bpe.encode(texts)], "word_tokens": sizes}, dtype="int64")
+            yield pd.DataFrame({"byte_tokens": [len(i) // 4 for i in bpe.encode(texts)], "word_tokens": words.count(pa.array(texts, pa.string()))}, dtype="int64")
 
     return docs.select(*keep, count(F.col(text_col).cast("string")).alias("_n")).select(*keep, "_n.*")
 

@@ -103,6 +103,7 @@ def test_another_tokenizer_file():
     ids, ends = own.encode(pa.array(texts))
     assert not own.by_chunks and packing.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()).by_chunks
     starts = [0, *ends[:-1]]
+    assert own.count(pa.array(texts)).tolist() == (ends - starts).tolist()
     assert [ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
