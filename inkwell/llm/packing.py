@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,10 +55,8 @@ _PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-#: The pieces into which the tokenizer cuts lower-cased text.
-_PIECE = regex.compile(_SPLIT)
-#: Strings on which lower-casing and the pieces need no more than Python's own methods.
-_PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Chunks on which lower-casing and the pieces come out the same in Arrow's functions: ASCII and the letters of Latin-1.
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
 
 
 def _byte_letters() -> list[str]:
@@ -69,11 +66,19 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+def _expand(values: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The values of the entries `code` in a row; entry i has the next size[i] of `values`."""
+    long = size[code]
+    to = np.cumsum(long)
+    at = np.arange(to[-1] if len(to) else 0) + np.repeat((np.cumsum(size) - size)[code] - (to - long), long)
+    return values[at]
+
+
 class WordTokenizer:
-    """Ids of white-space separated chunks, with caches of chunks and of pieces.
+    """Ids of white-space separated chunks, which Arrow finds and cuts into pieces, each different one once a batch.
 
-    Chunks of plain letters and signs are cut into pieces here and only the pieces go to the BPE
-    model; all other chunks go through the tokenizer as a whole.  That holds for files that prepare
+    Only the different pieces of plain letters and signs come to Python, for the BPE model or a
+    cache; all other chunks go through the tokenizer as a whole.  That holds for files that prepare
     texts as _NORMALIZER and _PRE_TOKENIZER say; with another file, whole texts go through the tokenizer.
     """
 
@@ -88,9 +93,9 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         said = json.loads(self.content)
         self.by_chunks = said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _PRE_TOKENIZER
-        #: The ids of each chunk and piece as uint32, in bytes, which take a third of an array's memory.
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        #: The ids of each other chunk and of each piece as uint32, in bytes, which take a third of an array's memory.
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         self.letter = _byte_letters()
 
     def __getstate__(self) -> dict:
@@ -101,31 +106,39 @@ class WordTokenizer:
         self._open()
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join([self.letter[b] for b in piece.encode()])
+        # The signs and letters of ASCII stand for themselves.
+        mapped = piece if piece.isascii() else "".join([self.letter[b] for b in piece.encode()])
         found = array("I", [x.id for x in self.model.tokenize(mapped)]).tobytes()
         self.pieces[piece] = found
         return found
 
-    def learn(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            found = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(chunk.lower())])
-        else:
-            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         self.chunks[chunk] = found
         return found
 
-    def _coded(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(ids of each different chunk, the chunks of all texts in a row, end of each text's chunks)."""
+    def _coded(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of each different unit, the units of all different chunks in a row, how many each has, the chunks of
+        all texts in a row, end of each text's chunks).  A unit is a piece, or a chunk that is not plain."""
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        known = self.chunks
-        if len(known) > CACHE:
-            known.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        each = [x if (x := known.get(w)) is not None else self.learn(w) for w in coded.dictionary.to_pylist()]
-        return each, coded.indices.to_numpy(zero_copy_only=False), ends
+        chunks = coded.dictionary
+        plain = pc.and_(pc.match_substring_regex(chunks, _PLAIN), pc.invert(pc.match_substring(chunks, "<|")))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), _SPLIT, r"\0 ")
+        cut = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(spaced))
+        pieces = cut.flatten().dictionary_encode()
+        for cache in (self.chunks, self.pieces):
+            if len(cache) > CACHE:
+                cache.clear()
+        each = [self._piece(p) if (x := self.pieces.get(p)) is None else x for p in pieces.dictionary.to_pylist()]
+        n, plain_ = len(each), plain.to_numpy(zero_copy_only=False)
+        each += [self._chunk(c) if (x := self.chunks.get(c)) is None else x for c in chunks.filter(pc.invert(plain)).to_pylist()]
+        many = np.ones(len(chunks), np.int64)
+        many[plain_] = np.diff(cut.offsets.to_numpy())
+        unit, of_piece = np.empty(many.sum(), np.int64), np.repeat(plain_, many)
+        unit[of_piece], unit[~of_piece] = pieces.indices.to_numpy(zero_copy_only=False), np.arange(n, len(each))
+        return each, unit, many, coded.indices.to_numpy(zero_copy_only=False), ends
 
     def _whole(self, texts: pa.Array) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
@@ -135,20 +148,23 @@ class WordTokenizer:
         if not self.by_chunks:
             found = self._whole(texts)
             return np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
-        each, code, ends = self._coded(texts)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat = np.frombuffer(b"".join(each), np.uint32)
-        long = size[code]
-        to = np.cumsum(long)
-        at = np.arange(to[-1] if len(to) else 0) + np.repeat((np.cumsum(size) - size)[code] - (to - long), long)
-        return flat[at], np.concatenate(([0], to))[ends]
+        each, unit, many, code, ends = self._coded(texts)
+        length, size = self._sizes(each, unit, many)
+        chunks = _expand(np.frombuffer(b"".join(each), np.uint32), length, unit)
+        return _expand(chunks, size, code), np.concatenate(([0], np.cumsum(size[code])))[ends]
+
+    @staticmethod
+    def _sizes(each: list[bytes], unit: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each different unit has, and each different chunk."""
+        length = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        return length, np.diff(np.concatenate(([0], np.cumsum(length[unit])))[np.cumsum(many)], prepend=0)
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         if not self.by_chunks:
             return np.array([len(x) for x in self._whole(texts)], np.int64)
-        each, code, ends = self._coded(texts)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        each, unit, many, code, ends = self._coded(texts)
+        _, size = self._sizes(each, unit, many)
         return np.diff(np.concatenate(([0], np.cumsum(size[code])))[ends], prepend=0)
 
 
