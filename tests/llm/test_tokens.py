@@ -94,6 +94,20 @@ def test_packing_plans(docs, word_bpe, kind):
     check_packing(packing.pack(docs(rows), word_bpe).collect(), rows, library, 0.02 * (sum(sizes) + len(sizes)))
 
 
+def test_word_ids(word_bpe):
+    """Random texts of signs that the way by chunks has to tell apart, against the library."""
+    own, library = packing.WordTokenizer(word_bpe), Tokenizer.from_str(word_bpe)
+    signs = list("abcXYZ019'sStT<|>.,-_! \t\n\x0b\x1c\x1f\x85\xa0\u3000éÉßÿÀ×÷ªº²½µ\u0301\u0307İıſ\u212aÅ中文\u200b😀ǅ")
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 2_000)]
+    texts += [None, "", " ", "'S'T'RE'Ve'LL'D'M", "<|endoftext|>", "a<|startoftext|>b", "x" * 50_000, "a!" * 20_000]
+    whole = pa.array(["left out", *texts], pa.string()).slice(1)
+    ids, ends = own.encode(whole)
+    starts = [0, *ends[:-1]]
+    assert [ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.count(whole).tolist() == (ends - starts).tolist()
+
+
 def test_another_tokenizer_file():
     """A file that prepares texts in another way is followed as it is."""
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
