@@ -41,14 +41,19 @@ SYNONYMS: dict[str, list[str]] = {
     "olap": ["online analytical processing"],
     "oltp": ["online transaction processing"],
 }
-STOP_WORDS = frozenset(
-    """a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought
-    used to of in for on with at by from as into through during before after above below between out off over under again further then
-    once here there when where why how all each every both few more most other some such no nor not only own same so than too very
-    just because but and or if while about please help want tell show give know
-    的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 他 她 它 们 那 些 什么 怎么 如何 哪 为什么 请问 能
-    可以 吗 吧 啊 呢 嗯 哦 呀 哈 嘿""".split()
-)
+ENGLISH_STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through",
+    "during", "before", "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "just", "because", "but", "and", "or", "if", "while", "about", "please", "help", "want", "tell", "show", "give", "know",
+)
+CHINESE_STOP_WORDS = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有",
+    "看", "好", "自己", "这", "他", "她", "它", "们", "那", "些", "什么", "怎么", "如何", "哪", "为什么", "请问", "能", "可以", "吗", "吧", "啊", "呢",
+    "嗯", "哦", "呀", "哈", "嘿",
+)
+STOP_WORDS = frozenset(ENGLISH_STOP_WORDS + CHINESE_STOP_WORDS)
 MAX_EXPANSIONS = 3
 
 
