@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, exact_dedup, licenses, line_dedup, packing, pii, quality, simhash, token_counts, toxicity, whitening
+from inkwell.llm import bpe, exact_dedup, licenses, line_dedup, packing, pii, quality, simhash, token_counts, toxicity, variants, whitening
 from inkwell.llm.common import materialize, scratch_root, table
 
 
@@ -73,6 +73,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_variants": op11_variants,
     "op13_whitening": op13_whitening,
 }
 
