@@ -52,6 +52,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write `df` to the shared scratch folder in buckets of `key` and read it back; joins on the key then shuffle the other side only."""
+    spark = df.sparkSession
+    path, view = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", f"scratch_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).options(path=path, compression="zstd").saveAsTable(view)
+    out = spark.table(view)
+    spark.sql(f"DROP TABLE {view}")  # the entry of an external table only: its files stay, and the plan has what it needs
+    out.scratch_path = path
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     path = getattr(df, "scratch_path", None)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, exact_dedup, licenses, line_dedup, packing, pii, quality, simhash, token_counts, toxicity, variants, whitening
+from inkwell.llm import bpe, exact_dedup, licenses, line_dedup, packing, passages, pii, quality, simhash, token_counts, toxicity, variants, whitening
 from inkwell.llm.common import materialize, scratch_root, table
 
 
@@ -77,6 +77,11 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove_repeated(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_variants": op11_variants,
+    "op12_passages": op12_passages,
     "op13_whitening": op13_whitening,
 }
 
@@ -136,6 +142,23 @@ ORACLE_SQL = {
             NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT is_long AS kept
         FROM m
     """,
+    "op12_passages": r"""
+        WITH w AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), p AS (
+            SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35
+        ), g AS (
+            SELECT r, i, count(*) OVER (PARTITION BY md5(array_to_string(list_slice(words, i, i + 34), ' '))) AS c FROM p
+        ), gone AS (
+            SELECT DISTINCT r, i + unnest(range(0, 35)) AS pos FROM g WHERE c > 1
+        ), each AS (
+            SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w
+        ), k AS (
+            SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept FROM each ANTI JOIN gone USING (r, pos) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (r)
+    """,
     "op6_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents

@@ -24,7 +24,7 @@ def test_sql_twin(spark, name):
 
 
 def test_registry():
-    assert {f"op{n}_" for n in (*range(1, 12), 13)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
     assert "pipeline" in __spark_entry__.queries()
 
 
