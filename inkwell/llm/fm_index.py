@@ -7,8 +7,6 @@ time, as numpy arrays.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 from inkwell.llm.quality import suffix_ranks
@@ -17,36 +15,46 @@ _ONE = np.uint64(1)
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of each symbol's Huffman code; a symbol alone gets one bit."""
-    if len(counts) == 1:
+    """Bits of each symbol's Huffman code; a symbol alone gets one bit.  Sums of two nodes rise, so a queue holds them."""
+    n = len(counts)
+    if n == 1:
         return np.ones(1, np.int64)
-    heap = [(int(n), k) for k, n in enumerate(counts)]
-    heapq.heapify(heap)
-    above, new = {}, len(counts)
-    while len(heap) > 1:
-        (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
-        above[a] = above[b] = new
-        heapq.heappush(heap, (n + m, new))
-        new += 1
-    depth = np.zeros(new, np.int64)
-    for k in range(new - 2, -1, -1):  # a node's number is above those of its children
+    order = np.argsort(counts, kind="stable")
+    weight, above = counts[order].tolist(), [0] * (2 * n - 1)
+    leaf, inner = 0, n
+    for new in range(n, 2 * n - 1):
+        total = 0
+        for _ in range(2):
+            if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                child, leaf = leaf, leaf + 1
+            else:
+                child, inner = inner, inner + 1
+            above[child] = new
+            total += weight[child]
+        weight.append(total)
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):  # a node's number is above those of its children
         depth[k] = depth[above[k]] + 1
-    return depth[: len(counts)]
+    out = np.empty(n, np.int64)
+    out[order] = depth[:n]
+    return out
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes of these lengths, in the order of length and symbol."""
-    codes, code, before = np.zeros(len(lengths), np.int64), 0, 0
-    for k in np.lexsort((np.arange(len(lengths)), lengths)):
-        code <<= int(lengths[k]) - before
-        before = int(lengths[k])
-        codes[k] = code
-        code += 1
+    order = np.lexsort((np.arange(len(lengths)), lengths))
+    of_length = np.bincount(lengths)
+    first = np.zeros(len(of_length), np.int64)
+    for k in range(1, len(first)):
+        first[k] = (first[k - 1] + of_length[k - 1]) << 1
+    codes = np.empty(len(lengths), np.int64)
+    sorted_lengths = lengths[order]
+    codes[order] = first[sorted_lengths] + np.arange(len(lengths)) - (np.cumsum(of_length) - of_length)[sorted_lengths]
     return codes
 
 
 class WaveletTree:
-    """rank(symbol, place): how often each symbol stands before each place, for arrays of both."""
+    """rank(symbols, places): how often each symbol stands before each place."""
 
     def __init__(self, items: np.ndarray, n_symbols: int) -> None:
         counts = np.bincount(items, minlength=n_symbols)
@@ -95,20 +103,23 @@ class WaveletTree:
         below = (_ONE << (at & 63).astype(np.uint64)) - _ONE
         return self.before[word] + np.bitwise_count(self.words[word] & below)
 
-    def rank(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = low.copy(), high.copy()
+    def rank(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """`places` has two rows, the two ends of each symbol's interval."""
         bits, path, depth = self.bits_of[symbols], self.path[symbols], 0
-        going = np.flatnonzero(bits)
-        while len(going):
-            at = path[going] + depth
-            begin, ones, turn = self.begin[at], self.begin_ones[at], self.turn[at]
-            for side in (low, high):
-                here = side[going]
-                found = self._ones(begin + here) - ones
-                side[going] = np.where(turn, found, here - found)
+        # By falling length of code: those that go on are the first ones.
+        order = np.argsort(-bits, kind="stable")
+        bits, path, here = bits[order], path[order], places[:, order]
+        going = len(bits)
+        while going:
+            at = path[:going] + depth
+            part = here[:, :going]
+            found = self._ones(self.begin[at] + part) - self.begin_ones[at]
+            here[:, :going] = np.where(self.turn[at], found, part - found)
             depth += 1
-            going = going[bits[going] > depth]
-        return low, high
+            going = int(np.searchsorted(-bits, -depth, side="left"))
+        out = np.empty_like(here)
+        out[:, order] = here
+        return out
 
 
 class FMIndex:
@@ -133,16 +144,16 @@ class FMIndex:
     def matched(self, last: np.ndarray, most: np.ndarray, least_weight: int) -> np.ndarray:
         """Backward search from each place `last`: how many symbols up to it, `most` at most, occur together with a weight of `least_weight` or more."""
         length = np.zeros(len(last), np.int64)
-        low, high = np.zeros(len(last), np.int64), np.full(len(last), len(self.symbols))
+        places = np.zeros((2, len(last)), np.int64)
+        places[1] = len(self.symbols)
         going = np.flatnonzero(most > 0)
         while len(going):
             symbol = self.symbols[last[going] - length[going]]
             going, symbol = going[symbol > 0], symbol[symbol > 0]
-            one, two = self.tree.rank(symbol, low[going], high[going])
-            one, two = one + self.first[symbol], two + self.first[symbol]
-            found = self.weight[two] - self.weight[one] >= least_weight
+            wider = self.tree.rank(symbol, places[:, going]) + self.first[symbol]
+            found = self.weight[wider[1]] - self.weight[wider[0]] >= least_weight
             going = going[found]
-            low[going], high[going] = one[found], two[found]
+            places[:, going] = wider[:, found]
             length[going] += 1
             going = going[length[going] < most[going]]
         return length

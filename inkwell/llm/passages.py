@@ -123,8 +123,9 @@ def cut(texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 def repeated_windows(bodies: list[bytes], copies: np.ndarray, words: int) -> np.ndarray:
     """For each sequence of a shard, the windows of `words` words that occur twice or more in the shard, as bits of a long.
 
-    A segment that occurs whole elsewhere is one backward search from its end.  Otherwise windows
-    are searched from the left; a search that fails rules out all windows up to where it failed.
+    A backward search from a segment's end marks all windows from where it failed on.  Those before
+    are searched from the left: a search that fails rules out all windows up to where it failed; after
+    one that succeeds, halving finds how far on from its first word the words are repeated together.
     """
     names: dict[bytes, int] = {}
     each = [[names.setdefault(w, len(names) + 1) for w in body.split(b" ")] for body in bodies]
@@ -143,17 +144,27 @@ def repeated_windows(bodies: list[bytes], copies: np.ndarray, words: int) -> np.
         return np.left_shift(np.int64(1), end) - np.left_shift(np.int64(1), first)
 
     n = lengths - words + 1
-    long = index.matched(begin + lengths - 1, lengths, 2)
-    whole = long >= words
-    out = np.where(whole, marks(np.minimum(lengths - long, n), n), 0)
-    end = np.where(whole, lengths - long, n - 1)
+    found = index.matched(begin + lengths - 1, lengths, 2)
+    whole = found >= words
+    end = np.where(whole, lengths - found, n - 1)  # windows from here on are decided
+    out = np.where(whole, marks(end, n), 0)
     at = np.zeros(len(each), np.int64)
+    # Words at..low are repeated together, if low holds a window; words at..high + 1 are not, or not asked for.
+    low, high = at + words - 2, at + words - 1
     going = np.flatnonzero(at < end)
     while len(going):
-        got = index.matched(begin[going] + at[going] + words - 1, np.full(len(going), words), 2)
-        hit = going[got == words]
-        out[hit] |= np.left_shift(np.int64(1), at[hit])
-        at[going] += np.where(got == words, 1, words - got)
+        a, e, lo, hi = at[going], end[going], low[going], high[going]
+        middle = (lo + hi + 1) // 2
+        found = index.matched(begin[going] + middle, middle - a + 1, 2)
+        hit = found > middle - a
+        opens = lo < a + words - 1  # the first search from this place
+        lo, hi = np.where(hit, middle, lo), np.where(opens & hit, e + words - 2, np.where(hit, hi, middle - 1))
+        done = lo >= hi
+        held = lo >= a + words - 1
+        out[going] |= np.where(done & held, marks(a, np.maximum(lo - words + 2, a)), 0)
+        step = np.where(held, lo - words + 2 - a, words - found)
+        a = np.where(done, a + step, a)
+        at[going], low[going], high[going] = a, np.where(done, a + words - 2, lo), np.where(done, a + words - 1, hi)
         going = going[at[going] < end[going]]
     return out
 
