@@ -3,12 +3,14 @@
 Bigrams are ordered over the whole vocabulary, the rarest first.  One edit destroys two bigrams of a
 word at most, so of its three rarest one survives in every near word, moved by one place at most.
 A survivor lies wholly before or wholly after the edit, so the two words share all up to its end (at
-the same place) or all from its start on (at the same place from the end): the join is on the
-bigram with that part of the word, its place and the length, and what it pairs is verified.
+the same place) or all from its start on (at the same place from the end).  What is left is halved
+until the edit lies in a gap of GAP letters: the join is on the words' length and all but the gap.  So
+what meets in a join differs in a gap alone and is bounded by the alphabet, not by the vocabulary;
+gaps are compared in the join, and words verified after it.
 
 Where the third bigram occurs again in a word, its first OCCURRENCES occurrences are taken: the
 edit can take or make two of them before a survivor, which is among the first three of one word and
-so among the first five of the other.  A word is so in a bounded number of rows, however long it is.
+so among the first five of the other.  A word's rows are so bounded, however long it is.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,10 @@ NOISE = 31
 #: Bigrams of the prefix: one more than an edit destroys.
 PREFIX = 3
 OCCURRENCES = PREFIX + 2
+#: Letters of the gap in which the edit lies, at most; the longer word has one more.
+GAP = 2
+#: A word of more than GAP * GAPS letters has wider gaps, so that it has no more of them.
+GAPS = 32
 #: Words that a task counts before it hands its counts on.
 COUNTED = 200_000
 
@@ -116,6 +123,23 @@ def edit_of_one(a: str, b: str) -> bool:
     return a[low + (len(a) >= len(b)) :] == b[low + (len(b) >= len(a)) :]
 
 
+def gaps(places: list[int], length: int, shared: int) -> set[tuple[int, int]]:
+    """(front, back): letters at both ends of a word outside of a gap, for the surviving bigrams at `places`.
+
+    `length` is the word's, `shared` that of the shorter word of the pair, from which gaps are measured.
+    """
+    open_gaps = {(at + 2, 0) for at in places if at + 2 <= shared} | {(0, length - at) for at in places if length - at <= shared}
+    found = set()
+    while open_gaps:
+        front, back = open_gaps.pop()
+        gap = shared - front - back
+        if gap <= max(GAP, shared // GAPS):
+            found.add((front, back))
+        else:
+            open_gaps |= {(front + gap // 2, back), (front, back + gap - gap // 2)}
+    return found
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) for all pairs of words of one edit, in both directions, each once.
 
@@ -123,32 +147,36 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """
     counts = bigram_counts(words)
     order = {g: k for k, (_, g) in enumerate(sorted((n, g) for g, n in counts.items()))}
+    # Numbers stand for words where they meet; written, so that they stay the same.
+    numbered = materialize(words.withColumn("id", F.monotonically_increasing_id()), "numbered-words")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for word, n in zip(batch["word"], batch["n"], strict=True):
-                for at in prefix(word, order):
-                    # From the front, the part up to the bigram's end; from the back, the part from its start on.
-                    rows += [(0, word[: at + 2], len(word), word, n), (1, word[at:], len(word), word, n)]
-            yield pd.DataFrame(rows, columns=["side", "part", "length", "word", "n"])
-
-    parts = words.mapInPandas(index, "side int, part string, length int, word string, n long")
-    # The digest stands for the bigram, the part around it and so its place; what it confuses is verified away.
-    parts = materialize(parts.select(F.xxhash64("side", "part").alias("part"), "length", "word", "n"), "parts")
-    other = parts.select("part", F.col("length").alias("other_length"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    # Equal lengths meet in either order, so one is kept; of different lengths the shorter word asks.
-    asks = parts.withColumn("other_length", F.explode(F.array("length", F.col("length") + 1)))
-    pairs = asks.join(other, ["part", "other_length"]).filter((F.col("length") < F.col("other_length")) | (F.col("word") < F.col("other")))
+            for i, word in zip(batch["id"], batch["word"], strict=True):
+                places, n = prefix(word, order), len(word)
+                # As the shorter word of a pair, or one of two of equal length, and as the longer one.
+                for longer in (0, 1):
+                    for front, back in gaps(places, n, n - longer):
+                        around = xxhash.xxh3_64_intdigest(f"{n - longer} {front} {word[:front]}{word[n - back :]}") - 2**63
+                        rows.append((around, i, word[front : n - back], longer))
+            yield pd.DataFrame(rows, columns=["around", "id", "gap", "longer"])
+
+    parts = materialize(numbered.mapInPandas(index, "around long, id long, gap string, longer int"), "parts")
+    one, two = parts.filter("longer = 0").drop("longer").alias("one"), parts.alias("two")
+    meets = one.join(two, "around").filter("two.longer = 1 or one.id < two.id").filter((F.length("one.gap") > GAPS) | (F.levenshtein("one.gap", "two.gap") == 1))
+    pairs = meets.select(F.col("one.id").alias("id"), F.col("two.id").alias("other_id")).distinct()
+    other = numbered.select(F.col("id").alias("other_id"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    pairs = pairs.join(numbered, "id").join(other, "other_id").select("word", "n", "other", "other_n")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for r in batch.itertuples(index=False, name=None) if edit_of_one(r[0], r[2])]
             yield pd.DataFrame(rows, columns=batch.columns)
 
-    schema = "word string, n long, other string, other_n long"
-    near = materialize(pairs.select("word", "n", "other", "other_n").mapInPandas(verify, schema).distinct(), "near")
+    near = materialize(pairs.mapInPandas(verify, pairs.schema), "near")
     discard(parts)
+    discard(numbered)
     return near.unionByName(near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
 
 

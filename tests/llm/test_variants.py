@@ -82,6 +82,16 @@ def test_prefix_is_bounded():
     assert variants.prefix("aaaaabaaaa", order) == [5, 4, 0, 1, 2, 3, 6]
 
 
+def test_gaps_are_small_and_cover():
+    """Every edit that leaves a bigram lies in a gap; a word has few gaps, however long it is."""
+    for n in (7, 8, 13, 64, 100_000):
+        for at in (0, 3, n - 2):
+            found = variants.gaps([at], n, n)
+            assert all(0 <= n - f - b <= max(2, n // 32) for f, b in found) and len(found) < 4 * variants.GAPS
+            for place in (*range(min(n, 70)), n - 1):
+                assert at <= place < at + 2 or any(f <= place < n - b for f, b in found)
+
+
 def test_query(spark):
     given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     found = rows(queries.QUERIES["op11_variants"](spark, SMALL))
