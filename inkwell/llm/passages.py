@@ -30,20 +30,12 @@ WORDS = 35
 WINDOWS = 28
 #: Words of a shard, about.
 SHARD_WORDS = 500_000
-#: Different words whose hashes a task keeps.
-KNOWN_WORDS = 500_000
+#: Bytes of texts that are hashed together, if no single text is longer.
+BYTES_AT_ONCE = 4_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    """Hashes of words; forgets all when it holds many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,40 +48,91 @@ def gram_of(words: int) -> int:
     return max(words - WINDOWS + 1, (words + 3) // 4)
 
 
-def segments(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and smallest hash of each segment; the leftmost of equal hashes counts."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first `n` powers of a base, from the first on, modulo 2**64; a worker keeps the longest table up to BYTES_AT_ONCE."""
+    if n > BYTES_AT_ONCE:
+        return np.cumprod(np.full(n, base, np.uint64))
+    if len(_powers.get(base, ())) < n:
+        _powers[base] = np.cumprod(np.full(min(2 * n, BYTES_AT_ONCE), base, np.uint64))
+    return _powers[base][:n]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[start:end]: a polynomial in _MIX, from running sums, divided by the power at its start."""
+    base = int(_MIX)
+    sums = np.append(np.uint64(0), np.cumsum(values * powers(base, len(values))))
+    return mixed((sums[ends] - sums[starts]) * powers(pow(base, -1, 2**64), len(values))[starts])
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a buffer, and where the words begin."""
+    each = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_SOLID[each].view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    return run_hashes(each.astype(np.uint64) + np.uint64(1), starts, ends), starts
+
+
+def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
+    """For each `width` consecutive values, the place of the least, the leftmost of equal ones."""
+    at, covered = np.arange(len(h)), 1
+    while covered < width:
+        step = min(covered, width - covered)
+        left, right = at[:-step], at[step:]
+        at = np.where(h[left] <= h[right], left, right)
+        covered += step
+    return at
+
+
+def segments(hashes: np.ndarray, text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and smallest hash of each segment of texts that lie one after another.
+
+    `text` has the number of each word's text; windows across texts are left out.
+    """
+    if len(hashes) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     gram = gram_of(words)
     n = len(hashes) - gram + 1
     h = np.zeros(n, np.uint64)
     for k in range(gram):
-        h = (h ^ hashes[k : k + n]) * _MIX
-        h ^= h >> np.uint64(29)
-    at = np.lib.stride_tricks.sliding_window_view(h, words - gram + 1).argmin(1)
-    at += np.arange(len(at))
-    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return starts, np.diff(np.append(starts, len(at))), h[at[starts]]
+        h = mixed(h ^ hashes[k : k + n])
+    at = leftmost_least(h, words - gram + 1)
+    inside = np.flatnonzero(text[: len(at)] == text[words - 1 :])
+    at = at[inside]
+    opens = np.ones(len(at), bool)
+    # A gram belongs to one text, but one window across texts can lie between two of a text; so places are compared too.
+    opens[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1] + 1)
+    first = np.flatnonzero(opens)
+    return inside[first], np.diff(np.append(first, len(at))), h[at[first]]
 
 
 def text_segments(texts: DataFrame, words: int) -> DataFrame:
     """(row, start, windows, h, digest) for the segments of `texts` (row, text); the digest tells segments of one hash apart."""
 
+    def pieces(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        data = [(x or "").encode() for x in batch["text"]]
+        rows, sizes = batch["row"].to_numpy(), np.cumsum([len(x) for x in data])
+        edges = [0, *np.flatnonzero(np.diff(sizes // BYTES_AT_ONCE)) + 1, len(data)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield rows[a:b], data[a:b]
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Hashes()
         for batch in batches:
-            rows, starts, windows, hashes, digests = [], [], [], [], []
-            for row, text in zip(batch["row"], batch["text"], strict=True):
-                found = words_of(text)
-                if len(found) < words:
-                    continue
-                each = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-                start, n, h = segments(each, words)
-                rows.append(np.full(len(start), row))
-                starts.append(start)
-                windows.append(n)
-                hashes.append(h)
-                digests += [xxhash.xxh3_64_intdigest(each[a:b]) for a, b in zip(start.tolist(), (start + n + words - 1).tolist(), strict=True)]
-            if rows:
-                yield pd.DataFrame({"row": np.concatenate(rows), "start": np.concatenate(starts), "windows": np.concatenate(windows), "h": np.concatenate(hashes).view(np.int64), "digest": np.array(digests, np.uint64).view(np.int64)})
+            for rows, data in pieces(batch):
+                hashes, starts = word_hashes(b"\n".join(data))
+                ends = np.cumsum([len(x) + 1 for x in data])
+                text = np.searchsorted(ends, starts, side="right")
+                first, windows, h = segments(hashes, text, words)
+                digest = run_hashes(hashes, first, first + windows + words - 1)
+                start = first - np.searchsorted(text, text[first])  # counted from the text's first word
+                yield pd.DataFrame({"row": rows[text[first]], "start": start, "windows": windows, "h": h.view(np.int64), "digest": digest.view(np.int64)})
 
     return texts.select("row", "text").mapInPandas(find, "row long, start int, windows int, h long, digest long")
 
