@@ -139,12 +139,17 @@ def _signature(lines: list[str], node: ast.AST) -> str:
     return first[: first.index(":")].strip() if ":" in first else "\n".join(header).strip()
 
 
+#: What the parser raises: for bad sources, for null characters, and for sources that are nested or chained too deeply for it.
+UNPARSED = (SyntaxError, ValueError, MemoryError, RecursionError)
+
+
 def code_units(source: str) -> list[dict]:
-    """Docstring, functions, classes and methods of a Python module, in source order."""
+    """Docstring, functions, classes and methods of a Python module, in source order; a source that cannot be parsed is one unit with an error."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError) as e:
-        return [{"type": None, "error": f"syntax: {e}"}]
+    except UNPARSED as e:
+        kind = "syntax" if isinstance(e, (SyntaxError, ValueError)) else "too deep"
+        return [{"type": None, "error": f"{kind}: {e}"}]
     lines = source.splitlines()
     imports = []
     for node in tree.body:
@@ -193,7 +198,7 @@ def class_chunks(content: str, most: int = 3000) -> list[tuple[str, str]]:
     """(chunk type, content) of a class: whole if it is small, else header, methods and the rest."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError):
+    except UNPARSED:
         tree = None
     node = next((n for n in tree.body if isinstance(n, ast.ClassDef)), None) if tree else None
     if len(content) <= most or node is None:

@@ -322,6 +322,21 @@ ORACLE_SQL = {
         SELECT a.id, b.id AS other_id, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 5) AS similarity FROM e AS a JOIN e AS b ON b.id = a.id + 7
     """,
     "sparse_topk": f"WITH {_SPARSE} SELECT query_id, id, round(score, 6) AS score FROM sr WHERE rank <= 20",
+    "code_units": """
+        WITH d AS (
+            SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, array_to_string(list_slice(regexp_extract_all(coalesce(text, ''), '[a-z]+'), 1, 5), ' ') AS w FROM documents
+        ), u(doc_id, i, doc_seq, type, name, class_name, line, end_line, signature, docstring, content, chunk_type) AS (
+            SELECT doc_id, i, 0, 'module_docstring', '', '', 1, 1, NULL, 'Notes ' || i || ': ' || w, 'Notes ' || i || ': ' || w, 'ast_docstring' FROM d
+            UNION ALL SELECT doc_id, i, 1, 'function', 'read_' || i, '', 5, 7, 'def read_' || i || '(path, limit=10)', 'Reads ' || w,
+                'def read_' || i || '(path, limit=10):' || chr(10) || '    \"\"\"Reads ' || w || '\"\"\"' || chr(10) || '    return path', 'ast_function' FROM d
+            UNION ALL SELECT doc_id, i, 2, 'class', 'Doc' || i, 'Doc' || i, 9, 16, NULL, 'Holds ' || w, 'class Doc' || i || '(Base):' || chr(10) || 'Holds ' || w, 'ast_class' FROM d
+            UNION ALL SELECT doc_id, i, 3, 'method', 'text', 'Doc' || i, 13, 14, 'def text(self)', '', '    def text(self):' || chr(10) || '        return self.size', 'ast_function' FROM d
+            UNION ALL SELECT doc_id, i, 4, 'method', 'later', 'Doc' || i, 16, 16, '', '', '    async def later(self): return ' || i, 'ast_function' FROM d
+        )
+        SELECT doc_id, CAST(doc_seq AS BIGINT) AS doc_seq, type, name, class_name, CAST(line AS BIGINT) AS line, CAST(end_line AS BIGINT) AS end_line, signature, docstring, content,
+            'os.path parts.p' || i || '.item' AS imports, chunk_type, CAST(NULL AS VARCHAR) AS error
+        FROM u
+    """,
     "bm25_topk": f"WITH {_TF} {_BM25} SELECT query_id, id, round(score, 6) AS score FROM br WHERE rank <= 20",
     "score_threshold": f"WITH {_TF} {_BM25} SELECT query_id, id, round(score, 6) AS score FROM br WHERE rank <= 20 AND score >= 40",
     "fused_store": f"""

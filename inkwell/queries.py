@@ -233,7 +233,27 @@ def llm_items(spark: SparkSession, d: str) -> DataFrame:
     return parsing.llm_items(both).select("n", F.coalesce(F.col("doc_seq"), F.lit(0)).cast("long").alias("doc_seq"), "content", "source", "chunk_type", "doc_hash", "error")
 
 
+#: A module around a document; {} is its number and {w} its first words.
+MODULE = (
+    '"""Notes {}: {w}"""', "import os.path", "from parts.p{} import item", "", "def read_{}(path, limit=10):", '    """Reads {w}"""', "    return path", "",
+    "class Doc{}(Base):", '    """Holds {w}"""', "    size = {}", "", "    def text(self):", "        return self.size", "", "    async def later(self): return {}",
+)
+
+
 def code_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units of modules, one made of each document."""
+    words = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]+"), 0), 1, 5), " ")
+    lines = [F.replace(F.replace(F.lit(x), F.lit("{}"), F.col("doc_id").cast("string")), F.lit("{w}"), words) for x in MODULE]
+    sources = _table(spark, d, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("text"))
+    units = parsing.parse_code(sources)
+    return units.select(
+        "doc_id", F.col("doc_seq").cast("long").alias("doc_seq"), "type", "name", "class_name", F.col("line").cast("long").alias("line"), F.coalesce("end_line", "line").cast("long").alias("end_line"),
+        "signature", "docstring", "content", F.array_join("imports", " ").alias("imports"), chunking.code_chunk_type(F.col("type")).alias("chunk_type"), "error",
+    )
+
+
+def code_units_raw(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as they are: nearly all are no Python, some too deep to parse; and samples that are Python."""
     return parsing.parse_code(_with_samples(spark, d, SAMPLE_CODE)).withColumn("chunk_type", chunking.code_chunk_type(F.col("type")))
 
 
@@ -369,7 +389,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_counts, content_ids, query_checks, injection_flags, query_routes, query_expansions, stop_words, turn_overlap, pii_redacted, pii_counts, pii_findings, licenses,
-        sentences, structure_chunks, length_chunks, recursive_chunks, semantic_breaks, markdown_sections, latex_text, latex_sections, llm_items, code_units, dense_topk,
+        sentences, structure_chunks, length_chunks, recursive_chunks, semantic_breaks, markdown_sections, latex_text, latex_sections, llm_items, code_units, code_units_raw, dense_topk,
         dense_topk_filtered, cosine_pairs, sparse_topk, bm25_topk, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
         deleted, eval_by_query, eval_metrics, latency, semantic_chunks, oversize_parts, valid_chunks, route_weights, sanitized_queries, previews, version_stamps, batch_sizes,
         path_order, metadata_redacted, copyrights,

@@ -161,3 +161,23 @@ def test_latency(spark):
     r = metrics.latency_stats(df.limit(0), "v").first()
     assert (r["mean"], r["p99"], r["count"]) == (0, 0, 0)
     assert metrics.throughput(3, 0)["per_second"] == 0
+
+
+DEEP = {"names": "Orre " * 20_000, "minus": "-" * 100_000 + "1", "chain": "a" + ".b" * 100_000, "sum": "1" + "+1" * 100_000, "brackets": "(" * 5_000 + ")" * 5_000, "null": "a = 1\x00"}
+
+
+@pytest.mark.parametrize("source", DEEP.values(), ids=DEEP)
+def test_sources_that_no_parser_takes(source):
+    """A source is a row with an error, however the parser fails, and never the end of the run."""
+    (unit,) = parsing.code_units(source)
+    assert unit["type"] is None and unit["error"].split(":")[0] in ("syntax", "too deep")
+    assert parsing.class_chunks(f"class A:\n  x = {source}") == [("ast_class", f"class A:\n  x = {source}")]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_code_units_of_whole_tables(spark, sf):
+    from inkwell import queries
+
+    found = queries.code_units_raw(spark, f"/root/testdata/{sf}")
+    assert found.filter("error like 'too deep%'").count() > 0
+    assert found.filter("type is null and error is null").count() == 0

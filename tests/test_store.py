@@ -234,3 +234,15 @@ def test_settings(tmp_path):
     found = Settings.load(str(tmp_path), environment={"INKWELL_PAIR_MODEL": "/models/p"})
     assert (found.store, found.documents, found.pair_model, found.model_source) == ("s3a://bucket/store", str(tmp_path / "raw"), "/models/p", "")
     assert found.embedding_model == str(tmp_path / "models" / "embedding")
+
+
+def test_a_source_too_deep_to_parse_does_not_end_the_run(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "good.md").write_text("# A\none two three")
+    (docs / "deep.py").write_text("-" * 100_000 + "1")
+    (docs / "good.py").write_text("def f():\n    return 1\n")
+    store = PointStore(spark, f"file://{tmp_path}/store")
+    assert index_folder(spark, store, f"file://{docs}")["points"] == 2
+    (failed,) = store.errors("documents").read().collect()
+    assert failed["path"].endswith("deep.py") and failed["error"].startswith("too deep")
