@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkwell.functions import rewriting, routing, text
 from inkwell.operators import governance, parsing
-from inkwell.queries import COMPRESS_QUERY, SAMPLE_JSON, SAMPLE_LATEX, SAMPLE_MARKDOWN, SAMPLE_QUERIES, _lit, _values
+from inkwell.queries import COMPRESS_QUERY, FIRST_WORDS, SAMPLE_JSON, SAMPLE_LATEX, SAMPLE_MARKDOWN, SAMPLE_QUERIES, _lit, _values
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 _TURNS = f"turns AS (SELECT conv_id, turn, text AS query FROM conversations UNION ALL SELECT -1, n, q FROM (VALUES {_values(SAMPLE_QUERIES)}) AS v(n, q))"
@@ -113,6 +113,13 @@ _BM25 = """,
         FROM qf JOIN df USING (term) JOIN iv USING (term) JOIN dl USING (id), st GROUP BY query_id, id),
     br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bs) AS q WHERE score > 0)
 """.replace("{w}", _WORDS)
+
+
+def _short(tables: str) -> str:
+    """The same with the first words of each query alone."""
+    return tables.replace("FROM benchmark)", f"FROM (SELECT item_id, regexp_extract(text, '{FIRST_WORDS}') AS text FROM benchmark) AS b)")
+
+
 _COVER = rf"""CASE WHEN len(list_distinct(regexp_extract_all(lower(query), '{_WORDS}'))) = 0 THEN 0 ELSE
     len(list_intersect(list_distinct(regexp_extract_all(lower(query), '{_WORDS}')), list_distinct(regexp_extract_all(lower(content), '{_WORDS}')))) / len(list_distinct(regexp_extract_all(lower(query), '{_WORDS}'))) END"""
 
@@ -337,6 +344,8 @@ ORACLE_SQL = {
             'os.path parts.p' || i || '.item' AS imports, chunk_type, CAST(NULL AS VARCHAR) AS error
         FROM u
     """,
+    "stored_bm25": f"WITH {_short(_TF)} {_BM25} SELECT query_id, id, round(score, 6) AS score FROM br WHERE rank <= 20",
+    "stored_sparse": f"WITH {_short(_SPARSE)} SELECT query_id, id, round(score, 6) AS score FROM sr WHERE rank <= 20",
     "bm25_topk": f"WITH {_TF} {_BM25} SELECT query_id, id, round(score, 6) AS score FROM br WHERE rank <= 20",
     "score_threshold": f"WITH {_TF} {_BM25} SELECT query_id, id, round(score, 6) AS score FROM br WHERE rank <= 20 AND score >= 40",
     "fused_store": f"""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import hashing, rewriting, routing, sizing, text, vectors
 from inkwell.operators import chunking, governance, metrics, parsing, ranking, search
 from inkwell.sources import files, store
-from inkwell.sources.tables import read_table
+from inkwell.sources.postings import Postings
+from inkwell.sources.tables import read_table, shared_folder
 
 # Queries and sources that reach the branches which the tables do not.
 SAMPLE_QUERIES = (
@@ -305,6 +308,29 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _scores(_bm25(spark, d, 20))
 
 
+#: The first words of a text, as a short query.
+FIRST_WORDS = r"^(?:[^ ]+ +){0,4}[^ ]*"
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, Postings]:
+    """Short queries, and an index of all documents that grew by an increment."""
+    q, docs = _text_queries(spark, d)
+    index = Postings(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", "long")
+    for odd in (0, 1):
+        index.add(docs.filter(F.pmod("doc_id", F.lit(2)) == odd), "doc_id", "text")
+    return q.withColumn("query", F.regexp_extract("query", FIRST_WORDS, 0)), index
+
+
+def stored_bm25(spark: SparkSession, d: str) -> DataFrame:
+    q, index = _stored(spark, d)
+    return _scores(index.bm25(q, 20))
+
+
+def stored_sparse(spark: SparkSession, d: str) -> DataFrame:
+    q, index = _stored(spark, d)
+    return _scores(index.sparse(search.sparse_vectors(q, "query_id", "query").withColumnRenamed("id", "query_id"), 20))
+
+
 def fused_store(spark: SparkSession, d: str) -> DataFrame:
     return _scores(search.fuse([(_sparse(spark, d, 30), 1.0), (_bm25(spark, d, 30), 1.0)], 10, 2.0, first=0))
 
@@ -390,7 +416,7 @@ QUERIES = {
     for f in (
         token_counts, content_ids, query_checks, injection_flags, query_routes, query_expansions, stop_words, turn_overlap, pii_redacted, pii_counts, pii_findings, licenses,
         sentences, structure_chunks, length_chunks, recursive_chunks, semantic_breaks, markdown_sections, latex_text, latex_sections, llm_items, code_units, code_units_raw, dense_topk,
-        dense_topk_filtered, cosine_pairs, sparse_topk, bm25_topk, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
+        dense_topk_filtered, cosine_pairs, sparse_topk, bm25_topk, stored_bm25, stored_sparse, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
         deleted, eval_by_query, eval_metrics, latency, semantic_chunks, oversize_parts, valid_chunks, route_weights, sanitized_queries, previews, version_stamps, batch_sizes,
         path_order, metadata_redacted, copyrights,
     )

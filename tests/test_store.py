@@ -10,6 +10,8 @@ from inkwell.operators.parsing import parse_markdown as markdown
 from inkwell.plans.bench import Benchmark
 from inkwell.plans.index import index_chunks, index_folder, search_points
 from inkwell.sources import files
+from inkwell.operators import search
+from inkwell.sources import postings
 from inkwell.sources.store import ConflictError, PointStore, Table, load_hashes, load_status
 from inkwell.streaming.ingest import index_stream
 
@@ -246,3 +248,52 @@ def test_a_source_too_deep_to_parse_does_not_end_the_run(spark, tmp_path):
     assert index_folder(spark, store, f"file://{docs}")["points"] == 2
     (failed,) = store.errors("documents").read().collect()
     assert failed["path"].endswith("deep.py") and failed["error"].startswith("too deep")
+
+
+def _results(df):
+    return sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+
+
+def test_stored_postings(spark, tmp_path, monkeypatch):
+    """Equal to a search over all texts, in one increment, after another one and after compaction; words of many texts lie in slices and blocks."""
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "SLICE", 40)
+    texts = [(f"d{i}", " ".join(["common"] * (i % 7 + 1) + [f"w{i % 13}", f"rare{i}" if i % 3 else "", "tail " * (i % 11)])) for i in range(200)] + [("empty", ""), (None, "common"), ("null", None)]
+    docs = spark.createDataFrame(texts, "id string, content string")
+    queries = spark.createDataFrame([(1, "common w3 rare4"), (2, "rare7 common common"), (3, "nothing"), (4, "w1 tail"), (5, "")], "query_id long, query string")
+    index = postings.Postings(spark, f"file://{tmp_path}/postings")
+    numbers = F.expr("try_cast(substring(id, 2, 9) as int)")
+    assert index.bm25(queries, 3).count() == 0
+    index.add(docs.filter(F.coalesce(numbers % 2, F.lit(0)) == 0))
+    index.add(docs.filter(numbers % 2 == 1))
+    numbered = docs.filter("id like 'd%'").withColumn("number", numbers.cast("long")).unionByName(spark.createDataFrame([("empty", "", 900), ("null", None, 901)], "id string, content string, number long"))
+    terms = search.sparse_vectors(queries, "query_id", "query").withColumnRenamed("id", "query_id")
+    for k in (1, 5, 300):
+        want = {}
+        for name, found in (("bm25", search.Bm25(numbered, "number").topk(queries, 300)), ("sparse", search.lexical_topk(terms, numbered, 300, "number"))):
+            best = {}
+            for q, _, i, s in _results(found):
+                best.setdefault(q, []).append((-s, f"d{i}"))
+            want[name] = sorted((q, n, i, -s) for q, x in best.items() for n, (s, i) in enumerate(sorted(x)[:k], 1))
+        assert _results(index.bm25(queries, k)) == want["bm25"]
+        assert _results(index.sparse(terms, k)) == want["sparse"]
+    rare = spark.createDataFrame([(1, "rare4 common")], "query_id long, query string")
+    assert [r["id"] for r in index.bm25(rare, 1).collect()] == ["d4"] and index.blocks_read < index.blocks_met
+    before = _results(index.bm25(queries, 5))
+    index.compact()
+    assert _results(index.bm25(queries, 5)) == before and len(index._current()[1]) == 1
+
+
+def test_two_writers_of_postings(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("a", "one two")], "id string, content string")
+    index, other = (postings.Postings(spark, f"file://{tmp_path}/postings") for _ in range(2))
+    write = index._write
+
+    def slow(forward):
+        other.add(docs)
+        return write(forward)
+
+    monkeypatch.setattr(index, "_write", slow)
+    with pytest.raises(ConflictError):
+        index.add(docs)
+    assert other.statistics()[0] == 1
