@@ -21,6 +21,9 @@ from inkwell.functions.text import word_tokens
 
 #: Numbers of one score matrix in a task.
 CELLS = 1 << 22
+#: Points and bytes of one block, about.
+BLOCK_POINTS = 10_000
+BLOCK_BYTES = 64 << 20
 #: Queries of one block.
 BLOCK = 512
 #: Queries up to which their blocks are sent to all executors; of more, blocks are paired by shuffle.
@@ -31,6 +34,8 @@ DIGITS = 9
 OVERFETCH = 3
 #: Rows up to which a table of query terms is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of results up to which the driver holds them between two steps of a search.
+HELD_ROWS = 50_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,6 +43,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def held(df: DataFrame, rows: int = HELD_ROWS) -> DataFrame:
+    """`df` evaluated once and broadcast if it has at most so many rows, which the driver then holds; else as it is."""
+    found = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if len(found) <= rows else df
+
+
 def ranked(scores: DataFrame, k: int, query: str = "query_id", doc: str = "id", score: str = "score") -> DataFrame:
     """The best k of each query with their rank from 1; ties go to the smaller identifier."""
     order = Window.partitionBy(query).orderBy(F.desc(score), doc)
@@ -94,11 +105,23 @@ def _few(queries: DataFrame) -> bool:
     return queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to blocks of BLOCK_POINTS rows or BLOCK_BYTES, whatever size of batch the session has."""
+    found: list[pa.RecordBatch] = []
+    for batch in batches:
+        found.append(batch)
+        if sum(b.num_rows for b in found) >= BLOCK_POINTS or sum(b.nbytes for b in found) >= BLOCK_BYTES:
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            found = []
+    if found:
+        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+
 def _vector_blocks(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """(name_ids, name_width, name_vectors): vectors of one length in a row, unit vectors but for those of norm zero."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             sizes = np.diff(vectors.offsets.to_numpy())
             flat, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
@@ -157,7 +180,7 @@ def term_topk(queries: DataFrame, points: DataFrame, k: int, weigh: Callable[[np
     names = ["id", "terms"] if weigh else ["id", "terms", "weights"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             terms = batch.column("terms")
             coded = pa.ListArray.from_arrays(terms.offsets, terms.flatten().dictionary_encode())  # each word once
             own = pa.RecordBatch.from_arrays([coded if n == "terms" else batch.column(n) for n in names], names=names)

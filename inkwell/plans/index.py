@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from inkwell.functions.hashing import chunk_hash, point_id
 from inkwell.functions.routing import route
 from inkwell.functions.text import sanitized_query, word_tokens
 from inkwell.operators import governance, ranking, search
+from inkwell.sources.claims import Folder
 from inkwell.sources.files import Strategies, new_files, read_chunks, scan_files, valid_chunks
 from inkwell.sources.store import PointStore, payload, upsert
 
@@ -39,13 +41,13 @@ def word_sparse(content: Column) -> Column:
 def to_points(chunks: DataFrame, dense: Callable[[Column], Column] = hashed_dense, sparse: Callable[[Column], Column] = word_sparse, redact_content: bool = False) -> DataFrame:
     """Points of chunks that have a chunk_hash: one for each hash, with vectors, metadata, copyright columns and the number of copies.
 
-    Metadata is redacted, and content too if asked for.  A license is that of the metadata
+    Of copies the one whose source, place and metadata come first gives the metadata.  Metadata is redacted, and content too if asked for.  A license is that of the metadata
     (`license`, `copyright_license`), or else one that the source names.
     """
     more = {"doc_hash": "string", "chunk_index": "int", "total_chunks": "int", "metadata": "map<string,string>"}
     full = chunks.select(*chunks.columns, *[F.lit(None).cast(t).alias(c) for c, t in more.items() if c not in chunks.columns])
     fields = ["content", "source", "chunk_type", *more]
-    once = full.groupBy("chunk_hash").agg(F.first(F.struct(*fields)).alias("x"), F.count(F.lit(1)).alias("copies")).select("chunk_hash", "copies", "x.*")
+    once = full.groupBy("chunk_hash").agg(F.min_by(F.struct(*fields), F.struct("source", "chunk_index", "doc_hash", F.to_json("metadata"))).alias("x"), F.count(F.lit(1)).alias("copies")).select("chunk_hash", "copies", "x.*")
     content = governance.redact(F.col("content")) if redact_content else F.col("content")
     metadata = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     named = [F.try_element_at(metadata, F.lit(k)) for k in ("license", "copyright_license")]
@@ -78,7 +80,11 @@ def index_folder(
     processed = store.processed(collection)
     seen = processed.read() if incremental else processed.read().limit(0)
     fresh = new_files(scan_files(spark, path, known, recursive), seen)
-    chunks = read_chunks(fresh, strategies)
+    # Parsed once: errors and points both come from what is written here.
+    run = f"{store.path}/{collection}/runs/{uuid.uuid4().hex}"
+    parsed = read_chunks(fresh, strategies)
+    parsed.write.parquet(run)
+    chunks = spark.read.schema(parsed.schema).parquet(run)
     skipped = scan_files(spark, path, None, recursive).select("path", F.coalesce("error", F.when(~F.col("suffix").isin(*known), "no_strategy")).alias("error"))
     failed = skipped.unionByName(chunks.select(F.col("source").alias("path"), "error")).filter("error is not null").distinct()
     errors = store.errors(collection)
@@ -92,6 +98,7 @@ def index_folder(
         new = processed.part(part)
         processed.change(lambda old: upsert(old, new, "file_hash"))
         processed.drop_part(part)
+    Folder(spark, run).delete()
     return found
 
 

@@ -344,9 +344,9 @@ def score_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_texts(found: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Results with the texts of query and document.  The results go to the texts if they are few, and not all texts through a shuffle."""
-    hits = found.join(search.small(queries), "query_id")
-    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(search.small(hits), "id")
+    """Results with the texts of query and document.  The search runs once; its results go to the texts if they are few, and not all texts through a shuffle."""
+    hits = search.held(found).join(search.small(queries), "query_id")
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(hits, "id")
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import word_tokens
-from inkwell.operators.search import DIGITS, ranked, small
+from inkwell.operators.search import DIGITS, HELD_ROWS, held, ranked, small
 from inkwell.sources.claims import Folder
 from inkwell.sources.store import ConflictError
 
@@ -34,8 +34,6 @@ BLOCK = 256
 SLICE = 65_536
 #: Words of a query, those of the greatest possible score, that give the first texts.
 SEEDS = 4
-#: Rows of words of queries, and of the best texts, up to which the driver holds them between the rounds of a search.
-HELD_ROWS = 50_000
 #: Rounding of sums; a bound is taken for lower than a score only by more than this.
 SLACK = 1e-6
 
@@ -164,19 +162,19 @@ class Postings:
 
         `wanted` has query_id, term, weight; a contribution grows with the count and not with the length.
         """
-        wanted = self._held(wanted)
+        wanted = held(wanted)
         buckets = [r[0] for r in wanted.select(_bucket(F.col("term"))).distinct().collect()]  # BUCKETS at most
         blocks = self._read("blocks").filter(F.col("bucket").isin(buckets))
         wanted = small(wanted)
         # Words that no text has are gone from here on.  A negative weight adds 0 at most.
         headers = blocks.select("term", "max_tf", "min_length").join(wanted, "term").withColumn("most", F.greatest(F.lit(0.0), F.col("weight") * contribution(F.col("max_tf"), F.col("min_length"))))
         terms = headers.groupBy("query_id", "term", "weight").agg(F.max("most").alias("most"), F.count(F.lit(1)).alias("blocks"))
-        terms = self._held(terms)
+        terms = held(terms)
         by_bound = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
         # First round: texts that have the strongest words, scored exactly; the k-th of them is a score to beat.
         seeds = terms.withColumn("nth", F.row_number().over(by_bound)).filter(F.col("nth") <= SEEDS)
-        first = self._held(ranked(self._sums(blocks, seeds, contribution), k))
-        known = self._held(ranked(self._exact(first, wanted, contribution), k))
+        first = held(ranked(self._sums(blocks, seeds, contribution), k))
+        known = held(ranked(self._exact(first, wanted, contribution), k))
         beat = known.filter(F.col("rank") == k).select("query_id", F.col("score").alias("beat"))
         # Second round: words that together stay below that score need not be read.
         up = Window.partitionBy("query_id").orderBy("most", F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -185,7 +183,7 @@ class Postings:
         bounds = bounds.withColumn("left_out", F.col("below") < F.col("beat"))
         rest = F.sum(F.when(F.col("left_out"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query_id"))
         bounds = bounds.withColumn("rest", rest)
-        bounds = self._held(bounds)
+        bounds = held(bounds)
         read = bounds.filter(~F.col("left_out"))
         bound = F.col("weight") * contribution(F.col("max_tf"), F.col("min_length"))
         met = F.greatest(F.lit(0.0), bound) + F.col("all") - F.col("most") >= F.col("beat")
@@ -202,11 +200,6 @@ class Postings:
         self.blocks_read = self.blocks_met
         return ranked(self._sums(blocks, wanted, contribution).withColumn("score", F.round("score", DIGITS)), k)
 
-    def _held(self, rows: DataFrame) -> DataFrame:
-        """`rows` evaluated once and held by the driver if there are at most HELD_ROWS of them, else as they are."""
-        found = rows.limit(HELD_ROWS + 1).collect()
-        return self.spark.createDataFrame(found, rows.schema) if len(found) <= HELD_ROWS else rows
-
     def _sums(self, blocks: DataFrame, terms: DataFrame, contribution: Contribution, chosen: Column | None = None) -> DataFrame:
         """(query_id, id, score): sums over `terms` (query_id, term, weight) by their blocks."""
         joined = blocks.join(small(terms), "term")

@@ -181,3 +181,16 @@ def test_code_units_of_whole_tables(spark, sf):
     found = queries.code_units_raw(spark, f"/root/testdata/{sf}")
     assert found.filter("error like 'too deep%'").count() > 0
     assert found.filter("type is null and error is null").count() == 0
+
+
+def test_blocks_do_not_depend_on_the_batches_of_the_session(spark):
+    points = spark.range(60).repartition(2).select("id", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double"), F.lit(1.0)).alias("embedding"))
+    words = points.select("id", F.concat_ws(" ", F.lit("a"), F.concat(F.lit("w"), F.col("id") % 6)).alias("content"))
+    key, queries = "spark.sql.execution.arrow.maxRecordsPerBatch", points.filter("id < 3").withColumnRenamed("id", "query_id")
+    found, before = [], spark.conf.get(key)
+    for size in ("7", before):
+        spark.conf.set(key, size)
+        assert search._vector_blocks(points, "p").count() == 2
+        terms = spark.createDataFrame([(1, "w1", 1.0), (2, "a", 1.0)], "query_id long, term string, weight double")
+        found.append((sorted(map(tuple, search.dense_topk(queries, points, 9).collect())), sorted(map(tuple, search.lexical_topk(terms, words, 9).collect()))))
+    assert found[0] == found[1]
