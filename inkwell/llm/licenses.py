@@ -50,6 +50,12 @@ _ISC_BODY = (
 _BSD_ENDORSE = "to endorse or promote products derived from this software without specific prior written permission."
 _BSD_NAMES = f"Neither the name of the copyright holder nor the names of its contributors may be used {_BSD_ENDORSE}"
 
+#: Identifiers whose line of the form SPDX-License-Identifier: ... is a grant.
+SPDX = (
+    "Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSL-1.0", "Zlib", "EPL-2.0", "Unlicense",
+)
+
 #: Wordings of grants by SPDX identifier.  Fixed values: the notices that the licenses themselves ask for.
 #: The BSD licenses begin alike, so their conditions tell them apart; the beginning alone is LicenseRef-BSD.
 TEMPLATES: list[tuple[str, str]] = [
@@ -92,6 +98,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("Proprietary", "All rights reserved."),
+    *((n, f"SPDX-License-Identifier: {n}") for n in SPDX),
 ]
 #: Words that begin a search: only text around one of them can be a grant.  A space stands for whatever is between words.
 CUES = ("licens", "permission", "redistribut", "free software", "public domain", "rights reserved", "source code form")
@@ -102,6 +109,11 @@ MIN_WORDING = 0.9
 #: One word in so many of the template's may come in between.
 EXTRA = 4
 
+#: A word of denial refutes a grant that begins within so many words after it.
+DENIAL = 3
+_DENYING = frozenset("not never isn aren wasn weren".split())
+_SENTENCE_END = re.compile(r"[.;:!?](?:\s|$)")
+
 #: Words that tell licenses apart: a difference in one of them refutes a template.
 _TELLING = frozenset(
     "apache mit gnu gpl lesser affero general bsd 2 3 2.0 2.1 3.0 4.0 1.0 2-clause 3-clause clause mozilla cc cc0 by by-sa by-nc by-nd sharealike noncommercial "
@@ -135,6 +147,14 @@ def _lower(text: str) -> str:
     return low
 
 
+def denied(text: str, words: list[str], starts: array, first: int) -> bool:
+    """Whether one of the DENIAL words before a grant, in its sentence, says that it is none."""
+    for k in range(max(0, first - DENIAL), first):
+        if words[k] in _DENYING and not _SENTENCE_END.search(text, starts[k], starts[first]):
+            return True
+    return False
+
+
 class Scanner:
     """Templates with their dictionaries; opened once in a worker."""
 
@@ -210,6 +230,8 @@ class Scanner:
                     continue
                 if span := next((x for k in places if (x := self.confirm(words, taken, i, j, k))), None):
                     first, last = span
+                    if denied(text, words, starts, first):
+                        continue
                     taken[first:last] = b"\1" * (last - first)
                     out.append((starts[first], ends[last - 1], TEMPLATES[i][0], cut))
                 else:
@@ -245,6 +267,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     license:start:end by start (code points, end exclusive).  best_reduction: largest share by which
     a template shrinks the block of a confirmed grant, 0 without one, to six digits.
 
+    A grant that a word such as "not" precedes in its sentence, within DENIAL words, is none.
     A null or empty text grants nothing.  Rows are scanned by themselves, so repeated rows and
     identifiers are kept; of confirmed templates that overlap, the one that saves most bytes leads, then the
     first in the list.  A grant may stand within a line or run over several.

@@ -7,6 +7,7 @@ import re
 import textwrap
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.llm import licenses, pii, toxicity
@@ -319,3 +320,16 @@ def test_long_runs_of_capitals():
     finder = toxicity._Finder([])
     assert finder.find("A" * 1_000_000) == []
     assert finder.find("x" + "LOUD, " * 4) == finder.find("LOUD WORDS 1 MORE !NOISE") == [finder.first_pattern]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("This file is not licensed under the MIT License.", ""), ("It isn't released under the MIT License", ""), ("Not all rights reserved.", ""), ("never was Licensed under CC BY 4.0.", ""),
+        ("This is not it. Licensed under the MIT License.", "MIT"), ("Not long ago this was, by its authors, licensed under the MIT License.", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"), ("SPDX-License-Identifier: none", ""),
+        ("Use of the SPDX-License-Identifier: tag", ""),
+    ],
+)
+def test_denials_and_tags(text, want):
+    assert ",".join(n for _, _, n, _ in licenses.Scanner().scan(text)) == want
