@@ -8,16 +8,18 @@ import sys
 from pyspark.sql import SparkSession
 
 from inkwell.plans.index import index_folder, search_points
+from inkwell.settings import Settings
 from inkwell.sources.store import PointStore
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="inkwell")
-    parser.add_argument("--store", required=True, help="folder of the point store")
+    settings = Settings.load()
+    parser.add_argument("--store", default=settings.store, help="folder of the point store; by default that of the settings")
     parser.add_argument("--collection", default="documents")
     commands = parser.add_subparsers(dest="command", required=True)
     index = commands.add_parser("index")
-    index.add_argument("folder")
+    index.add_argument("folder", nargs="?", default=settings.documents)
     index.add_argument("--all", action="store_true", help="read and index again what earlier runs have")
     index.add_argument("--flat", action="store_true", help="leave out folders within the folder")
     search = commands.add_parser("search")

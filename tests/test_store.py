@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell import Settings
+from inkwell.cli import main
 from inkwell.operators.parsing import parse_markdown as markdown
 from inkwell.plans.bench import Benchmark
 from inkwell.plans.index import index_chunks, index_folder, search_points
@@ -297,3 +298,13 @@ def test_two_writers_of_postings(spark, tmp_path, monkeypatch):
     with pytest.raises(ConflictError):
         index.add(docs)
     assert other.statistics()[0] == 1
+
+
+def test_commands_use_the_settings(spark, tmp_path, monkeypatch, capsys):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.md").write_text("# A\ngreen apples")
+    monkeypatch.setenv("INKWELL_STORE", f"file://{tmp_path}/store")
+    monkeypatch.setenv("INKWELL_DOCUMENTS", f"file://{docs}")
+    assert main(["index"]) == 0 and PointStore(spark, f"file://{tmp_path}/store").count("documents") == 1
+    assert main(["search", "apples"]) == 0 and "green apples" in capsys.readouterr().out
