@@ -45,6 +45,8 @@ GAP = 2
 GAPS = 32
 #: Words that a task counts before it hands its counts on.
 COUNTED = 200_000
+#: Words that a task indexes.
+TASK_WORDS = 50_000
 
 
 def noisy(doc_id: int | None, run: str) -> str:
@@ -149,6 +151,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     order = {g: k for k, (_, g) in enumerate(sorted((n, g) for g, n in counts.items()))}
     # Numbers stand for words where they meet; written, so that they stay the same.
     numbered = materialize(words.withColumn("id", F.monotonically_increasing_id()), "numbered-words")
+    # Words are few bytes but much work, so they are dealt by number and not as they lie in files.
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() // TASK_WORDS))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,7 +166,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
                         rows.append((around, i, word[front : n - back], longer))
             yield pd.DataFrame(rows, columns=["around", "id", "gap", "longer"])
 
-    parts = materialize(numbered.mapInPandas(index, "around long, id long, gap string, longer int"), "parts")
+    parts = materialize(numbered.repartition(tasks).mapInPandas(index, "around long, id long, gap string, longer int"), "parts")
     one, two = parts.filter("longer = 0").drop("longer").alias("one"), parts.alias("two")
     meets = one.join(two, "around").filter("two.longer = 1 or one.id < two.id").filter((F.length("one.gap") > GAPS) | (F.levenshtein("one.gap", "two.gap") == 1))
     pairs = meets.select(F.col("one.id").alias("id"), F.col("two.id").alias("other_id")).distinct()
