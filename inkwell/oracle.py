@@ -151,6 +151,13 @@ _JUDGED = f"""
 """
 _MEASURES = ["rr", "hit", *(f"{m}_{k}" for k in (5, 10, 20) for m in ("ndcg", "recall", "precision"))]
 
+_DENSE = """
+    WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))) AS x FROM e AS q JOIN e AS d ON q.id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, id) AS n FROM s)
+    SELECT query_id, id, round(x, 6) AS score FROM r WHERE n <= 30
+"""
+
 ORACLE_SQL = {
     "token_counts": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS t FROM documents) AS q",
     "content_ids": """
@@ -312,12 +319,9 @@ ORACLE_SQL = {
         )
         SELECT conv_id, turn, CASE WHEN NOT steers AND wrong IS NULL THEN searched END AS query, CASE WHEN steers THEN 'injection' ELSE wrong END AS error FROM h
     """,
-    "dense_topk": """
-        WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-        s AS (SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))) AS x FROM e AS q JOIN e AS d ON q.id % 100 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, id) AS n FROM s)
-        SELECT query_id, id, round(x, 6) AS score FROM r WHERE n <= 30
-    """,
+    "dense_topk": _DENSE,
+    "indexed_dense": _DENSE,
+    "indexed_recall": "WITH q AS (SELECT count(*) AS queries FROM embeddings WHERE vec_id % 100 = 0) SELECT queries, queries * 10 AS wanted, true AS reached FROM q",
     "dense_topk_filtered": """
         WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         s AS (SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(d.v, d.v))) AS x FROM e AS q JOIN e AS d ON q.id % 100 = 0 AND d.label = 3),

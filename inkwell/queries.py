@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import hashing, rewriting, routing, sizing, text, vectors
 from inkwell.operators import chunking, governance, metrics, parsing, ranking, search
 from inkwell.sources import files, store
+from inkwell.sources.centroids import VectorIndex
 from inkwell.sources.postings import Postings
 from inkwell.sources.tables import read_table, shared_folder
 
@@ -275,6 +276,30 @@ def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.dense_topk(q, points.filter(search.payload_filter({"label": 3})), 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark: SparkSession, points: DataFrame) -> VectorIndex:
+    """An index of all vectors that grew by an increment."""
+    index = VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", "long")
+    for odd in (0, 1):
+        index.add(points.filter(F.pmod("id", F.lit(2)) == odd))
+    return index
+
+
+def indexed_dense(spark: SparkSession, d: str) -> DataFrame:
+    """`dense_topk` from a stored index, by its exact search."""
+    q, points = _query_vectors(spark, d)
+    return _scores(_vector_index(spark, points).topk(q, 30, exact=True))
+
+
+def indexed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether as many probes as other queries call for find nine tenths of the results of all vectors."""
+    q, points = _query_vectors(spark, d)
+    index = _vector_index(spark, points)
+    probes = index.probes_for(points.filter("id % 100 = 50").withColumnRenamed("id", "query_id"), 10)
+    found = index.topk(q, 10, probes).select("query_id", "id", F.lit(1).alias("hit"))
+    both = search.dense_topk(q, points, 10).join(found, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of each vector to the one seven numbers on."""
     points = _table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
@@ -416,7 +441,7 @@ QUERIES = {
     for f in (
         token_counts, content_ids, query_checks, injection_flags, query_routes, query_expansions, stop_words, turn_overlap, pii_redacted, pii_counts, pii_findings, licenses,
         sentences, structure_chunks, length_chunks, recursive_chunks, semantic_breaks, markdown_sections, latex_text, latex_sections, llm_items, code_units, code_units_raw, dense_topk,
-        dense_topk_filtered, cosine_pairs, sparse_topk, bm25_topk, stored_bm25, stored_sparse, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
+        dense_topk_filtered, indexed_dense, indexed_recall, cosine_pairs, sparse_topk, bm25_topk, stored_bm25, stored_sparse, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
         deleted, eval_by_query, eval_metrics, latency, semantic_chunks, oversize_parts, valid_chunks, route_weights, sanitized_queries, previews, version_stamps, batch_sizes,
         path_order, metadata_redacted, copyrights,
     )
