@@ -389,6 +389,12 @@ ORACLE_SQL = {
         UNION ALL SELECT CAST(n_nationkey AS BIGINT), -1, 0.0e0 FROM nation WHERE n_nationkey NOT IN (SELECT id FROM n)
     """,
     "deleted": "SELECT doc_id AS id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "stored_changes": """
+        WITH l AS (SELECT l_orderkey AS id, sum(CAST(l_extendedprice AS DOUBLE)) AS price, bool_or(l_returnflag = 'R') AS back FROM lineitem GROUP BY l_orderkey)
+        SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderstatus = 'O' AND l.id IS NOT NULL THEN 'summed' ELSE o_orderstatus END AS status,
+            round(CASE WHEN o_orderstatus = 'O' AND l.id IS NOT NULL THEN l.price ELSE CAST(o_totalprice AS DOUBLE) END, 2) AS price
+        FROM orders LEFT JOIN l ON l.id = o_orderkey WHERE coalesce(NOT back, true)
+    """,
     "eval_by_query": _JUDGED + "SELECT query_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in _MEASURES) + " FROM m",
     "eval_metrics": _JUDGED
     + " UNION ALL ".join(

@@ -14,7 +14,7 @@ from inkwell.functions.text import sanitized_query, word_tokens
 from inkwell.operators import governance, ranking, search
 from inkwell.sources.claims import Folder
 from inkwell.sources.files import Strategies, new_files, read_chunks, scan_files, valid_chunks
-from inkwell.sources.store import PointStore, payload, upsert
+from inkwell.sources.store import PointStore, payload
 
 #: Numbers of a default dense vector.
 WIDTH = 64
@@ -95,9 +95,7 @@ def index_folder(
     if incremental:
         processed.append_part(part)
     else:
-        new = processed.part(part)
-        processed.change(lambda old: upsert(old, new, "file_hash"))
-        processed.drop_part(part)
+        processed.upsert_part(part)
     Folder(spark, run).delete()
     return found
 

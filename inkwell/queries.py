@@ -407,6 +407,18 @@ def upserted(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(old, rows.filter("balance > 0"), "id", "balance")
 
 
+def stored_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in a stored table: those that are open are replaced by what their lines come to, then those with a returned line are removed."""
+    table = store.Table(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", "id long, status string, price double")
+    lines = _table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "id")
+    orders = _table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"))
+    table.append(orders)
+    sums = lines.groupBy(F.col("id").cast("long").alias("id")).agg(F.sum(F.col("l_extendedprice").cast("double")).alias("price"))
+    table.upsert(orders.filter("status = 'O'").select("id").join(sums, "id").select("id", F.lit("summed").alias("status"), "price"))
+    table.remove(lines.filter("l_returnflag = 'R'").select(F.col("id").cast("long")))
+    return table.read().select("id", "status", F.round("price", 2).alias("price"))
+
+
 def deleted(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
     return store.without(docs, _table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")))
@@ -442,7 +454,7 @@ QUERIES = {
         token_counts, content_ids, query_checks, injection_flags, query_routes, query_expansions, stop_words, turn_overlap, pii_redacted, pii_counts, pii_findings, licenses,
         sentences, structure_chunks, length_chunks, recursive_chunks, semantic_breaks, markdown_sections, latex_text, latex_sections, llm_items, code_units, code_units_raw, dense_topk,
         dense_topk_filtered, indexed_dense, indexed_recall, cosine_pairs, sparse_topk, bm25_topk, stored_bm25, stored_sparse, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
-        deleted, eval_by_query, eval_metrics, latency, semantic_chunks, oversize_parts, valid_chunks, route_weights, sanitized_queries, previews, version_stamps, batch_sizes,
+        deleted, stored_changes, eval_by_query, eval_metrics, latency, semantic_chunks, oversize_parts, valid_chunks, route_weights, sanitized_queries, previews, version_stamps, batch_sizes,
         path_order, metadata_redacted, copyrights,
     )
 }

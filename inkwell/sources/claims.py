@@ -29,6 +29,10 @@ class Folder:
     def has(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
 
+    def size(self, name: str) -> int:
+        """Bytes of a file or folder in this one."""
+        return self._fs.getContentSummary(self._at(name)).getLength()
+
     def claim(self, name: str, content: object) -> bool:
         """Make a file with this content; False if there is one of that name.  Of several writers, one succeeds."""
         self._fs.mkdirs(self._at(""))

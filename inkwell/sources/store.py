@@ -3,8 +3,13 @@
 A version is a small file that lists the parts of a table.  A change writes a
 part aside and then claims the next version, so a reader sees the old or the
 new version, a failed write leaves the old one, and of two writers that began
-at one version only one succeeds.  New rows are a part of their own; parts are
-folded together when there are many.
+at one version only one succeeds.
+
+A change by key rewrites nothing.  The parts of a version have an order: a part is of new rows, of rows that
+replace earlier ones of their keys ('+'), or of keys whose earlier rows are gone ('-'), and what
+counts is settled by the reader.  When there are many parts, the last ones are folded together, and of earlier
+ones those that are not much larger than what is folded already; so a row is written again
+only a few times, however often the table changes.
 """
 
 from __future__ import annotations
@@ -15,7 +20,9 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from inkwell.operators.search import small
 from inkwell.sources.claims import Folder
 
 POINTS = (
@@ -26,8 +33,10 @@ STATUS = "chunk_hash string, ts timestamp"
 PROCESSED = "file_hash string, ts timestamp"
 VERSIONS = "chunk_hash string, indexed boolean, collection string, ts timestamp"
 ERRORS = "path string, error string"
-#: Parts of a table from which on the next change folds them together, and versions that stay readable.
+#: Parts of a table from which on the next change folds the last half of them, and those before of at most FOLD times the bytes folded so far.
 MOST_PARTS = 64
+FOLD = 4
+#: Versions that stay readable.
 KEPT_VERSIONS = 2
 
 
@@ -35,11 +44,17 @@ class ConflictError(RuntimeError):
     """Another writer made the next version first; the change may be made again."""
 
 
+def _name(entry: str) -> str:
+    """The folder of a part, without the sign of its kind."""
+    return entry.lstrip("+-")
+
+
 class Table:
-    """One versioned table in a folder."""
+    """One versioned table in a folder; its key is the first column unless another is named."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | None = None) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key = key or schema.split()[0]
         self._versions = Folder(spark, f"{self.path}/versions")
         self._data = Folder(spark, f"{self.path}/data")
 
@@ -52,9 +67,31 @@ class Table:
         return bool(self._versions.names())
 
     def _of(self, parts: list[str], schema: str | None = None) -> DataFrame:
-        if not parts:
+        """The rows that count of parts in this order."""
+        holders = [p for p in parts if not p.startswith("-")]
+        if not holders:
             return self.spark.createDataFrame([], schema or self.schema)
-        return self.spark.read.schema(schema or self.schema).parquet(*[f"{self.path}/data/{p}" for p in parts])
+        rows = self.spark.read.schema(schema or self.schema).parquet(*[f"{self.path}/data/{_name(p)}" for p in holders])
+        # Parts before the first that has rows have nothing to take away from.
+        if not any(p[0] in "+-" for p in parts[parts.index(holders[0]) + 1 :]):
+            return rows
+        names = rows.columns
+        numbered = rows.select(*names, self._place(parts).alias("_place"))
+        gone = small(self._keys(parts).withColumnRenamed(self.key, "_gone"))
+        kept = numbered.join(gone, F.col(self.key) == F.col("_gone"), "left").filter(F.col("_since").isNull() | (F.col("_since") <= F.col("_place")))
+        return kept.select(*names)
+
+    def _place(self, parts: list[str]) -> Column:
+        """A row's part, as its place among `parts`."""
+        places = F.create_map(*[F.lit(x) for at, p in enumerate(parts) for x in (_name(p), at)])
+        return places[F.regexp_extract("_metadata.file_path", "/data/([0-9a-f]+)/[^/]*$", 1)]
+
+    def _keys(self, parts: list[str]) -> DataFrame:
+        """(key, _since): keys that parts replace or take away, with the place of the last such part."""
+        telling = [p for p in parts if p[0] in "+-"]
+        kind = self.spark.createDataFrame([], self.schema).schema[self.key].dataType
+        keys = self.spark.read.schema(StructType([StructField(self.key, kind)])).parquet(*[f"{self.path}/data/{_name(p)}" for p in telling])
+        return keys.select(self.key, self._place(parts).alias("_since")).groupBy(self.key).agg(F.max("_since").alias("_since")).filter(F.col(self.key).isNotNull())
 
     def read(self) -> DataFrame:
         return self._of(self._current()[1])
@@ -69,11 +106,12 @@ class Table:
         return self._of([name], schema)
 
     def drop_part(self, name: str) -> None:
-        self._data.delete(name)
+        self._data.delete(_name(name))
 
-    def _claim(self, number: int, parts: list[str], own: str) -> None:
+    def _claim(self, number: int, parts: list[str], *own: str) -> None:
         if not self._versions.claim(f"{number + 1:012d}", parts):
-            self.drop_part(own)
+            for p in own:
+                self.drop_part(p)
             raise ConflictError(self.path)
         old = [n for n in self._versions.names() if int(n) <= number + 1 - KEPT_VERSIONS]
         if old:  # parts that only versions before the kept ones have
@@ -85,14 +123,47 @@ class Table:
                 self._versions.delete(n)
 
     def append_part(self, name: str) -> None:
-        """Make the next version: the current one and a written part, or one part of both if there are many parts."""
+        """Make the next version: the current one and a written part, folded if there are many parts."""
         number, parts = self._current()
-        if len(parts) >= MOST_PARTS:
-            whole = self.write_part(self._of([*parts, name]))
-            self._claim(number, [whole], whole)
-            self.drop_part(name)
-        else:
-            self._claim(number, [*parts, name], name)
+        every = [*parts, name]
+        if len(parts) < MOST_PARTS:
+            self._claim(number, every, name)
+            return
+        first = self._fold_from(every)
+        made = self._folded(every[first:], whole=first == 0)
+        self._claim(number, [*every[:first], *made], *made, name)
+        self.drop_part(name)
+
+    def _fold_from(self, parts: list[str]) -> int:
+        """Place of the first of the last parts that are folded."""
+        sizes = [self._data.size(_name(p)) for p in parts]  # MOST_PARTS of them
+        first = len(parts) // 2
+        while first and sizes[first - 1] <= FOLD * sum(sizes[first:]):
+            first -= 1
+        return first
+
+    def _folded(self, parts: list[str], whole: bool) -> list[str]:
+        """Write what the last parts come to: the keys that they take from earlier ones, and their rows."""
+        made = []
+        if not whole and any(p[0] in "+-" for p in parts):
+            made.append("-" + self.write_part(self._keys(parts).select(self.key)))
+        return [*made, self.write_part(self._of(parts))]
+
+    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
+        """Rows replace those of their keys; of several of one key the one of the greatest `order` counts.  Only these rows are written."""
+        self.append_part("+" + self.write_part(_last(rows, self.key, order)))
+
+    def upsert_part(self, name: str) -> None:
+        """`upsert` of a written part, whose keys differ."""
+        self.append_part("+" + name)
+
+    def remove(self, keys: DataFrame) -> None:
+        """Take away the rows of these keys.  Only the keys are written."""
+        self.append_part("-" + self.write_part(keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()))
+
+    def compact(self) -> None:
+        """Fold all parts into one."""
+        self.change(lambda old: old)
 
     def append(self, rows: DataFrame) -> None:
         self.append_part(self.write_part(rows))
@@ -111,13 +182,17 @@ class Table:
         Folder(self.spark, self.path).delete()
 
 
+def _last(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row of each key: any, or the one of the greatest `order`."""
+    if order is None:
+        return rows.dropDuplicates([key])
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Old rows whose key does not come again, and the last of the new rows of each key."""
-    if order is None:
-        last = new.dropDuplicates([key])
-    else:
-        nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-        last = new.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    last = _last(new, key, order)
     return old.join(last.select(key), key, "left_anti").unionByName(last)
 
 
@@ -177,7 +252,7 @@ class PointStore:
 
     def invalidate(self, collection: str, hashes: DataFrame) -> None:
         """Forget hashes (chunk_hash), so that their chunks are indexed again."""
-        self.status(collection).change(lambda old: without(old, hashes, "chunk_hash"))
+        self.status(collection).remove(hashes)
 
     def clear_status(self, collection: str) -> None:
         self.status(collection).change(lambda old: old.limit(0))
@@ -189,7 +264,7 @@ class PointStore:
     def add(self, collection: str, points: DataFrame, fresh: bool = False) -> tuple[int, int]:
         """Store points, then record their hashes: a failure between the two makes the next run index them again.
 
-        fresh: the collection has none of the points, so they are a new part and nothing is rewritten;
+        fresh: the collection has none of the points, so no reader looks for earlier ones;
         else they replace the points of the same id.  The points are computed once.  Returns the
         sum of their `copies`, or their number if they have none, and their number.
         """
@@ -206,9 +281,7 @@ class PointStore:
         if fresh:
             table.append_part(part)
         else:
-            new = table.part(part)
-            table.change(lambda old: upsert(old, new))
-            table.drop_part(part)
+            table.upsert_part(part)
         status.append_part(recorded)
         return copies, n
 
@@ -216,7 +289,7 @@ class PointStore:
         """Remove points and forget that they were indexed."""
         gone = self.points(collection).read().join(ids.select("id").distinct(), "id", "left_semi").select("chunk_hash")
         self.invalidate(collection, gone)
-        self.points(collection).change(lambda old: without(old, ids))
+        self.points(collection).remove(ids)
 
     def drop(self, collection: str) -> None:
         """Remove a collection with all that is remembered of it."""
