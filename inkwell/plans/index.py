@@ -58,12 +58,29 @@ def to_points(chunks: DataFrame, dense: Callable[[Column], Column] = hashed_dens
     )
 
 
-def index_chunks(store: PointStore, chunks: DataFrame, collection: str = "documents", incremental: bool = True, **options: object) -> dict[str, int]:
-    """Index chunks that the collection has not seen; the numbers of chunks and of new points."""
+def index_chunks(
+    store: PointStore, chunks: DataFrame, collection: str = "documents", incremental: bool = True, model: Callable[[Column], Column] | None = None, **options: object
+) -> dict[str, int]:
+    """Index chunks that the collection has not seen; the numbers of chunks and of new points.
+
+    model: an embedder of `operators.models` in place of the default vectors.  Points that it fails for are the rows of
+    `store.failed`; they are not indexed, and the next run tries them again.
+    """
     hashed = valid_chunks(chunks).withColumn("chunk_hash", chunk_hash(F.col("content"), F.col("source"), F.col("chunk_type")))
     fresh = store.unseen(collection, hashed) if incremental else hashed
-    n, points = store.add(collection, to_points(fresh, **options), fresh=incremental)
-    return {"chunks": n, "points": points}
+    if model is None:
+        n, points = store.add(collection, to_points(fresh, **options), fresh=incremental)
+        return {"chunks": n, "points": points}
+    # Vectors are computed once: points and failures both come from what is written here.
+    run = f"{store.path}/{collection}/runs/{uuid.uuid4().hex}"
+    computed = to_points(fresh, dense=model, **options)
+    computed.write.parquet(run)
+    made = store.spark.read.schema(computed.schema).parquet(run)
+    failed = store.failed(collection)
+    failed.replace(made.filter("dense.error is not null").select("id", "source", F.col("dense.error").alias("error")))
+    n, points = store.add(collection, made.filter("dense.error is null").withColumn("dense", F.col("dense.vector")), fresh=incremental)
+    Folder(store.spark, run).delete()
+    return {"chunks": n, "points": points, "failed": failed.read().count()}
 
 
 def index_folder(

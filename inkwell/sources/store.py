@@ -33,6 +33,7 @@ STATUS = "chunk_hash string, ts timestamp"
 PROCESSED = "file_hash string, ts timestamp"
 VERSIONS = "chunk_hash string, indexed boolean, collection string, ts timestamp"
 ERRORS = "path string, error string"
+FAILED = "id string, source string, error string"
 #: Parts of a table from which on the next change folds the last half of them, and those before of at most FOLD times the bytes folded so far.
 MOST_PARTS = 64
 FOLD = 4
@@ -222,6 +223,10 @@ class PointStore:
         """The files that the last run over a folder could not index."""
         return Table(self.spark, f"{self.path}/{collection}/errors", ERRORS)
 
+    def failed(self, collection: str) -> Table:
+        """The points that the model of the last run failed for."""
+        return Table(self.spark, f"{self.path}/{collection}/failed", FAILED)
+
     def versions(self, collection: str) -> DataFrame:
         """When each chunk was indexed: chunk_hash, indexed, collection, ts."""
         return self.status(collection).read().select("chunk_hash", F.lit(True).alias("indexed"), F.lit(collection).alias("collection"), "ts")
