@@ -83,7 +83,7 @@ class VectorIndex:
             "lists": "list int, n long, low double, high double",
             "centroids": "list int, centroid array<double>, width int",
         }
-        #: Lists of the index that have vectors, and those that the last search read.
+        #: Lists of the index that have vectors, and those that the last search read; one that some queries probe and others go on to counts twice.
         self.lists_met = self.lists_read = 0
 
     def _current(self) -> tuple[int, str | None, list[str]]:
