@@ -97,15 +97,32 @@ def index_folder(
     processed = store.processed(collection)
     seen = processed.read() if incremental else processed.read().limit(0)
     fresh = new_files(scan_files(spark, path, known, recursive), seen)
+    skipped = scan_files(spark, path, None, recursive).select("path", F.coalesce("error", F.when(~F.col("suffix").isin(*known), "no_strategy")).alias("error"))
+    return index_files(store, fresh, skipped, collection, strategies, incremental)
+
+
+def index_files(
+    store: PointStore, fresh: DataFrame, skipped: DataFrame, collection: str = "documents", strategies: Strategies | None = None, incremental: bool = True, retried: DataFrame | None = None
+) -> dict[str, int]:
+    """Parse, chunk and index files (path, suffix, content, file_hash), and record them as processed.
+
+    `skipped` has the files that are not read (path, error; a null error is none).  They and those that fail become
+    the rows of `store.errors`; with `retried`, the paths of all that is read here, errors of other files stay.
+    """
+    spark = store.spark
+    processed = store.processed(collection)
     # Parsed once: errors and points both come from what is written here.
     run = f"{store.path}/{collection}/runs/{uuid.uuid4().hex}"
     parsed = read_chunks(fresh, strategies)
     parsed.write.parquet(run)
     chunks = spark.read.schema(parsed.schema).parquet(run)
-    skipped = scan_files(spark, path, None, recursive).select("path", F.coalesce("error", F.when(~F.col("suffix").isin(*known), "no_strategy")).alias("error"))
     failed = skipped.unionByName(chunks.select(F.col("source").alias("path"), "error")).filter("error is not null").distinct()
     errors = store.errors(collection)
-    errors.replace(failed)
+    if retried is None:
+        errors.replace(failed)
+    else:
+        errors.remove(retried)
+        errors.upsert(failed)
     # Before the index is written: what is in the folder now is what this run reads.
     part = processed.write_part(fresh.join(errors.read().select("path"), "path", "left_anti").select("file_hash").distinct().withColumn("ts", F.current_timestamp()))
     found = index_chunks(store, chunks, collection, incremental)
