@@ -116,3 +116,22 @@ def chunk_sentences(c: Column) -> Column:
     """Stripped sentences as chunks are built from: white space after an end belongs to neither."""
     parts = F.split(c, r"(?U)(?<=[。！？.!?])\s*|(?<=\n)\s*")
     return F.filter(F.transform(parts, strip), lambda x: x != "")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def occurrences(values: Column) -> Column:
+    """Map of each value of an array to how often it occurs; null for null.  By a sort, so long arrays take no square of their length."""
+
+    def counted(s: Column) -> Column:
+        places = F.transform(s, lambda _, i: i)
+        return bound(F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))), lambda starts: runs(s, starts))
+
+    def runs(s: Column, starts: Column) -> Column:
+        sizes = F.transform(starts, lambda i, n: F.coalesce(F.get(starts, n + 1), F.size(s)) - i)
+        return F.map_from_arrays(F.transform(starts, lambda i: F.get(s, i)), sizes)
+
+    return bound(F.array_sort(values), counted)

@@ -88,12 +88,24 @@ class _Best:
         return self.held[0]
 
 
-FOUND = "query_id long, id long, score double"
+def _id_type(rows: DataFrame, column: str) -> str:
+    """The type under which identifiers are searched: strings stay strings, others are numbers."""
+    return "string" if dict(rows.dtypes)[column] == "string" else "long"
 
 
-def _found(best: _Best, query_ids: np.ndarray) -> pa.RecordBatch:
+def _found_type(id_type: str) -> str:
+    return f"query_id long, id {id_type}, score double"
+
+
+def _sortable(ids: pa.Array) -> np.ndarray:
+    """Identifiers as numbers, or as strings that numpy orders by code point."""
+    plain = ids.to_numpy(zero_copy_only=False)
+    return plain.astype(str) if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type) else plain
+
+
+def _found(best: _Best, query_ids: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
     q, i, s = best.cut()
-    return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(i.tolist(), id_type), pa.array(s)], names=["query_id", "id", "score"])
 
 
 def _paired(points: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
@@ -119,10 +131,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vector_blocks(rows: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """(name_ids, name_width, name_vectors): vectors of one length in a row, unit vectors but for those of norm zero."""
+    id_type = _id_type(rows, "id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            ids, vectors = batch.column(0), batch.column(1)
             sizes = np.diff(vectors.offsets.to_numpy())
             flat, starts = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
             for width in np.unique(sizes):
@@ -132,38 +145,43 @@ def _vector_blocks(rows: DataFrame, name: str, most: int | None = None) -> DataF
                     x = flat[starts[part][:, None] + np.arange(width)]
                     n = np.linalg.norm(x, axis=1)
                     x = x / np.where(n > 0, n, 1)[:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].tobytes()], pa.binary()), pa.array([int(width)]), pa.array([x.tobytes()], pa.binary())], names=["i", "w", "v"])
+                    own_ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids.take(pa.array(part)))
+                    yield pa.RecordBatch.from_arrays([own_ids, pa.array([int(width)]), pa.array([x.tobytes()], pa.binary())], names=["i", "w", "v"])
 
-    return rows.mapInArrow(pack, "i binary, w long, v binary").toDF(f"{name}_ids", f"{name}_width", f"{name}_vectors")
+    return rows.mapInArrow(pack, f"i array<{id_type}>, w long, v binary").toDF(f"{name}_ids", f"{name}_width", f"{name}_vectors")
 
 
 def dense_topk(queries: DataFrame, points: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k points of the largest cosine similarity to each query.
 
     `queries` has query_id and a vector, `points` id and a vector.  A vector of norm zero or of
-    another length than the query's scores 0; a null vector is left out.
+    another length than the query's scores 0; a null vector is left out.  Identifiers of points are
+    strings or else numbers, those of queries numbers; none is null.
     """
+    id_type = _id_type(points, "id")
 
-    def clean(rows: DataFrame, key: str) -> DataFrame:
-        return rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    def clean(rows: DataFrame, key: str, key_type: str = "long") -> DataFrame:
+        return rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast(key_type).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     wanted = clean(queries, "query_id")
-    pairs = _paired(_vector_blocks(clean(points, "id"), "point"), _vector_blocks(wanted, "query", BLOCK), _few(wanted))
+    pairs = _paired(_vector_blocks(clean(points, "id", id_type), "point"), _vector_blocks(wanted, "query", BLOCK), _few(wanted))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
-                ids, query_ids = np.frombuffer(x["point_ids"], np.int64), np.frombuffer(x["query_ids"], np.int64)
+            for at in range(batch.num_rows):
+                x = {n: batch.column(n)[at] for n in batch.schema.names}
+                ids, query_ids = _sortable(x["point_ids"].values), _sortable(x["query_ids"].values)
+                x = {n: v.as_py() for n, v in x.items() if not n.endswith("_ids")}
                 p = np.frombuffer(x["point_vectors"]).reshape(len(ids), -1)
                 q = np.frombuffer(x["query_vectors"]).reshape(len(query_ids), -1)
                 best = _Best(len(query_ids), k)
                 step = max(1, CELLS // len(query_ids))
-                for at in range(0, len(ids), step):
-                    own = p[at : at + step]
-                    best.add(q @ own.T if x["point_width"] == x["query_width"] else np.zeros((len(q), len(own))), ids[at : at + step])
-                yield _found(best, query_ids)
+                for first in range(0, len(ids), step):
+                    own = p[first : first + step]
+                    best.add(q @ own.T if x["point_width"] == x["query_width"] else np.zeros((len(q), len(own))), ids[first : first + step])
+                yield _found(best, query_ids, batch.column("point_ids").type.value_type)
 
-    return ranked(pairs.mapInArrow(score, FOUND), k)
+    return ranked(pairs.mapInArrow(score, _found_type(id_type)), k)
 
 
 def term_topk(queries: DataFrame, points: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
@@ -171,8 +189,9 @@ def term_topk(queries: DataFrame, points: DataFrame, k: int, weigh: Callable[[np
 
     `queries` has query_id, term, weight.  `points` has id, terms and weights (arrays), or with `weigh`
     id and terms with repetitions: a term's weight is then weigh(its count, all terms of the point).
-    Only points that share a term with a query are ranked.
+    Only points that share a term with a query are ranked.  Identifiers are those of `dense_topk`.
     """
+    id_type = _id_type(points, "id")
     count = queries.select("query_id").distinct().count()
     blocks = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-count // BLOCK))))
     entry = F.struct("query_id", "term", "weight")
@@ -189,7 +208,7 @@ def term_topk(queries: DataFrame, points: DataFrame, k: int, weigh: Callable[[np
                 writer.write_batch(own)
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["points"])
 
-    own = points.filter(F.size("terms") > 0).select(F.col("id").cast("long"), *names[1:])
+    own = points.filter(F.size("terms") > 0).select(F.col("id").cast(id_type), *names[1:])
     together = own.mapInArrow(pack, "points binary")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +216,7 @@ def term_topk(queries: DataFrame, points: DataFrame, k: int, weigh: Callable[[np
             for at in range(batch.num_rows):
                 yield _scored(batch.slice(at, 1), k, weigh)
 
-    return ranked(_paired(together, packed, count <= BROADCAST_QUERIES).mapInArrow(score, FOUND), k)
+    return ranked(_paired(together, packed, count <= BROADCAST_QUERIES).mapInArrow(score, _found_type(id_type)), k)
 
 
 def _scored(pair: pa.RecordBatch, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> pa.RecordBatch:
@@ -208,7 +227,7 @@ def _scored(pair: pa.RecordBatch, k: int, weigh: Callable[[np.ndarray, np.ndarra
     table = np.zeros((len(terms.dictionary), len(query_ids)))
     np.add.at(table, (terms.indices.to_numpy(zero_copy_only=False), q), entries.field("weight").to_numpy(zero_copy_only=False))
     points = pa.ipc.open_stream(pair.column("points")[0].as_py()).read_next_batch()
-    ids, lists = points.column("id").to_numpy(zero_copy_only=False), points.column("terms")
+    ids, lists = _sortable(points.column("id")), points.column("terms")
     sizes, coded = np.diff(lists.offsets.to_numpy()), lists.flatten()
     own = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms.dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     code = own[coded.indices.to_numpy(zero_copy_only=False)]
@@ -233,7 +252,7 @@ def _scored(pair: pa.RecordBatch, k: int, weigh: Callable[[np.ndarray, np.ndarra
         met = scores > 0 if shared is None else np.add.reduceat(shared[code[part]], at, axis=0).T > 0
         best.add(scores, ids[row[starts[first:last]]], met)
         first = last
-    return _found(best, query_ids)
+    return _found(best, query_ids, points.column("id").type)
 
 
 def term_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.hashing import chunk_hash, point_id
 from inkwell.functions.routing import route
-from inkwell.functions.text import sanitized_query, word_tokens
+from inkwell.functions.text import bound as _bound
+from inkwell.functions.text import occurrences, sanitized_query, word_tokens
 from inkwell.operators import governance, ranking, search
 from inkwell.sources.claims import Folder
 from inkwell.sources.files import Strategies, new_files, read_chunks, scan_files, valid_chunks
@@ -22,20 +23,27 @@ WIDTH = 64
 
 def hashed_dense(content: Column, width: int = WIDTH) -> Column:
     """The default dense vector: signed feature hashing of words, normalised.  It has a model's shape, not its quality."""
-    hashes = F.transform(word_tokens(content), lambda t: F.xxhash64(t))
-    places = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(width)).cast("int").alias("i"), F.when(h.bitwiseAND(1 << 40) == 0, 1.0).otherwise(-1.0).alias("s")))
-    zero = F.array_repeat(F.lit(0.0), width)
-    sums = F.aggregate(places, zero, lambda a, p: F.transform(a, lambda x, i: x + F.when(i == p["i"], p["s"]).otherwise(0.0)))
-    size = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(sums, lambda x: F.when(size > 0, x / size).otherwise(0.0)).cast("array<float>")
+    # A place and its sign in one number.
+    codes = F.transform(word_tokens(content), lambda t: _code(F.xxhash64(t), width))
+
+    def vector(n: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (_count(n, 2 * i + 1) - _count(n, 2 * i)).cast("double"))
+        return _bound(sums, lambda x: _bound(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y)), lambda size: F.transform(x, lambda y: F.when(size > 0, y / size).otherwise(0.0))))
+
+    return _bound(occurrences(codes), vector).cast("array<float>")
+
+
+def _code(h: Column, width: int) -> Column:
+    return (F.pmod(h, F.lit(width)) * 2 + F.when(h.bitwiseAND(1 << 40) == 0, 1).otherwise(0)).cast("int")
+
+
+def _count(n: Column, key: Column) -> Column:
+    return F.coalesce(F.try_element_at(n, key.cast("int")), F.lit(0))
 
 
 def word_sparse(content: Column) -> Column:
     """The default sparse vector: log(1 + tf) by word."""
-    tokens = word_tokens(content)
-    distinct = F.array_distinct(tokens)
-    weights = F.transform(distinct, lambda t: F.log1p(F.size(F.filter(tokens, lambda x: x == t)).cast("double")))
-    return F.map_from_arrays(distinct, weights)
+    return F.transform_values(occurrences(word_tokens(content)), lambda _, n: F.log1p(n.cast("double")))
 
 
 def to_points(chunks: DataFrame, dense: Callable[[Column], Column] = hashed_dense, sparse: Callable[[Column], Column] = word_sparse, redact_content: bool = False) -> DataFrame:
@@ -144,15 +152,14 @@ def search_points(store: PointStore, queries: DataFrame, collection: str = "docu
     points = store.points(collection).read()
     for field, value in (conditions or {}).items():
         points = points.filter(payload(field, points.columns) == F.lit(value))
-    numbered = points.withColumn("n", F.xxhash64("id"))
     fetch = search.OVERFETCH * top_k
     wants = {b: good.filter(F.col(f"strategy.{b}") > 0) for b in ("dense", "sparse")}
-    dense = search.dense_topk(wants["dense"].select("query_id", hashed_dense(F.col("query")).alias("embedding")), numbered.select(F.col("n").alias("id"), F.col("dense").alias("embedding")), fetch)
+    dense = search.dense_topk(wants["dense"].select("query_id", hashed_dense(F.col("query")).alias("embedding")), points.select("id", F.col("dense").alias("embedding")), fetch)
     terms = wants["sparse"].select("query_id", F.explode(word_sparse(F.col("query"))).alias("term", "weight"))
-    sparse = search.sparse_topk(terms, numbered.select(F.col("n").alias("id"), "sparse"), fetch)
+    sparse = search.sparse_topk(terms, points.select("id", "sparse"), fetch)
     fused = search.fuse([(dense, 1.0), (sparse, 1.0)], top_k, 2.0, first=0)
     # Payloads are fetched for the results only.
-    full = fused.join(numbered.select(F.col("n").alias("_n"), F.col("id").alias("point"), "content", "source"), F.col("id") == F.col("_n")).drop("_n")
+    full = fused.join(points.select("id", F.col("id").alias("point"), "content", "source"), "id")
     best = ranking.rerank(full.join(good.select("query_id", "query"), "query_id"), rerank_k)
     found = best.select("query_id", "query", "point", "source", "score", "rerank_score", "rerank_rank", ranking.compress(F.col("query"), F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
     null = {c: F.lit(None).cast(t).alias(c) for c, t in found.dtypes}
