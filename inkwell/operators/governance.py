@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -86,6 +87,43 @@ def redact_metadata(value: object, redact_text: Callable[[str], str] | None = No
     return value
 
 
+def _finite(number: str) -> float:
+    value = float(number)
+    if value - value != 0:
+        raise ValueError(number)
+    return value
+
+
+def redact_json() -> Callable[..., Column]:
+    """A function of a column of JSON texts: the same with the strings of `redact_metadata` redacted.
+
+    Names of fields and values of other types keep what they are; of a name that comes twice the last counts.  A text that is no JSON,
+    has a number that no double holds or is nested too deeply for the parser is redacted as a plain text.  Null stays null.
+    """
+    formats = [(re.compile(p), to) for _, p, to in PII_PATTERNS]
+
+    def plain(text: str) -> str:
+        for p, to in formats:
+            text = p.sub(to, text)
+        return text
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            value = redact_metadata(json.loads(text, parse_float=_finite, parse_constant=_finite), plain)
+            out = json.dumps(value, ensure_ascii=False)
+            return json.dumps(value) if any("\ud800" <= c <= "\udfff" for c in out) else out
+        except (ValueError, RecursionError):
+            return plain(text)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return run
+
+
 def license_scores(text: Column) -> Column:
     """Array of (hits, -rank, name): phrases of each license in the text."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -267,6 +267,10 @@ ORACLE_SQL = {
         for name, p, _ in governance.PII_PATTERNS
     ),
     "metadata_redacted": f"SELECT doc_id, 'text' AS field, {_redacted('text')} AS value FROM documents UNION ALL SELECT doc_id, 'source', {_redacted('source')} FROM documents",
+    "nested_redacted": f"""
+        SELECT doc_id, {_redacted('text')} AS text, CAST(doc_id AS VARCHAR) AS number, {_redacted('source')} AS source, {_redacted('text')} AS tag, text AS untouched, {_redacted('lang')} AS lang, {_redacted('text')} AS part
+        FROM documents
+    """,
     "copyrights": f"""
         WITH s AS (SELECT doc_id, lang, string_split(text, '.')[1] AS source FROM documents), b AS (SELECT *, list_max({_LICENSE}) AS best FROM (SELECT *, lower(coalesce(source, '')) AS low FROM s) AS q)
         SELECT doc_id, source AS copyright_source, coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN best.hits >= 2 OR (best.hits = 1 AND best.name IN ('MIT', 'ISC', 'Unlicense')) THEN best.name END) AS copyright_license FROM b

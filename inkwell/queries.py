@@ -159,6 +159,15 @@ def metadata_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", F.explode(redacted).alias("field", "value"))
 
 
+def nested_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata with texts in fields and lists at several depths; a list within a list is left alone."""
+    deep = F.struct("lang", F.array(F.struct("text")).alias("parts"))
+    nested = F.to_json(F.struct(F.struct("text", "doc_id").alias("doc"), F.array("source", "text").alias("tags"), F.array(F.array("text")).alias("lists"), F.array(deep).alias("deep")))
+    redacted = _table(spark, d, "documents").select("doc_id", "text", "source", "lang", nested.alias("j")).select("doc_id", governance.redact_json()("j").alias("j"))
+    at = {"text": "$.doc.text", "number": "$.doc.doc_id", "source": "$.tags[0]", "tag": "$.tags[1]", "untouched": "$.lists[0][0]", "lang": "$.deep[0].lang", "part": "$.deep[0].parts[0].text"}
+    return redacted.select("doc_id", *[F.get_json_object("j", p).alias(n) for n, p in at.items()])
+
+
 def copyrights(spark: SparkSession, d: str) -> DataFrame:
     """The first sentence stands for the source; every third document says a license itself."""
     given = F.when(F.col("doc_id") % 3 == 0, F.col("lang"))
@@ -455,6 +464,6 @@ QUERIES = {
         sentences, structure_chunks, length_chunks, recursive_chunks, semantic_breaks, markdown_sections, latex_text, latex_sections, llm_items, code_units, code_units_raw, dense_topk,
         dense_topk_filtered, indexed_dense, indexed_recall, cosine_pairs, sparse_topk, bm25_topk, stored_bm25, stored_sparse, fused_store, fused_weighted, score_threshold, hybrid_search, compressed, reranked, incremental, upserted,
         deleted, stored_changes, eval_by_query, eval_metrics, latency, semantic_chunks, oversize_parts, valid_chunks, route_weights, sanitized_queries, previews, version_stamps, batch_sizes,
-        path_order, metadata_redacted, copyrights,
+        path_order, metadata_redacted, nested_redacted, copyrights,
     )
 }
