@@ -98,7 +98,8 @@ def redact_json() -> Callable[..., Column]:
     """A function of a column of JSON texts: the same with the strings of `redact_metadata` redacted.
 
     Names of fields and values of other types keep what they are; of a name that comes twice the last counts.  A text that is no JSON,
-    has a number that no double holds or is nested too deeply for the parser is redacted as a plain text.  Null stays null.
+    has a number that no double holds or is nested too deeply for the parser is redacted as a plain text.  Null stays null,
+    and a text in which no format can occur stays as it is and never leaves the JVM.
     """
     formats = [(re.compile(p), to) for _, p, to in PII_PATTERNS]
 
@@ -121,7 +122,15 @@ def redact_json() -> Callable[..., Column]:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(one, na_action="ignore")
 
-    return run
+    # A format may stand between escapes, which are white space or hide anything.
+    loose = [p.replace(r"\b", "").replace(r"[\s\-]", r"(?:[\s\-]|\\[a-z])") for _, p, _ in PII_PATTERNS]
+    hint = "(?U)" + "|".join([r"\\u", *loose])
+
+    def redacted(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        return F.coalesce(run(F.when(text.rlike(hint), text)), text)
+
+    return redacted
 
 
 def license_scores(text: Column) -> Column:

@@ -20,3 +20,11 @@ def test_redact_json(spark):
     assert json.loads(got[4]) == {"s": "\ud800 [EMAIL]"}
     assert [got[i] for i in range(5, 10)] == ["", None, '"[EMAIL]"', "null", "[NaN]"]
     assert df.filter("false").count() == 0
+
+
+def test_formats_beside_escapes(spark):
+    for text in ("555\n1234567", "138\t\"x\"10.0.0.1", "\n10.0.0.1\n", "a\u0001b@c.de", "+86\t139 12345678", "555\u00a05551234", "nothing 123 \n"):
+        for ascii_only in (True, False):
+            j = json.dumps({"k": text}, ensure_ascii=ascii_only)
+            got = spark.createDataFrame([(j,)], "t string").select(redact_json()("t").alias("t")).first()["t"]
+            assert json.loads(got) == redact_metadata({"k": text}), text
