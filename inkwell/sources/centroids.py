@@ -124,7 +124,7 @@ class VectorIndex:
         share = F.pmod(F.xxhash64("id"), F.lit(ring)) < int(min(1.0, most / max(n, 1)) * ring)
         of_width = rows.filter((F.size("vector") == width) & F.exists("vector", lambda x: x != 0))
         # Repeats of one identifier share a hash: the limit bounds what they can add.
-        sample = [r[0] for r in of_width.filter(share).select("vector").limit(2 * most).collect()]
+        sample = [r["vector"] for r in of_width.filter(share).orderBy(F.xxhash64("id"), "id").limit(2 * most).collect()]
         sample = sample or [r[0] for r in of_width.select("vector").limit(1).collect()]
         found = fit_centroids(np.array(sample, float), lists) if sample else np.zeros((0, 0))
         name = uuid.uuid4().hex
@@ -228,24 +228,30 @@ class VectorIndex:
             found = found.unionByName(ranked(self._scores(vectors, self._everywhere(odd, stats), stats, k), k))
         return found
 
-    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.95, most: int = 256, vector: str = "embedding") -> int:
-        """The least number of probes with which a sample of `most` queries (query_id and a vector) finds the wanted share of its exact results.
+    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.95, most: int = 256, sure: float = 0.95, vector: str = "embedding") -> int:
+        """The least number of probes with which a share `sure` of a sample of `most` queries (query_id and a vector) each find the wanted share of their exact results.
 
+        A share of all results together would leave other queries, when they are few, below it as often as above it.
         Where vectors have no clusters this is most of the lists: then only an exact search is worth its name.
         """
         _, name, parts = self._current()
-        asked = held(self._clean(queries, "query_id", vector, "long", "double").limit(most))
+        clean = self._clean(queries, "query_id", vector, "long", "double")
+        asked = held(clean.orderBy(F.xxhash64("id"), "id").limit(most))
         best = held(self.topk(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("embedding")), k, exact=True))
         hits = best.join(self._read("vectors", parts).select("id", "list"), "id").filter(F.col("list") != ODD).select("query_id", "list").collect()  # k * most rows
         if not hits:
             return 1
         centroids, full = self._centroids(name), [r["list"] for r in self.lists().filter(F.col("list") != ODD).orderBy("list").collect()]
-        place = {}
+        places: dict[int, list[int]] = {}
+        ranks = {}
         for r in asked.filter(F.size("vector") == centroids.shape[1]).collect():
             order = np.argsort(_angles(_units(np.array([r["vector"]])), centroids[full])[0], kind="stable")
-            place[r["id"]] = {full[x]: nth for nth, x in enumerate(order, 1)}
-        needed = sorted(place[h["query_id"]][h["list"]] for h in hits if h["query_id"] in place)
-        return needed[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
+            ranks[r["id"]] = {full[x]: nth for nth, x in enumerate(order, 1)}
+        for h in hits:
+            if h["query_id"] in ranks:
+                places.setdefault(h["query_id"], []).append(ranks[h["query_id"]][h["list"]])
+        needed = sorted(sorted(x)[max(0, int(np.ceil(recall * len(x))) - 1)] for x in places.values())
+        return needed[max(0, int(np.ceil(sure * len(needed))) - 1)] if needed else 1
 
     def _everywhere(self, queries: DataFrame, stats: dict) -> DataFrame:
         """(list, query_ids, queries): queries packed for every list, those of one length together."""

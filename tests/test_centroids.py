@@ -115,3 +115,15 @@ def test_empty_index_and_two_writers(spark, tmp_path, monkeypatch):
         index.add(none)
     found = other.topk(_frame(spark, [(1, [1.0, 0.0])], "long", "query_id"), 3, exact=True)
     assert [(r["id"], r["score"]) for r in found.collect()] == [(1, 1.0)]
+
+
+def test_probes_suffice_for_single_queries(spark, tmp_path):
+    """Vectors without clusters: the probes serve nearly each query by itself, not only all of them together."""
+    x = np.random.default_rng(5).normal(size=(500, 8))
+    index = VectorIndex(spark, f"file://{tmp_path}/index", "long")
+    index.add(_frame(spark, enumerate(x), "long"))
+    queries = _frame(spark, [(i, x[i]) for i in range(0, 500, 5)], "long", "query_id")
+    probes = index.probes_for(queries, 10)
+    want, found = (_by_query(index.topk(queries, 10, probes, exact=e)) for e in (True, False))
+    whole = sum({i for _, i in found[q]} == {i for _, i in v} for q, v in want.items())
+    assert len(want) == 100 and whole >= 95
