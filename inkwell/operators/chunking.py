@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.batches import by_slice
 from inkwell.functions.hashing import content_hash
 from inkwell.functions.vectors import cosine
 
@@ -130,10 +130,7 @@ def recursive_chunks(text: str, size: int = 500, overlap: int = 100, separators:
 def _applied(df: DataFrame, text_col: str, cut: Callable[[str], list[tuple[str, str]]], chunk_type: str) -> DataFrame:
     """One row for each chunk; the columns of `df` stay."""
 
-    @F.pandas_udf("array<struct<content:string,hashed:string>>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"content": c, "hashed": h} for c, h in cut(t)] if t is not None else [] for t in texts])
-
+    chunks = by_slice("array<struct<content:string,hashed:string>>", lambda t: [{"content": c, "hashed": h} for c, h in cut(t)] if t is not None else [])
     cut_ = df.withColumn("_chunks", chunks(F.col(text_col)))
     each = cut_.select(*df.columns, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "_chunk"))
     return each.select(
