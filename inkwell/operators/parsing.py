@@ -5,10 +5,10 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.batches import by_slice
 from inkwell.functions.text import strip
 
 _STATE = "array<struct<level:int,title:string>>"
@@ -185,11 +185,8 @@ def code_units(source: str) -> list[dict]:
 def parse_code(df: DataFrame, text_col: str = "text") -> DataFrame:
     """A row for each unit of Python sources; a source that does not parse is one row with an error."""
 
-    @F.pandas_udf(UNITS)
-    def units(texts: pd.Series) -> pd.Series:
-        keys = ("type", "name", "class_name", "line", "end_line", "signature", "docstring", "content", "imports", "error")
-        return pd.Series([[{k: u.get(k) for k in keys} for u in code_units(t or "")] for t in texts])
-
+    keys = ("type", "name", "class_name", "line", "end_line", "signature", "docstring", "content", "imports", "error")
+    units = by_slice(UNITS, lambda t: [{k: u.get(k) for k in keys} for u in code_units(t or "")])
     rest = [c for c in df.columns if c != text_col]
     return df.select(*rest, F.posexplode(units(F.col(text_col))).alias("doc_seq", "_u")).select(*rest, "doc_seq", "_u.*")
 
@@ -240,10 +237,7 @@ def pdf_pages(df: DataFrame, content_col: str = "content") -> DataFrame:
     """
     schema = "array<struct<doc_seq:int,page_number:int,total_pages:int,content:string,error:string>>"
 
-    @F.pandas_udf(schema)
-    def pages(files: pd.Series) -> pd.Series:
-        return pd.Series([_pages_or_error(f) for f in files])
-
+    pages = by_slice(schema, _pages_or_error)
     rest = [c for c in df.columns if c != content_col]
     return df.select(*rest, F.explode(pages(F.col(content_col))).alias("_p")).select(*rest, "_p.*")
 
