@@ -6,10 +6,11 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkwell.functions.batches import by_slice
+
 # Formats in the order in which they are redacted, with what stands in their place.
 PII_PATTERNS: tuple[tuple[str, str, str], ...] = (
     ("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
@@ -54,13 +55,10 @@ def pii_findings() -> Callable[..., Column]:
     """A function of a text column: array of (type, value, start, end) by format, then by place."""
     formats = [(name, re.compile(p)) for name, p, _ in PII_PATTERNS]
 
-    @F.pandas_udf("array<struct<type:string,value:string,start:int,end:int>>")
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            [[{"type": n, "value": m[0], "start": m.start(), "end": m.end()} for n, p in formats for m in p.finditer(t or "")] for t in texts]
-        )
+    def find(text: str | None) -> list[dict]:
+        return [{"type": n, "value": m[0], "start": m.start(), "end": m.end()} for n, p in formats for m in p.finditer(text or "")]
 
-    return find
+    return by_slice("array<struct<type:string,value:string,start:int,end:int>>", find)
 
 
 def redact_map(metadata: Column) -> Column:
@@ -68,15 +66,23 @@ def redact_map(metadata: Column) -> Column:
     return F.transform_values(metadata, lambda _, v: redact(v))
 
 
+#: What a text must hold for a format to occur in it, where searching for the format itself is slow.
+_NEEDS = {"email": re.compile("@"), "phone_us": re.compile(r"\d{3}"), "ipv4": re.compile(r"\d\.\d")}
+_FORMATS = tuple((re.compile(p), to, _NEEDS.get(n)) for n, p, to in PII_PATTERNS)
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _plain(text: str) -> str:
+    """`redact` of one text."""
+    for p, to, needs in _FORMATS:
+        if needs is None or needs.search(text):
+            text = p.sub(to, text)
+    return text
+
+
 def redact_metadata(value: object, redact_text: Callable[[str], str] | None = None) -> object:
     """Nested metadata with its strings redacted: in maps at any depth, and in lists of strings or maps."""
-    if redact_text is None:
-        formats = [(re.compile(p), to) for _, p, to in PII_PATTERNS]
-
-        def redact_text(text: str) -> str:
-            for p, to in formats:
-                text = p.sub(to, text)
-            return text
+    redact_text = redact_text or _plain
 
     if isinstance(value, str):
         return redact_text(value)
@@ -101,30 +107,21 @@ def redact_json() -> Callable[..., Column]:
     has a number that no double holds or is nested too deeply for the parser is redacted as a plain text.  Null stays null,
     and a text in which no format can occur stays as it is and never leaves the JVM.
     """
-    formats = [(re.compile(p), to) for _, p, to in PII_PATTERNS]
-
-    def plain(text: str) -> str:
-        for p, to in formats:
-            text = p.sub(to, text)
-        return text
-
     def one(text: str | None) -> str | None:
         if text is None:
             return None
         try:
-            value = redact_metadata(json.loads(text, parse_float=_finite, parse_constant=_finite), plain)
+            value = redact_metadata(json.loads(text, parse_float=_finite, parse_constant=_finite))
             out = json.dumps(value, ensure_ascii=False)
-            return json.dumps(value) if any("\ud800" <= c <= "\udfff" for c in out) else out
+            return json.dumps(value) if _SURROGATE.search(out) else out
         except (ValueError, RecursionError):
-            return plain(text)
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+            return _plain(text)
 
-    # A format may stand between escapes, which are white space or hide anything.
-    loose = [p.replace(r"\b", "").replace(r"[\s\-]", r"(?:[\s\-]|\\[a-z])") for _, p, _ in PII_PATTERNS]
-    hint = "(?U)" + "|".join([r"\\u", *loose])
+    run = by_slice("string", one)
+    # A format may stand between escapes, which are white space or hide anything.  One character before an @ stands for an address, and
+    # where none of the first characters stands nothing else is tried, as searching every place for every format is slow.
+    loose = [p.replace(r"\b", "").replace(r"[\s\-]", r"(?:[\s\-]|\\[a-z])") for n, p, _ in PII_PATTERNS if n != "email"]
+    hint = r"(?U)[a-zA-Z0-9._%+\-]@|\\u|(?=[+(\d])(?:" + "|".join(loose) + ")"
 
     def redacted(text: Column | str) -> Column:
         text = F.col(text) if isinstance(text, str) else text
